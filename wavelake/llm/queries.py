@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, near_dedup
 from .common import LOWER, UPPER
 
 #: DuckDB expressions of the white space and of the A-Z folding in the contracts.
@@ -41,8 +41,15 @@ FROM keyed LEFT JOIN hot USING (k) GROUP BY doc_id
 """
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup}
+    return {
+        "op2_line_dedup": op2_line_dedup,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
