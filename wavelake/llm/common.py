@@ -42,7 +42,12 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it is counted and found within the bound; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if within(df, rows) else df
+
+
+def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most so many rows; it counts no further than that."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def pieces(texts: list, limit: int = PIECE_BYTES):

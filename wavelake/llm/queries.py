@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup
+from . import decontamination, line_dedup, near_dedup
 from .common import LOWER, UPPER
 
 #: DuckDB expressions of the white space and of the A-Z folding in the contracts.
@@ -45,12 +45,51 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: 5-word shingles of a table's texts, as SQL; fewer words: the whole sequence.
+def sql_shingles(table: str, key: str) -> str:
+    return f"""
+  SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM (SELECT {key}, list_filter(string_split_regex({sql_lower("text")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL)"""
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contaminated(documents(spark, sf_dir), items).select("doc_id", "item_id", "n_item_shingles", "n_shared")
+
+
+OP3_SQL = f"""
+WITH d AS ({sql_shingles("documents", "doc_id")}), b AS ({sql_shingles("benchmark", "item_id")}),
+sizes AS (SELECT item_id, count(*) AS n_item_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n_item_shingles, count(*) AS n_shared
+FROM d JOIN b USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_item_shingles HAVING 100 * count(*) >= 80 * n_item_shingles
+"""
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS ({sql_shingles("documents", "doc_id")}),
+sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT o.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, o.doc_id = m AS kept
+FROM documents o LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = o.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL,
+        "op3_benchmark_decontamination": OP3_SQL,
+        "op5_minhash_near_dedup": OP5_SQL,
+    }

@@ -54,7 +54,7 @@ def shingle_sets(texts: list, width: int, cache: WordHashes):
         for k in range(width):
             x += h[k : k + n] * PLACES[k]
         whole = owner[:n] == owner[width - 1 : width - 1 + n]
-        x, at = mix(x[whole]), owner[:n][whole]
+        x, at = mix(x[whole] + np.uint64(width)), owner[:n][whole]
         short = np.flatnonzero((length > 0) & (length < width))
         if len(short):
             tail = np.array([np.sum(h[start[i] : start[i] + length[i]] * np.array(PLACES[: length[i]])) + np.uint64(length[i]) for i in short], np.uint64)
