@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, near_dedup
+from . import decontamination, language_id, line_dedup, near_dedup
 from .common import LOWER, UPPER
 
 #: DuckDB expressions of the white space and of the A-Z folding in the contracts.
@@ -79,11 +79,19 @@ FROM documents o LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS m FROM
 """
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
