@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, quality
+from . import decontamination, language_id, line_dedup, near_dedup, pii, quality, secrets
 from .common import LOWER, UPPER
 
 #: DuckDB expressions of the white space and of the A-Z folding in the contracts.
@@ -84,6 +84,29 @@ FROM documents o LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS m FROM
 """
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.KINDS))
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+        count("guess").alias("n_guess"),
+    )
+
+
+#: The key of the query's pseudonyms; a real run takes its own from a secret store.
+PII_KEY = "a key for tests"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], secrets.listed(F.col("pii")).alias("spans"), "text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -97,6 +120,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_secret_scans": op6_secret_scans,
+        "op7_pii": op7_pii,
         "op10_language_id": op10_language_id,
     }
 
