@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, pii, quality, secrets
+from . import decontamination, language_id, line_dedup, near_dedup, pii, quality, secrets, toxicity
 from .common import LOWER, UPPER
 
 #: DuckDB expressions of the white space and of the A-Z folding in the contracts.
@@ -84,6 +84,13 @@ FROM documents o LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS m FROM
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "severity", "grade", "toxic")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
@@ -119,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_secret_scans": op6_secret_scans,
         "op7_pii": op7_pii,
