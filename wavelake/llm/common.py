@@ -64,23 +64,26 @@ def pieces(texts: list, limit: int = PIECE_BYTES):
         yield first, len(texts)
 
 
-def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start) -> DataFrame:
+def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start, key: Column | None = None) -> DataFrame:
     """docs with columns computed from text, whole texts at a time. start() is called once a task and returns a
     function from a list of texts to a list of values for each of fields (name, Spark type). Columns of docs with
-    these names are replaced (text itself may be one); all others stay."""
+    these names are replaced (text itself may be one); all others stay. key: what the function gets as its second
+    argument for each text."""
     names = [name for name, _ in fields]
     kept = [c for c in docs.columns if c not in names]
-    source = [*kept, "__text"]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(kind).alias(name) for name, kind in fields]).schema
     arrow = to_arrow_schema(schema)
+    has_key = key is not None
 
     def run(batches):
         compute = start()
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             for first, end in pieces(texts):
-                columns = compute(texts[first:end])
                 part = batch.slice(first, end - first)
+                own = texts[first:end]
+                columns = compute(own, part.column("__key").to_pylist()) if has_key else compute(own)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(v, arrow.field(name).type) for name, v in zip(names, columns)]], [*kept, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text")).select(*[F.col(f"`{c}`") for c in source]).mapInArrow(run, schema)
+    keyed = [key.alias("__key")] if has_key else []
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text"), *keyed).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, near_dedup, pii, quality, secrets, toxicity
+from . import decontamination, language_id, line_dedup, lm_scoring, near_dedup, pii, quality, secrets, sentencepieces, toxicity
 from .common import LOWER, UPPER
 
 #: DuckDB expressions of the white space and of the A-Z folding in the contracts.
@@ -114,6 +114,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], secrets.listed(F.col("pii")).alias("spans"), "text")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepieces.sample(documents(spark, sf_dir).select("doc_id", "text"), k=2, with_ids=False)
+    return out.select("doc_id", F.posexplode("samples").alias("at", "s")).select("doc_id", F.col("at").alias("sample"), "s.*")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
 
@@ -134,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_secret_scans": op6_secret_scans,
         "op7_pii": op7_pii,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_language_id": op10_language_id,
     }
