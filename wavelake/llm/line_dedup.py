@@ -95,7 +95,7 @@ def drop_lines(docs: DataFrame, repeated: DataFrame, n_lines: str | None = None,
     out = out.withColumn("__n", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"))
     at = F.array_except(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int")), F.col("__lost"))
     kept = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get(split, i)), "\n"))
-    counts = [F.col("__n").alias(n_lines)] * bool(n_lines) + [F.coalesce(F.size("__lost").cast("long"), F.lit(0)).alias(n_dropped)] * bool(n_dropped)
+    counts = [c.alias(name) for c, name in ((F.col("__n"), n_lines), (F.coalesce(F.size("__lost").cast("long"), F.lit(0)), n_dropped)) if name]
     return out.select(*[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
 
 
