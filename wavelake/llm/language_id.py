@@ -139,10 +139,14 @@ def train(texts: list[str], langs: list[str], buckets: int, dim: int, epochs: in
 
 
 def fit(labelled: DataFrame, sample_rows: int = 4000, buckets: int = 1 << 16, dim: int = 16, epochs: int = 8, reject_rate: float = 0.001) -> dict | None:
-    """The model learned from (text, lang) of at most sample_rows rows, those with the smallest hash of their text:
-    the one bound on what training sees. None if no row has both. It trains in one task."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    sample = rows.withColumn("__h", F.xxhash64("text", "lang")).orderBy("__h", "text").limit(sample_rows).select("text", "lang")
+    """The model learned from at most sample_rows different (text, lang) pairs, those with the smallest hash: the one
+    bound on what training sees. None if no row has both. Hashes alone are sorted; only the chosen texts travel to
+    the one task that trains."""
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", "lang").alias("__h"))
+    last = rows.select("__h").distinct().orderBy("__h").limit(sample_rows).agg(F.max("__h")).first()[0]
+    if last is None:
+        return None
+    sample = rows.where(F.col("__h") <= last).dropDuplicates(["__h"]).repartition(1).sortWithinPartitions("__h").select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = [], []
@@ -154,7 +158,7 @@ def fit(labelled: DataFrame, sample_rows: int = 4000, buckets: int = 1 << 16, di
             kinds = {"langs": pa.list_(pa.string()), "table": pa.list_(pa.float32()), "bias": pa.list_(pa.float64()), "threshold": pa.float64()}
             yield pa.RecordBatch.from_arrays([pa.array([m[k]], kind) for k, kind in kinds.items()], list(kinds))
 
-    got = sample.coalesce(1).mapInArrow(run, "langs array<string>, table array<float>, bias array<double>, threshold double").collect()
+    got = sample.mapInArrow(run, "langs array<string>, table array<float>, bias array<double>, threshold double").collect()
     return got[0].asDict() if got else None
 
 
