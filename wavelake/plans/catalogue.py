@@ -88,7 +88,7 @@ def convert_s16_u8(spark, d):
 
 @query("layout_offsets", f"SELECT track, frame, ch, (frame * 2 + ch) * 2 AS interleaved, (ch * count(*) OVER (PARTITION BY track, ch) + frame) * 2 AS planar FROM {STEREO_SQL}, (VALUES (0), (1)) c(ch)")
 def layout_offsets(spark, d):
-    s = t.stereo_tracks(spark, d).select("track", "frame", F.explode(F.array(F.lit(0), F.lit(1))).cast("bigint").alias("ch"))
+    s = t.stereo_tracks(spark, d).select("track", "frame", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ch"))
     n = F.count("*").over(Window.partitionBy("track", "ch"))
     return s.select("track", "frame", "ch", ((F.col("frame") * 2 + F.col("ch")) * 2).alias("interleaved"), ((F.col("ch") * n + F.col("frame")) * 2).alias("planar"))
 
@@ -138,7 +138,7 @@ def signed(spark, d):
 
 
 def add_companding(law: str, encode, decode, sql_encode: str, sql_decode: str):
-    coded = sql_encode.replace("src", SIGNED_SQL)
+    coded = f"(SELECT track, frame, x, b FROM {sql_encode.replace('src', SIGNED_SQL)})"
 
     @query(f"{law}_encode", f"SELECT track, frame, b FROM {coded}")
     def enc(spark, d):
