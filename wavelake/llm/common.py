@@ -52,6 +52,18 @@ def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sampled(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """The rows of df, with __h, that have the ``rows`` smallest different values of the 64-bit hash h; of rows with
+    one hash, one. How many hashes there are, counted first, sets a limit that about twice as many pass: what meets
+    in one task to be put in order is then bounded by rows, however many tasks there are."""
+    df = df.withColumn("__h", h)
+    n = df.agg(F.approx_count_distinct("__h")).first()[0]
+    limit = min((1 << 63) - 1, int((2 * rows + 100) / max(n, 1) * 2.0**64) - (1 << 63))
+    near = df.where(F.col("__h") <= limit)
+    last = near.select("__h").distinct().orderBy("__h").limit(rows).agg(F.max("__h")).first()[0]
+    return near.where(F.col("__h") <= F.lit(last).cast("bigint")).dropDuplicates(["__h"])
+
+
 def pieces(texts: list, limit: int = PIECE_BYTES):
     """(first, end) ranges of texts of about limit characters each, so that arrays made from them stay small."""
     first = size = 0

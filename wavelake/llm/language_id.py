@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, sampled
 from .shingles import PLACES, mix
 
 GRAMS = (2, 3, 4)
@@ -142,11 +142,8 @@ def fit(labelled: DataFrame, sample_rows: int = 4000, buckets: int = 1 << 16, di
     """The model learned from at most sample_rows different (text, lang) pairs, those with the smallest hash: the one
     bound on what training sees. None if no row has both. Hashes alone are sorted; only the chosen texts travel to
     the one task that trains."""
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("text", "lang").alias("__h"))
-    last = rows.select("__h").distinct().orderBy("__h").limit(sample_rows).agg(F.max("__h")).first()[0]
-    if last is None:
-        return None
-    sample = rows.where(F.col("__h") <= last).dropDuplicates(["__h"]).repartition(1).sortWithinPartitions("__h").select("text", "lang")
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    sample = sampled(rows, F.xxhash64("text", "lang"), sample_rows).repartition(1).sortWithinPartitions("__h").select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = [], []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, sampled
 from .language_id import text_words
 
 GRADES = 4
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> dict | N
     the bound on what training sees. labels: (doc_id, toxic); a document with several labels counts as toxic if
     one says so. None if nothing is labelled."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda t: known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2)
+    pick = lambda t: sampled(known.where(F.col("toxic") == t), F.xxhash64("doc_id"), sample_rows // 2).select("doc_id", "toxic")
     sample = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(pick(0).union(pick(1))), "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
