@@ -139,9 +139,9 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that repeat both id and text are one document and leave one row. Texts without words are all kept."""
     row = F.xxhash64("doc_id", "text").alias("__row")
     found = near_duplicates(docs, percent)
-    kept = found.groupBy("__row").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    kept = written(kept.where("kept"))
-    out = docs.select("*", row).join(kept, "__row", "left_semi")
-    if not kept.where("rows > 1").isEmpty():
+    odd = written(found.groupBy("__row").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"))
+    # those that go are few: beyond the bound of a broadcast, documents are shuffled once
+    out = docs.select("*", row).join(broadcast_if_small(odd.where("NOT kept").select("__row")), "__row", "left_anti")
+    if not odd.where("kept").isEmpty():
         out = out.dropDuplicates(["__row"])
     return out.select(*docs.columns)
