@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows of a table that may be broadcast (16 to 64 bytes a row).
 BROADCAST_ROWS = 200_000
 #: Most bytes of text that a Python worker turns into arrays at once.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def lower_az(text: Column) -> Column:

@@ -57,7 +57,7 @@ def text_words(text: str | None) -> list[str]:
 class WordTable:
     """Sum of table rows over each word's subwords, and how many those are, kept for words already seen."""
 
-    def __init__(self, table, most: int = 200_000):
+    def __init__(self, table, most: int = 100_000):
         self.table, self.most = table, most
         self.clear()
 
