@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -76,6 +77,21 @@ def pieces(texts: list, limit: int = PIECE_BYTES):
         yield first, len(texts)
 
 
+def lean(run):
+    """run for mapInArrow, which gives the memory that its task has freed back to the system at its end: workers stay
+    for later tasks, and else they would hold what the largest one needed."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
 def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start, key: Column | None = None) -> DataFrame:
     """docs with columns computed from text, whole texts at a time. start() is called once a task and returns a
     function from a list of texts to a list of values for each of fields (name, Spark type). Columns of docs with
@@ -98,4 +114,4 @@ def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start, key: Column
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(v, arrow.field(name).type) for name, v in zip(names, columns)]], [*kept, *names])
 
     keyed = [key.alias("__key")] if has_key else []
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text"), *keyed).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text"), *keyed).mapInArrow(lean(run), schema)

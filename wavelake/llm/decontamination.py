@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, within, written
+from .common import BROADCAST_ROWS, broadcast_if_small, lean, within, written
 from .shingles import WordHashes, shingle_sets, words
 
 WIDTH = 5
@@ -105,11 +105,11 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, bound: in
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text").where("text IS NOT NULL")
     items = items.select("item_id", F.xxhash64("item_id", "text").alias("__item"), F.col("text").alias("item_text")).where("text IS NOT NULL").dropDuplicates(["__item"])
     items = written(items)
-    sketches = written(items.mapInArrow(_item_sketches(percent), "__item bigint, width int, hash bigint"))
+    sketches = written(items.mapInArrow(lean(_item_sketches(percent)), "__item bigint, width int, hash bigint"))
     widths = sorted(r.width for r in sketches.select("width").distinct().collect())
     few = within(sketches, bound)
     wanted = [r.hash for r in sketches.select("hash").distinct().collect()] if few else None
-    hits = docs.select("__row", "text").mapInArrow(_document_hashes(widths, wanted), "__row bigint, hash bigint")
+    hits = docs.select("__row", "text").mapInArrow(lean(_document_hashes(widths, wanted)), "__row bigint, hash bigint")
     hashes = sketches.select("hash", "__item")
     candidates = written(hits.join(F.broadcast(hashes) if few else hashes, "hash").select("__row", "__item").distinct())
 
@@ -117,7 +117,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, bound: in
     texts = docs.join(rows, "__row", "left_semi").dropDuplicates(["__row"])
     pairs = texts.join(candidates, "__row").join(broadcast_if_small(items), "__item").select("__row", "doc_id", "item_id", "text", "item_text")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    checked = pairs.mapInArrow(_contained, f"__row bigint, doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_item_shingles bigint, n_shared bigint")
+    checked = pairs.mapInArrow(lean(_contained), f"__row bigint, doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_item_shingles bigint, n_shared bigint")
     return checked.where((F.col("n_item_shingles") > 0) & (100 * F.col("n_shared") >= percent * F.col("n_item_shingles")))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, sampled
+from .common import lean, pieces, sampled
 from .shingles import PLACES, mix
 
 GRAMS = (2, 3, 4)
@@ -155,7 +155,7 @@ def fit(labelled: DataFrame, sample_rows: int = 4000, buckets: int = 1 << 16, di
             kinds = {"langs": pa.list_(pa.string()), "table": pa.list_(pa.float32()), "bias": pa.list_(pa.float64()), "threshold": pa.float64()}
             yield pa.RecordBatch.from_arrays([pa.array([m[k]], kind) for k, kind in kinds.items()], list(kinds))
 
-    got = sample.mapInArrow(run, "langs array<string>, table array<float>, bias array<double>, threshold double").collect()
+    got = sample.mapInArrow(lean(run), "langs array<string>, table array<float>, bias array<double>, threshold double").collect()
     return got[0].asDict() if got else None
 
 
@@ -191,4 +191,4 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
     schema = StructType([docs.schema[c] for c in kept]).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(lean(run), schema)

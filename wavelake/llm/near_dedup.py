@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, lean, written
 from .components import components
 from .shingles import WordHashes, band_keys, fast_sketch, shingle_sets
 
@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     but their ids count only if a component has no other: then component_id is null and they are kept."""
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_sketches, f"__row bigint, doc_id {id_type}, n bigint, digest binary, bands array<bigint>"))
+    rows = written(docs.mapInArrow(lean(_sketches), f"__row bigint, doc_id {id_type}, n bigint, digest binary, bands array<bigint>"))
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("__row").alias("a_row"), F.max("n").alias("n"), F.any_value("bands").alias("bands")))
 
     buckets = classes.select("digest", F.explode("bands").alias("key"))
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     members = broadcast_if_small(written(classes.join(open_.select("digest").distinct(), "digest", "left_semi").select(F.col("a_row").alias("__row"), F.col("digest").alias("of"))))
     texts = docs.join(members, "__row").select("text")
-    sets = written(texts.mapInArrow(_sets, "digest binary, shingles array<bigint>").dropDuplicates(["digest"]))
+    sets = written(texts.mapInArrow(lean(_sets), "digest binary, shingles array<bigint>").dropDuplicates(["digest"]))
     links = written(_verified(pairs, sets, percent))
 
     labels = components(links)

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Most lattice nodes that a worker keeps (about 50 bytes each with their edges).
-MOST_NODES = 2_000_000
+MOST_NODES = 1_000_000
 #: Fixed multiplier of the rolling hash, and the size of the table of beginnings.
 STEP, TABLE_BITS = 0x9E3779B97F4A7C15, 20
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, sampled
+from .common import lean, map_texts, sampled
 from .language_id import text_words
 
 GRADES = 4
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> dict | N
             kinds = {"words": pa.list_(pa.string()), "weights": pa.list_(pa.float64()), "thresholds": pa.list_(pa.float64())}
             yield pa.RecordBatch.from_arrays([pa.array([m[k]], kind) for k, kind in kinds.items()], list(kinds))
 
-    got = sample.repartition(1).mapInArrow(run, "words array<string>, weights array<double>, thresholds array<double>").collect()
+    got = sample.repartition(1).mapInArrow(lean(run), "words array<string>, weights array<double>, thresholds array<double>").collect()
     return got[0].asDict() if got else None
 
 
