@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows of a table that may be broadcast (16 to 64 bytes a row).
 BROADCAST_ROWS = 200_000
+#: Rows of whole texts that go to a Python worker in one Arrow batch.
+BATCH_ROWS = 1000
 #: Most bytes of text that a Python worker turns into arrays at once.
 PIECE_BYTES = 1_000_000
 
@@ -77,6 +79,14 @@ def pieces(texts: list, limit: int = PIECE_BYTES):
         yield first, len(texts)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches to BATCH_ROWS rows, unless the session has set a number of its own: a row here is a whole
+    text, and Spark's default of 10,000 of them takes hundreds of megabytes beside the heap of each executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def lean(run):
     """run for mapInArrow, which gives the memory that its task has freed back to the system at its end: workers stay
     for later tasks, and else they would hold what the largest one needed."""
@@ -97,6 +107,7 @@ def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start, key: Column
     function from a list of texts to a list of values for each of fields (name, Spark type). Columns of docs with
     these names are replaced (text itself may be one); all others stay. key: what the function gets as its second
     argument for each text."""
+    small_batches(docs.sparkSession)
     names = [name for name, _ in fields]
     kept = [c for c in docs.columns if c not in names]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(kind).alias(name) for name, kind in fields]).schema

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, lean, within, written
+from .common import BROADCAST_ROWS, broadcast_if_small, lean, small_batches, within, written
 from .shingles import WordHashes, shingle_sets, words
 
 WIDTH = 5
@@ -102,6 +102,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, bound: in
     Null or empty texts of either side are in no pair. Rows equal in id and text give a pair once. ``bound``: up
     to so many sketch hashes of all items go to every task; beyond it documents and sketches are joined by a
     shuffle, with the same result."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text").where("text IS NOT NULL")
     items = items.select("item_id", F.xxhash64("item_id", "text").alias("__item"), F.col("text").alias("item_text")).where("text IS NOT NULL").dropDuplicates(["__item"])
     items = written(items)

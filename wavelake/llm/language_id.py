@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, pieces, sampled
+from .common import lean, pieces, sampled, small_batches
 from .shingles import PLACES, mix
 
 GRAMS = (2, 3, 4)
@@ -142,6 +142,7 @@ def fit(labelled: DataFrame, sample_rows: int = 4000, buckets: int = 1 << 16, di
     """The model learned from at most sample_rows different (text, lang) pairs, those with the smallest hash: the one
     bound on what training sees. None if no row has both. Hashes alone are sorted; only the chosen texts travel to
     the one task that trains."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     sample = sampled(rows, F.xxhash64("text", "lang"), sample_rows).repartition(1).sortWithinPartitions("__h").select("text", "lang")
 
@@ -166,6 +167,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     added replace columns of docs of the same names; all others stay."""
     import numpy as np
 
+    small_batches(docs.sparkSession)
     names = model["langs"] if model else []
     table = np.array(model["table"], np.float32).reshape(-1, len(names)) if model else None
     bias, threshold = (np.array(model["bias"]), model["threshold"]) if model else (None, 1.0)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lean, written
+from .common import broadcast_if_small, lean, small_batches, written
 from .components import components
 from .shingles import WordHashes, band_keys, fast_sketch, shingle_sets
 
@@ -98,6 +98,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     smallest doc_id that links reach, kept says whether it is the row's own. A text without words (or null) is
     linked with nothing. A text of fewer words than five is one shingle. Rows without doc_id take part in links,
     but their ids count only if a component has no other: then component_id is null and they are kept."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = written(docs.mapInArrow(lean(_sketches), f"__row bigint, doc_id {id_type}, n bigint, digest binary, bands array<bigint>"))
