@@ -102,11 +102,11 @@ def lean(run):
     return task
 
 
-def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start, key: Column | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start, key: Column | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """docs with columns computed from text, whole texts at a time. start() is called once a task and returns a
     function from a list of texts to a list of values for each of fields (name, Spark type). Columns of docs with
     these names are replaced (text itself may be one); all others stay. key: what the function gets as its second
-    argument for each text."""
+    argument for each text. piece_bytes: about how much text the function gets at once."""
     small_batches(docs.sparkSession)
     names = [name for name, _ in fields]
     kept = [c for c in docs.columns if c not in names]
@@ -118,7 +118,7 @@ def map_texts(docs: DataFrame, fields: list[tuple[str, str]], start, key: Column
         compute = start()
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            for first, end in pieces(texts):
+            for first, end in pieces(texts, piece_bytes):
                 part = batch.slice(first, end - first)
                 own = texts[first:end]
                 columns = compute(own, part.column("__key").to_pylist()) if has_key else compute(own)

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Most lattice nodes that a worker keeps (about 50 bytes each with their edges).
-MOST_NODES = 1_000_000
+MOST_NODES = 500_000
 #: Fixed multiplier of the rolling hash, and the size of the table of beginnings.
 STEP, TABLE_BITS = 0x9E3779B97F4A7C15, 20
 
@@ -367,7 +367,7 @@ def sample(docs: DataFrame, k: int = 2, alpha: float = 1.0, model: str = MODEL,
 
         return compute
 
-    return map_texts(docs, [("samples", f"array<struct<{fields}>>")], start, key=F.xxhash64(F.lit(seed), "doc_id"))
+    return map_texts(docs, [("samples", f"array<struct<{fields}>>")], start, key=F.xxhash64(F.lit(seed), "doc_id"), piece_bytes=250_000)
 
 
 def decode(encoded: DataFrame, ids: str, text: str, model: str = MODEL) -> DataFrame:
