@@ -42,7 +42,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table has no file to tell its schema
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
