@@ -60,3 +60,26 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_ibans_before_capitals_and_digits():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    values = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "GB82 WEST 1234 5698 7654 32"]
+    for v in values:
+        for before in ("", "x ", "NO12 "):
+            for after in ("", " BIC", " EUR", " 2024", " BANK CODE", " 12 EUR", " EUROPE", "."):
+                text = before + v + after
+                a = len(before)
+                assert [(s, e) for s, e in pii.ibans(text)] == [(a, a + len(v))]
+                new = before + there.iban(v) + after
+                assert v not in new and list(pii.ibans(new)) == [(a, a + len(v))] and back.iban(there.iban(v)) == v
+    assert list(pii.ibans(" ".join(values))) and len(list(pii.ibans(" ".join(values)))) == len(values)
+
+
+def test_long_local_parts():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    for n in (160, 161, 400, 5000):
+        v = "secretname" * (n // 10) + "a" * (n % 10) + "@example.com"
+        assert pii.find_pii("to " + v) == [("email", 3, 3 + len(v))]
+        new = there.email(v)
+        assert back.email(new) == v and not any(v[i : i + 10] == new[i : i + 10] for i in range(0, n - 9, 10))
