@@ -21,8 +21,16 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Credential contexts beyond the base pattern; the value is what stands after the separator.
-CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|(?:private|access)[_-]?key|bearer)["']?\s{0,4}(?:[:=]{1,2}>?|->|\sis\s)\s{0,4}["']?([^\s"'<>,;]{6,})""", re.A)
-HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
+#: The keyword may go on as an identifier (password_hash, secretKey), and an auth scheme may stand before the value.
+CONTEXT = re.compile(
+    r"""((?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|(?:private|access|encryption|signing|[_-])[_-]?key|bearer))"""
+    r"""(?:[_-][A-Za-z0-9_-]{0,64}|(?:(?<=[a-z])[A-Z]|\d)[A-Za-z0-9_-]{0,64}|(?i:s))?["']?\s{0,4}(?:[:=]{1,2}>?|->|\sis\s)\s{0,4}["']?(?:(?i:bearer|basic|token)\s{1,4}["']?)?([^\s"'<>,;]{6,})""",
+    re.A,
+)
+#: An auth scheme with no separator: the value is what follows, unless it's a plain word.
+SCHEME = re.compile(r"""(?<![A-Za-z0-9])((?i:bearer|basic|token))\s{1,4}["']?([^\s"'<>,;]{6,})""", re.A)
+PLAIN = re.compile(r"[^A-Za-z0-9]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[^A-Za-z0-9]+(?:[A-Z]?[a-z]+|[A-Z]+))*[^A-Za-z0-9]*")
+HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "basic")
 
 # Common words of passwords, most frequent first.
 WORDS = """password secret admin welcome login letmein dragon master monkey shadow sunshine princess football baseball
@@ -86,6 +94,23 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def costly(text: str, least_cost: float) -> dict[tuple[int, int], float]:
+    """Places and costs of the values in a credential context that cost enough. Behind a value that doesn't, the search
+    goes on at the end of its keyword, as the value may hold the keyword of another."""
+    out = {}
+    for pattern in (CONTEXT, SCHEME):
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end(1)
+            if pattern is SCHEME and PLAIN.fullmatch(m[2]):
+                continue
+            if (cost := guess_cost(m[2])) >= least_cost:
+                at = m.end()
+                if not any(a < m.end(2) and m.start(2) < b for a, b in out):
+                    out[m.span(2)] = round(cost, 3)
+    return out
+
+
 def spans_of(text: str | None, least_cost: float) -> list[dict]:
     """All spans of a text, by start and kind; the base kinds first at equal starts."""
     text = text or ""
@@ -95,9 +120,7 @@ def spans_of(text: str | None, least_cost: float) -> list[dict]:
     low = text.lower()
     if any(h in low for h in HINTS):
         found += [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        for m in CONTEXT.finditer(text):
-            if (cost := guess_cost(m[1])) >= least_cost:
-                found.append(("guess", m.start(1), m.end(1), round(cost, 3)))
+        found += [("guess", a, b, c) for (a, b), c in costly(text, least_cost).items()]
     order = {k: i for i, k in enumerate((*KINDS, "guess"))}
     found.sort(key=lambda s: (s[1], order[s[0]]))
     return [{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in found]
