@@ -82,3 +82,18 @@ def test_rare_words_take_the_shuffled_join(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     key = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in df.collect())
     assert key(lm_scoring.score(docs, held, vocabulary=50, top_words=100, passes=1)) == key(lm_scoring.score(docs, held, passes=1))
+
+
+def test_words_beyond_the_vocabulary_tell_states(spark):
+    """Two kinds of text with words of their own, most of them beyond the vocabulary: the model tells them apart, and
+    it is one model whether words go to every task or take the join."""
+    r = np.random.default_rng(3)
+    word = lambda kind, k: f"{'ab'[kind]}{k}"
+    rows = [(i, " ".join(word(i % 2, k) for k in r.permutation([*r.integers(0, 5, 40), *r.integers(10, 40, 20)]))) for i in range(300)]
+    rows += [(1000, " ".join(word(0, k) for k in range(10, 40))), (1001, " ".join(word(k % 2, k) for k in range(10, 40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many, few = ({r.doc_id: r for r in lm_scoring.score(docs, F.col("doc_id") >= 1000, vocabulary=10, top_words=w).collect()} for w in (1000, 12))
+    for g in (many, few):
+        gain = {d: g[d].score - g[d].base_score for d in (1000, 1001)}
+        assert gain[1000] > gain[1001] + 1
+    assert all(math.isclose(many[d].score, few[d].score, rel_tol=1e-3) for d in many)

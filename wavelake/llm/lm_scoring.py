@@ -1,14 +1,14 @@
 """LM scoring by a hidden Markov model, beside a smoothed unigram base.
 
-Every text is a sequence of words and one end. Unigram counts cover all training texts. The hidden Markov model
-emits the most frequent words, the end, and one symbol for all other words, within which a word has its share of
-the unigram base. Baum-Welch runs over the whole training corpus: each task adds up expected counts by the scaled
-forward-backward recursion, the counts are summed across tasks, and the next model is made from the sums. A few
-rounds on a bounded sample come first, only to give those passes a starting point that isn't symmetric. Scoring is
-the scaled forward recursion, which is the exact likelihood.
-
-Frequent words (at most ``top_words``) go to every task; all rarer words meet their counts in a shuffled join, and
-as none of them is frequent, no key of that join is hot.
+Every text is a sequence of words and one end. Unigram counts cover all training texts. Each word of the training
+corpus has its own emission from each state; words that it doesn't hold share one, which is that of the unigram base.
+Baum-Welch runs over the whole training corpus: each task adds up expected counts by the scaled forward-backward
+recursion, the counts are summed by word in a shuffle, and the next model is made from the sums. A few rounds on a
+bounded sample, which tells only the most frequent words apart, come first, only to give those passes a starting point
+that isn't symmetric. Scoring is the scaled forward recursion, which is the exact likelihood.
+
+Frequent words (at most ``top_words``) go to every task; all rarer words meet their counts and emissions in a shuffled
+join, and as none of them is frequent, no key of that join is hot.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .shingles import WordHashes, words
 #: The end's hash: that of a string that no word can be.
 END = xxhash.xxh3_64_intdigest(b" end ") - (1 << 64 if xxhash.xxh3_64_intdigest(b" end ") >= 1 << 63 else 0)
 SMOOTH = 0.1
+#: Counts of the unigram base that each state gets beside its own.
+PRIOR = 20.0
 #: Most tokens that the recursions hold at once.
 TOKENS_AT_ONCE = 250_000
 
@@ -88,9 +90,9 @@ class Lookup(dict):
         return found
 
 
-def _encoder(hashes, counts, n_tokens: int, n_types: int, symbols: int):
+def _encoder(hashes, counts, n_tokens: int, n_types: int, k_words: int):
     """Symbols of each text and what the frequent words give to its sums; rare words as hashes and counts. Symbols
-    0..symbols-1 are the most frequent tokens, then the symbol of all other words, then the end."""
+    0..k_words-1 are the frequent words, k_words the end, and those above it the text's own rare words by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -104,15 +106,14 @@ def _encoder(hashes, counts, n_tokens: int, n_types: int, symbols: int):
             for first, end in pieces(texts):
                 if len(look) > 300_000:
                     look.clear()
-                syms, rare_h, rare_n, n_rare, top, other = [], [], [], [], [], []
+                syms, rare_h, rare_n, n_rare, top = [], [], [], [], []
                 for t in texts[first:end]:
                     found = list(map(look.__getitem__, words(t)))
                     at = np.fromiter((a for a, _ in found), np.int64, len(found))
-                    value = logs[at[at >= 0]]
-                    top.append(float(value.sum()) + end_log)
-                    other.append(float(value[at[at >= 0] >= symbols].sum()))
-                    syms.append(np.append(np.where((at < 0) | (at >= symbols), symbols, at), symbols + 1).astype(np.int32))
-                    h, n = np.unique(np.array([h for a, h in found if a < 0], np.int64), return_counts=True)
+                    top.append(float(logs[at[at >= 0]].sum()) + end_log)
+                    h, place, n = np.unique(np.array([h for a, h in found if a < 0], np.int64), return_inverse=True, return_counts=True)
+                    at[at < 0] = k_words + 1 + place
+                    syms.append(np.append(at, k_words).astype(np.int32))
                     rare_h.append(h)
                     rare_n.append(n)
                     n_rare.append(int(n.sum()))
@@ -128,10 +129,8 @@ def _encoder(hashes, counts, n_tokens: int, n_types: int, symbols: int):
                         pa.ListArray.from_arrays(cut(rare_n), pa.array(np.concatenate(rare_n).astype(np.int64))),
                         pa.array(n_rare, pa.int64()),
                         pa.array(top, pa.float64()),
-                        pa.array(other, pa.float64()),
-                        pa.array([int((s == symbols).sum()) for s in syms], pa.int64()),
                     ],
-                    ["doc_id", "held_out", "syms", "rare_h", "rare_n", "n_rare", "top_log", "other_log", "n_other"],
+                    ["doc_id", "held_out", "syms", "rare_h", "rare_n", "n_rare", "top_log"],
                 )
 
     return run
@@ -197,20 +196,49 @@ class Packed:
             sums[2][s] += np.bincount(self.symbols, alpha[:, s], emit.shape[1])
 
 
-def packs(column: pa.ListArray):
-    """(first, end, Packed) over a column of symbol lists, a bounded number of tokens at a time."""
+def packs(batch: pa.RecordBatch, k_words: int):
+    """(first, end, Packed) over the texts of a batch, a bounded number of tokens at a time. Symbols above k_words are
+    the rare words of all these texts, numbered on."""
     import numpy as np
 
-    offsets = column.offsets.to_numpy()
+    column = batch.column("syms")
+    offsets, rare = column.offsets.to_numpy(), batch.column("rare_h").offsets.to_numpy()
     flat = column.values.to_numpy()
     length = np.diff(offsets).astype(np.int64)
     i = 0
     while i < len(length):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + TOKENS_AT_ONCE, side="right")) - 1)
-        yield i, j, Packed(flat[offsets[i] : offsets[j]], length[i:j])
+        own = flat[offsets[i] : offsets[j]].astype(np.int64)
+        own += np.where(own > k_words, np.repeat(rare[i:j] - rare[i], length[i:j]), 0)
+        yield i, j, Packed(own, length[i:j])
         i = j
 
 
+class Emissions:
+    """Emissions of the frequent words and the end, and how those of rare words are found: from their expected counts
+    where they met them, else (in the first pass, or for words without training) as given."""
+
+    def __init__(self, frequent, other, total=None, n_tokens=0, whole=1.0):
+        self.frequent, self.other, self.total, self.n_tokens, self.whole = frequent, other, total, n_tokens, whole
+
+    def of(self, sums, counts):
+        """Emissions from expected counts (states x words): those of one state are the unigram base's if all are its."""
+        return (self.n_tokens * (sums + PRIOR * counts / self.n_tokens) / (self.total[:, None] + PRIOR) + SMOOTH) / self.whole
+
+    def all(self, batch: pa.RecordBatch, i: int, j: int):
+        import numpy as np
+
+        rare = batch.column("rare_h").offsets.to_numpy()
+        out = np.repeat(self.other[:, None], rare[j] - rare[i], 1)
+        if "met" in batch.schema.names:
+            met = batch.column("met")
+            ends = met.offsets.to_numpy()
+            found = met.values.slice(ends[i], ends[j] - ends[i])
+            at = np.repeat(rare[i:j] - rare[i], np.diff(ends[i : j + 1])) + found.field("pos").to_numpy()
+            out[:, at] = self.of(np.stack([found.field(f"v{s}").to_numpy().astype(float) for s in range(len(out))]), found.field("c").to_numpy())
+        return np.concatenate([self.frequent, out], 1)
+
+
 def starting_model(states: int, symbols: int, seed: int = 11):
     import numpy as np
 
@@ -229,41 +257,77 @@ def next_model(sums, base):
     return first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
 
 
-def _expected(model):
-    """Each task's expected counts as (state, symbol, v) rows: symbol -1 for starts, -2 - s for moves to s."""
+def _expected(first, move, emissions: Emissions, k_words: int):
+    """Each task's expected counts as (kind, h, c, v0, v1, ...) rows with a value for each state. Kind 0: a frequent word
+    or the end by its number; 1: starts at h = 0, moves to state h - 1 above; 2: a rare word by its hash, c times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        sums = [np.zeros_like(m) for m in model]
+        n = len(first)
+        names = ["kind", "h", "c", *[f"v{s}" for s in range(n)]]
+
+        def rows(kind, h, c, v):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(c), *[pa.array(x.astype(np.float32)) for x in v]], names)
+
+        total = [np.zeros(n), np.zeros((n, n)), np.zeros((n, k_words + 1))]
         for batch in batches:
-            for _, _, pack in packs(batch.column("syms")):
-                pack.expected(model, sums)
-        table = np.concatenate([sums[0][:, None], sums[1], sums[2]], 1)
-        n = len(sums[0])
-        number = np.concatenate([[-1], -2 - np.arange(n), np.arange(sums[2].shape[1])])
-        state, at = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(state.astype(np.int32)), pa.array(number[at].astype(np.int32)), pa.array(table[state, at])], ["state", "symbol", "v"])
+            offsets = batch.column("rare_h").offsets.to_numpy()
+            rare_h, rare_n = (batch.column(c).values.to_numpy() for c in ("rare_h", "rare_n"))
+            for i, j, pack in packs(batch, k_words):
+                emit = emissions.all(batch, i, j)
+                sums = [total[0], total[1], np.zeros_like(emit)]
+                pack.expected((first, move, emit), sums)
+                total[2] += sums[2][:, : k_words + 1]
+                own = slice(offsets[i], offsets[j])
+                if offsets[j] > offsets[i]:
+                    yield rows(2, rare_h[own], rare_n[own], sums[2][:, k_words + 1 :])
+        seen = np.flatnonzero(total[2].any(0))
+        yield rows(0, seen, np.zeros(len(seen), np.int64), total[2][:, seen])
+        yield rows(1, np.arange(n + 1), np.zeros(n + 1, np.int64), np.concatenate([total[0][:, None], total[1]], 1))
 
     return run
 
 
-def one_pass(encoded: DataFrame, model, base):
-    """Baum-Welch once over all of encoded; the sums that come back have a fixed size, states times symbols."""
+def with_rare(encoded: DataFrame, table: DataFrame, states: int, whole: float) -> DataFrame:
+    """encoded with what its rare words find in table (h, c, v0, ...): met (their places and expected counts), rare_log
+    and n_met. Table holds all rare words of the training texts."""
+    pairs = encoded.select("id", F.posexplode(F.arrays_zip("rare_h", "rare_n")).alias("pos", "r")).select("id", "pos", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("n"))
+    met = pairs.join(table, "h").groupBy("id").agg(
+        F.collect_list(F.struct("pos", "c", *[f"v{s}" for s in range(states)])).alias("met"),
+        F.sum(F.col("n") * F.log10((F.col("c") + SMOOTH) / whole)).alias("rare_log"),
+        F.sum("n").alias("n_met"),
+    )
+    return encoded.join(met, "id", "left")
+
+
+def one_pass(rows: DataFrame, first, move, emissions: Emissions, count, n_tokens: int, whole: float):
+    """Baum-Welch once over all of rows: the next starts, moves and emissions, and the table of the rare words, which
+    stays distributed. What comes back has a fixed size, states times frequent words. count: of those and the end."""
     import numpy as np
 
-    rows = encoded.select("syms").mapInArrow(lean(_expected(model)), "state int, symbol int, v double")
-    got = rows.groupBy("state", "symbol").agg(F.sum("v").alias("v")).toArrow()
-    state, symbol, v = (got.column(c).to_numpy() for c in ("state", "symbol", "v"))
-    sums = [np.zeros_like(m) for m in model]
-    sums[0][state[symbol == -1]] = v[symbol == -1]
-    sums[1][state[symbol < -1], -2 - symbol[symbol < -1]] = v[symbol < -1]
-    sums[2][state[symbol >= 0], symbol[symbol >= 0]] = v[symbol >= 0]
-    return next_model(sums, base)
+    n, values = len(first), [f"v{s}" for s in range(len(first))]
+    kinds = "kind int, h bigint, c bigint, " + ", ".join(f"{v} float" for v in values)
+    got = rows.mapInArrow(lean(_expected(first, move, emissions, len(count) - 1)), kinds)
+    got = written(got.groupBy("kind", "h").agg(F.sum("c").alias("c"), *[F.sum(v).cast("float").alias(v) for v in values]))
+    rows.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffles of what is written now
+    total = np.array(got.where("kind <> 1").agg(*[F.sum(v) for v in values]).first(), float)
 
+    def table(kind, size):
+        part = got.where(F.col("kind") == kind).toArrow()
+        out = np.zeros((n, size))
+        out[:, part.column("h").to_numpy()] = np.stack([part.column(v).to_numpy() for v in values])
+        return out
 
-def first_model(encoded: DataFrame, states: int, base, rows: int, rounds: int):
-    """A starting point from at most ``rows`` different training texts, those with the smallest hash, in one task."""
+    flow = table(1, n + 1) + 0.1
+    new = Emissions(None, np.full(n, SMOOTH / whole), total, n_tokens, whole)
+    new.frequent = new.of(table(0, len(count)), count)
+    return flow[:, 0] / flow[:, 0].sum(), flow[:, 1:] / flow[:, 1:].sum(1, keepdims=True), new, got.where("kind = 2").select("h", "c", *values)
+
+
+def first_model(encoded: DataFrame, states: int, base, rows: int, rounds: int, k_words: int):
+    """A starting point from at most ``rows`` different training texts, those with the smallest hash, in one task.
+    It tells len(base) - 2 words apart, and all others are one symbol."""
     import numpy as np
 
     n = len(base)
@@ -271,7 +335,9 @@ def first_model(encoded: DataFrame, states: int, base, rows: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = starting_model(states, n)
         model = model[0], model[1], model[2] * base[None] / (model[2] * base[None]).sum(1, keepdims=True)
-        all_packs = [p for batch in batches for _, _, p in packs(batch.column("syms"))]
+        all_packs = [p for batch in batches for _, _, p in packs(batch, k_words)]
+        for pack in all_packs:
+            pack.symbols = np.where(pack.symbols == k_words, n - 1, np.minimum(pack.symbols, n - 2))
         for _ in range(rounds if all_packs else 0):
             sums = [np.zeros_like(m) for m in model]
             for pack in all_packs:
@@ -279,7 +345,7 @@ def first_model(encoded: DataFrame, states: int, base, rows: int, rounds: int):
             model = next_model(sums, base)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([m.ravel() for m in model]).tolist()], pa.list_(pa.float64()))], ["m"])
 
-    sample = sampled(encoded, F.xxhash64("doc_id", "top_log", "n_rare"), rows).select("syms", "__h").repartition(1).sortWithinPartitions("__h").select("syms")
+    sample = sampled(encoded, F.xxhash64("doc_id", "top_log", "n_rare"), rows).select("syms", "rare_h", "__h").repartition(1).sortWithinPartitions("__h").select("syms", "rare_h")
     flat = np.array(sample.mapInArrow(lean(run), "m array<double>").collect()[0].m)
     return flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(states, n)
 
@@ -289,7 +355,8 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
 
     Rows where held_out is not true train the counts and the model. A null text is empty: its one token is the end.
     Rows that repeat count each. sample_rows bounds only what the starting point sees; counts and the passes of
-    Baum-Welch cover all training rows. Without training rows both scores are those of the unigram base."""
+    Baum-Welch, of which there is one at least, cover all training rows and all their words; vocabulary bounds only how
+    many words the starting point tells apart, and top_words how many go to every task. Without training rows both scores are those of the unigram base."""
     import numpy as np
 
     small_batches(docs.sparkSession)
@@ -300,12 +367,13 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
     hashes, count = frequent(counts, top_words)
     own = hashes != END
     hashes, count = np.concatenate([hashes[own], hashes[~own]]), np.concatenate([count[own], count[~own]])
-    symbols = min(vocabulary, int(own.sum()))
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, syms array<int>, rare_h array<bigint>, rare_n array<bigint>, n_rare bigint, top_log double, other_log double, n_other bigint"
-    encoded = docs.mapInArrow(lean(_encoder(hashes, count, n_tokens, n_types, symbols)), kinds).withColumn("id", F.monotonically_increasing_id())
+    k_words = int(own.sum())
+    symbols = min(vocabulary, k_words)
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, syms array<int>, rare_h array<bigint>, rare_n array<bigint>, n_rare bigint, top_log double"
+    encoded = docs.mapInArrow(lean(_encoder(hashes, count, n_tokens, n_types, k_words)), kinds).withColumn("id", F.monotonically_increasing_id())
     encoded = written(encoded.sortWithinPartitions(F.size("syms")))  # like lengths run together; written, so ids stay
 
-    c_end = int(count[~own].sum()) if len(count) else 0
+    c_end = int(count[k_words:].sum())
     share = (np.append(count[:symbols], 0) + SMOOTH) / whole
     end_share = (c_end + SMOOTH) / whole
     rest = max(1 - share[:symbols].sum() - end_share, SMOOTH / whole)
@@ -313,36 +381,36 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
     base = base / base.sum()
     train = encoded.where("NOT held_out")
     model = None
+    table = counts.select("h", "c", *[F.lit(0.0).cast("float").alias(f"v{s}") for s in range(states)])
     if n_tokens:
-        model = first_model(train, states, base, sample_rows, sample_rounds)
-        for _ in range(passes):
-            model = one_pass(train, model, base)
+        first, move, emit = first_model(train, states, base, sample_rows, sample_rounds, k_words)
+        emissions = Emissions(emit[:, np.append(np.minimum(np.arange(k_words), symbols), symbols + 1)], emit[:, symbols])
+        rows = train.select("syms", "rare_h", "rare_n")
+        for i in range(max(1, passes)):
+            if i:
+                rows = with_rare(train.select("id", "syms", "rare_h", "rare_n"), table, states, whole).select("syms", "rare_h", "rare_n", "met")
+            first, move, emissions, table = one_pass(rows, first, move, emissions, np.append(count[:k_words], c_end), n_tokens, whole)
+        model = first, move
+
+    names = ["doc_id", "held_out", "n_tokens", "n_rare", "top_log", "rare_log", "n_met"]
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "doc_id", "held_out", "n_tokens", "n_rare", "top_log", "other_log", "n_other"]
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if model is not None:
-                for i, j, pack in packs(batch.column("syms")):
-                    out[i:j] = pack.log10_likelihoods(model)
+                for i, j, pack in packs(batch, k_words):
+                    out[i:j] = pack.log10_likelihoods((*model, emissions.all(batch, i, j)))
             n = np.diff(batch.column("syms").offsets.to_numpy()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*[pa.array(n) if c == "n_tokens" else batch.column(c) for c in names], pa.array(out)], [*names, "hmm"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = encoded.select("id", "doc_id", "held_out", "syms", "n_rare", "top_log", "other_log", "n_other").mapInArrow(
-        lean(likelihoods), f"id bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_rare bigint, top_log double, other_log double, n_other bigint, hmm double"
-    )
-    rare = encoded.select("id", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("r")).select("id", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("n"))
-    met = rare.join(counts, "h", "left").groupBy("id").agg(
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + SMOOTH) / whole)).alias("rare_log"),
-        F.sum(F.when(F.col("c").isNull(), F.col("n")).otherwise(0)).alias("n_unknown"),
+    out = with_rare(encoded.select("id", "doc_id", "held_out", "syms", "rare_h", "rare_n", "n_rare", "top_log"), table, states, whole).drop("id").mapInArrow(
+        lean(likelihoods), f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_rare bigint, top_log double, rare_log double, n_met bigint, hmm double"
     )
-    out = scored.join(met, "id", "left")
-    rare_log, unknown = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("n_unknown", F.lit(0))
+    unknown = F.col("n_rare") - F.coalesce("n_met", F.lit(0))
+    base_score = F.col("top_log") + F.coalesce("rare_log", F.lit(0.0)) + unknown * math.log10(SMOOTH / whole)
     if not n_tokens:
         unknown = unknown + 1  # the end
-    base_score = F.col("top_log") + rare_log
-    inside = F.col("other_log") + rare_log - F.col("n_other") * math.log10(rest)
     return out.select(
         "doc_id",
         "held_out",
@@ -350,5 +418,5 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
         (F.col("n_tokens") - unknown).alias("n_known"),
         F.lit(n_tokens).cast("bigint").alias("train_tokens"),
         base_score.alias("base_score"),
-        (F.col("hmm") + inside if n_tokens else base_score).alias("score"),
+        (F.col("hmm") if n_tokens else base_score).alias("score"),
     )
