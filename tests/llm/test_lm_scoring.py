@@ -97,3 +97,12 @@ def test_words_beyond_the_vocabulary_tell_states(spark):
         gain = {d: g[d].score - g[d].base_score for d in (1000, 1001)}
         assert gain[1000] > gain[1001] + 1
     assert all(math.isclose(many[d].score, few[d].score, rel_tol=1e-3) for d in many)
+
+
+def test_the_end_is_counted_where_it_is_rare(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(50)) + " ") for i in range(3)]
+    docs = spark.createDataFrame([(i, t * 4) for i, t in rows], "doc_id long, text string")
+    n, v = 3 * 201, 51
+    want = 200 * math.log10(12.1 / (n + 0.1 * (v + 1))) + math.log10(3.1 / (n + 0.1 * (v + 1)))
+    for r in lm_scoring.score(docs, F.lit(False), top_words=10, passes=1).collect():
+        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.n_known == r.n_tokens == 201

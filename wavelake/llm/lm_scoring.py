@@ -90,7 +90,7 @@ class Lookup(dict):
         return found
 
 
-def _encoder(hashes, counts, n_tokens: int, n_types: int, k_words: int):
+def _encoder(hashes, counts, n_tokens: int, n_types: int, k_words: int, c_end: int):
     """Symbols of each text and what the frequent words give to its sums; rare words as hashes and counts. Symbols
     0..k_words-1 are the frequent words, k_words the end, and those above it the text's own rare words by place."""
 
@@ -99,8 +99,7 @@ def _encoder(hashes, counts, n_tokens: int, n_types: int, k_words: int):
 
         look = Lookup(hashes)
         logs = np.log10((counts + SMOOTH) / (n_tokens + SMOOTH * (n_types + 1)))
-        k = int(np.flatnonzero(hashes == END)[0]) if (hashes == END).any() else -1
-        end_log = logs[k] if k >= 0 else math.log10(SMOOTH / (n_tokens + SMOOTH * (n_types + 1)))
+        end_log = math.log10((c_end + SMOOTH) / (n_tokens + SMOOTH * (n_types + 1)))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first, end in pieces(texts):
@@ -366,14 +365,14 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
     whole = n_tokens + SMOOTH * (n_types + 1)
     hashes, count = frequent(counts, top_words)
     own = hashes != END
-    hashes, count = np.concatenate([hashes[own], hashes[~own]]), np.concatenate([count[own], count[~own]])
-    k_words = int(own.sum())
+    hashes, count = hashes[own], count[own]
+    c_end = int(counts.where(F.col("h") == END).agg(F.sum("c")).first()[0] or 0)  # few long texts: not a frequent one
+    k_words = len(hashes)
     symbols = min(vocabulary, k_words)
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, syms array<int>, rare_h array<bigint>, rare_n array<bigint>, n_rare bigint, top_log double"
-    encoded = docs.mapInArrow(lean(_encoder(hashes, count, n_tokens, n_types, k_words)), kinds).withColumn("id", F.monotonically_increasing_id())
+    encoded = docs.mapInArrow(lean(_encoder(hashes, count, n_tokens, n_types, k_words, c_end)), kinds).withColumn("id", F.monotonically_increasing_id())
     encoded = written(encoded.sortWithinPartitions(F.size("syms")))  # like lengths run together; written, so ids stay
 
-    c_end = int(count[k_words:].sum())
     share = (np.append(count[:symbols], 0) + SMOOTH) / whole
     end_share = (c_end + SMOOTH) / whole
     rest = max(1 - share[:symbols].sum() - end_share, SMOOTH / whole)
@@ -389,7 +388,7 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
         for i in range(max(1, passes)):
             if i:
                 rows = with_rare(train.select("id", "syms", "rare_h", "rare_n"), table, states, whole).select("syms", "rare_h", "rare_n", "met")
-            first, move, emissions, table = one_pass(rows, first, move, emissions, np.append(count[:k_words], c_end), n_tokens, whole)
+            first, move, emissions, table = one_pass(rows, first, move, emissions, np.append(count, c_end), n_tokens, whole)
         model = first, move
 
     names = ["doc_id", "held_out", "n_tokens", "n_rare", "top_log", "rare_log", "n_met"]
