@@ -45,6 +45,18 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table has no file to tell its schema
 
 
+def forget(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more, and lets Spark drop the shuffles that it came from."""
+    jvm = table.sparkSession.sparkContext._jvm
+    files = table.inputFiles()
+    if files:
+        folder = shared_folder(table.sparkSession)
+        name = files[0][files[0].index("/table-") :].split("/")[1]
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it is counted and found within the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if within(df, rows) else df
@@ -85,6 +97,7 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
 
 
 def lean(run):
