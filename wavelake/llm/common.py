@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows of a table that may be broadcast (16 to 64 bytes a row).
 BROADCAST_ROWS = 200_000
+#: Most bytes of a column of any length in a table that may be broadcast.
+BROADCAST_BYTES = 32_000_000
 #: Rows of whole texts that go to a Python worker in one Arrow batch.
 BATCH_ROWS = 1000
 #: Most bytes of text that a Python worker turns into arrays at once.
@@ -29,9 +32,12 @@ def lower_az(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one will do if all run in
+    one process; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,6 +51,12 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table has no file to tell its schema
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, wherever Spark can read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def forget(table: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more, and lets Spark drop the shuffles that it came from."""
     jvm = table.sparkSession.sparkContext._jvm
@@ -57,14 +69,30 @@ def forget(table: DataFrame) -> None:
     jvm.System.gc()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted and found within the bound; else as it is, for a shuffled join."""
-    return F.broadcast(df) if within(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, wide: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it is counted and found within the bounds; else as it is, for a shuffled join.
+    wide: a column of any length, whose bytes are added up too."""
+    return F.broadcast(df) if within(df, rows, wide) else df
+
+
+def within(df: DataFrame, rows: int = BROADCAST_ROWS, wide: Column | None = None) -> bool:
+    """Whether df has at most so many rows, and wide at most BROADCAST_BYTES; it looks no further than so many rows."""
+    found = df.select((F.lit(0) if wide is None else F.octet_length(wide)).alias("size")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    return found.n <= rows and (found.size or 0) <= BROADCAST_BYTES
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or one made from it that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; it counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def row_key() -> Column:
+    """128 bits that tell rows of (doc_id, text) apart; rows equal in both are one."""
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "text")]
+    return F.unhex(F.md5(F.concat_ws("\x00", *marked).cast("binary")))
 
 
 def sampled(df: DataFrame, h: Column, rows: int) -> DataFrame:
@@ -97,7 +125,7 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def lean(run):

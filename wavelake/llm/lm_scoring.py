@@ -413,7 +413,7 @@ def one_pass(pieces_: DataFrame, first, move, emissions: Emissions, k_words: int
     from pyspark.sql import Window
 
     n = len(first)
-    word = Window.partitionBy("kind", "h")
+    word = Window.partitionBy("h", "kind")  # h first: sorted by its bits alone
     lane = lambda p, k: F.shiftrightunsigned(p, 16 * k).bitwiseAND(F.lit(UNIT))
     got = pieces_.mapInArrow(lean(_expected(first, move, emissions, k_words)), ROWS)
     sums = [F.sum(F.col("c") * lane(f"p{s // LANES}", s % LANES)).over(word) for s in range(n)]
@@ -478,7 +478,7 @@ def first_model(docs: DataFrame, hashes, states: int, base, rows: int, rounds: i
     return flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(n, states)
 
 
-def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int = 20_000, top_words: int = 200_000, tolerance: float = 0.01, most_passes: int = 3, sample_rows: int = 1500, sample_rounds: int = 15, report: list | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int = 20_000, top_words: int = 200_000, tolerance: float = 0.01, most_passes: int = 10, sample_rows: int = 1500, sample_rounds: int = 15, report: list | None = None) -> DataFrame:
     """For each row of docs (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows where held_out is not true train the counts and the model. A null text is empty: its one token is the end.
@@ -486,8 +486,8 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
     until one raises the log10 likelihood a token by less than ``tolerance``, or for ``most_passes``. sample_rows bounds
     only what the starting point sees, vocabulary only how many words it tells apart, and top_words how many words go
     to every task: each training word has emissions of its own. Without training rows both scores are those of the
-    unigram base. report gets, for each pass after the first, the log10 likelihood a token of training and held-out
-    texts under the model of the pass before it."""
+    unigram base. report gets, for each pass after the first, the log10 likelihood a token of training and of held-out
+    texts under its model. The first pass has nothing to compare with: there rare words share one emission."""
     import numpy as np
 
     if not 1 <= states <= 2 * LANES:
@@ -507,47 +507,52 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
     kinds = f"ids array<{id_type}>, held_out array<boolean>, n array<int>, symbols binary, top array<int>, rare_h array<bigint>"
     alike = docs.sortWithinPartitions(F.octet_length("text"))  # texts of like length run together
     encoded = written(alike.mapInArrow(lean(_encoder(hashes)), kinds).withColumn("b", F.monotonically_increasing_id()))  # written, so b stays
-    pieces_, model = encoded, None
-    if n_tokens:
-        symbols = min(vocabulary, k_words)
-        share = (np.append(count[:symbols], 0) + SMOOTH) / whole
-        end_share = (c_end + SMOOTH) / whole
-        rest = max(1 - share[:symbols].sum() - end_share, SMOOTH / whole)
-        base = np.append(np.append(share[:symbols], rest), end_share)
-        first, move, emit = first_model(train, hashes, states, base / base.sum(), sample_rows, sample_rounds)
-        top = emit[np.append(np.minimum(np.arange(k_words), symbols), symbols + 1)]
-        model = first, move, Emissions(top, n_tokens, whole, other=emit[symbols])
-        table, last = None, None
-        for k in range(max(1, most_passes)):
-            model, a_token, new = one_pass(pieces_, *model, k_words)
-            if table is not None:
-                forget(table)
-            table = new
-            pieces_ = with_rare(encoded, table)
-            if k and report is not None:
-                report.append(a_token)
-            if k > 1 and a_token[0] - last < tolerance:
-                break
-            last = a_token[0]
     known = np.append(count, c_end)
-    log_base = lambda c: np.log10((c + SMOOTH) / whole)
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                piece = Piece(batch, i)
-                c = np.concatenate([known[piece.top], piece.rare_counts()[0]])
-                doc = np.repeat(np.arange(len(piece.n)), piece.n)
-                base_score = np.bincount(doc, log_base(c)[piece.symbols])
-                hmm = base_score.copy()
-                if model is not None:
-                    own_model = *model[:2], model[2].in_piece(piece)
-                    for own, flat, length in piece.parts(np.ones(len(piece.n), bool)):
-                        hmm[own] = likelihoods(flat, length, own_model)
-                n_known = np.bincount(doc, c[piece.symbols] > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids")[i].values, batch.column("held_out")[i].values, pa.array(piece.n), pa.array(n_known), pa.array(np.full(len(piece.n), n_tokens)), pa.array(base_score), pa.array(hmm)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return pieces_.mapInArrow(lean(scores), f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(pieces_: DataFrame, model) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    piece = Piece(batch, i)
+                    c = np.concatenate([known[piece.top], piece.rare_counts()[0]])
+                    doc = np.repeat(np.arange(len(piece.n)), piece.n)
+                    base_score = np.bincount(doc, np.log10((c + SMOOTH) / whole)[piece.symbols])
+                    hmm = base_score.copy()
+                    if model is not None:
+                        own_model = *model[:2], model[2].in_piece(piece)
+                        for own, flat, length in piece.parts(np.ones(len(piece.n), bool)):
+                            hmm[own] = likelihoods(flat, length, own_model)
+                    n_known = np.bincount(doc, c[piece.symbols] > 0).astype(np.int64)
+                    columns = [pa.array(piece.n), pa.array(n_known), pa.array(np.full(len(piece.n), n_tokens)), pa.array(base_score), pa.array(hmm)]
+                    yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, batch.column("held_out")[i].values, *columns], names)
+
+        return pieces_.mapInArrow(lean(run), f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+    if not n_tokens:
+        return scored(encoded, None)
+    symbols = min(vocabulary, k_words)
+    share = (np.append(count[:symbols], 0) + SMOOTH) / whole
+    end_share = (c_end + SMOOTH) / whole
+    rest = max(1 - share[:symbols].sum() - end_share, SMOOTH / whole)
+    base = np.append(np.append(share[:symbols], rest), end_share)
+    first, move, emit = first_model(train, hashes, states, base / base.sum(), sample_rows, sample_rounds)
+    top = emit[np.append(np.minimum(np.arange(k_words), symbols), symbols + 1)]
+    model = first, move, Emissions(top, n_tokens, whole, other=emit[symbols])
+    pieces_, table, out = encoded, None, None
+    for k in range(max(1, most_passes)):
+        model, before, new = one_pass(pieces_, *model, k_words)
+        if table is not None:
+            forget(table)
+        table, pieces_ = new, with_rare(encoded, new)
+        if k:  # before: under the model that this pass has improved
+            if out is not None:
+                forget(out)
+            out = written(scored(pieces_, model))
+            after = out.groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("a_token")).collect()
+            after = {r.held_out: r.a_token for r in after}
+            if report is not None:
+                report.append((after.get(False), after.get(True)))
+            if after[False] - before[0] < tolerance:
+                break
+    return out if out is not None else scored(pieces_, model)
