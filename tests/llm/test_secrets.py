@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from wavelake.llm import queries, secrets
@@ -51,12 +53,55 @@ def test_query_on_table(spark):
         assert got[d].n_assign + got[d].n_access + got[d].n_hex == len([x for x in want.split(",") if x])
 
 
-def test_guess_cost_is_least_over_segmentations():
+def test_guess_costs():
     assert secrets.guess_cost("summer2019") < 5 < 9 < secrets.guess_cost("xK9$mQ2vLp")
     assert secrets.guess_cost("aaaaaaaaaaaaaaaa") < 4 and secrets.guess_cost("qwertyuiop") < 4
     assert secrets.guess_cost("19991231") < 5 and secrets.guess_cost("") == 0
-    a, b = "summer", "xq7Zt"
-    assert secrets.guess_cost(a + b) <= secrets.guess_cost(a) + secrets.guess_cost(b) + 1e-9
+    assert secrets.guess_cost("testyuiop") <= secrets.guess_cost("test") + secrets.guess_cost("yuiop") + 1e-9
+    assert secrets.guess_cost("a" * 200_000) < 8
+
+
+def segment_cost(v, words):
+    """The least cost of v as one segment."""
+    low, costs = v.lower(), [sum(secrets.pool(c) for c in v)]
+    if len(v) >= 3 and len(set(v)) == 1:
+        costs.append(secrets.pool(v[0]) + math.log10(len(v)))
+    if len(v) >= 3 and all(low[i : i + 2] in secrets.STEPS for i in range(len(v) - 1)):
+        costs.append(math.log10(94 * len(v)))
+    if len(v) >= 3 and (c := words.cost(v, low, low.translate(secrets.LEET))) is not None:
+        costs.append(c)
+    if len(v) in (6, 8) and v.isdigit() and (c := secrets.date_cost(v)) is not None:
+        costs.append(c)
+    if len(v) == 4 and v.isdigit() and 1900 <= int(v) <= 2099:
+        costs.append(math.log10(200))
+    return min(costs)
+
+
+def test_guess_cost_is_least_over_all_segmentations():
+    r = random.Random(4)
+    words = secrets.Dictionary(["gre", "nnx", "tre", "bcdx", "xabc", "aab", "oooo", "qwe"])
+    assert "oooo" not in words.rank and "qwe" not in words.rank
+    pieces = ["aaa", "nnnnn", "abc", "qwert", "9876", "19991231", "2019", "010203", "test", "dragon", "DRAGON", "p4ssw0rd", "nnx", "x", "A", "7", "bcdx", "xabc", "$"]
+    for _ in range(400):
+        v = "".join(r.choice(pieces) for _ in range(r.randint(1, 4)))[:16] if r.random() < 0.7 else "".join(r.choice("abcn12xA") for _ in range(r.randint(1, 12)))
+        least = [0.0]
+        for j in range(1, len(v) + 1):  # every last segment
+            least.append(min(least[i] + segment_cost(v[i:j], words) for i in range(j)))
+        assert math.isclose(secrets.guess_cost(v, words), least[-1], abs_tol=1e-9), v
+
+
+def test_dictionary_of_the_corpus(spark):
+    docs = spark.createDataFrame([(i, f"zorblat Quux{'a' if i else ''} aaaa zorblat" + " frindle" * (i > 1)) for i in range(4)] + [(9, None)], "doc_id long, text string")
+    assert secrets.ranked_words(docs) == ["aaaa", "zorblat", "quuxa", "frindle"]
+    assert secrets.ranked_words(docs, most=2) == ["aaaa", "zorblat"]
+    assert secrets.guess_cost("frindle", secrets.Dictionary(["frindle"])) < 3 < secrets.guess_cost("frindle")
+
+
+def test_repeated_rows_and_far_values(spark):
+    text = "password:" + " " * 50 + "xK9mQ2vLpWq7Zt4R"
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    got = secrets.find_secrets(docs).collect()
+    assert len(got) == 2 and got[0] == got[1] and [text[s["start"] :] for s in got[0].secrets if s["kind"] == "guess"] == ["xK9mQ2vLpWq7Zt4R"]
 
 
 def test_empty(spark):

@@ -92,7 +92,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secrets.find_secrets(docs, words=secrets.ranked_words(docs))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.KINDS))
     return found.select(

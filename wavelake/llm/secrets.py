@@ -24,11 +24,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: The keyword may go on as an identifier (password_hash, secretKey), and an auth scheme may stand before the value.
 CONTEXT = re.compile(
     r"""((?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|(?:private|access|encryption|signing|[_-])[_-]?key|bearer))"""
-    r"""(?:[_-][A-Za-z0-9_-]{0,64}|(?:(?<=[a-z])[A-Z]|\d)[A-Za-z0-9_-]{0,64}|(?i:s))?["']?\s{0,4}(?:[:=]{1,2}>?|->|\sis\s)\s{0,4}["']?(?:(?i:bearer|basic|token)\s{1,4}["']?)?([^\s"'<>,;]{6,})""",
+    r"""(?:[_-][A-Za-z0-9_-]*|(?:(?<=[a-z])[A-Z]|\d)[A-Za-z0-9_-]*|(?i:s))?["']?\s*(?:[:=]{1,2}>?|->|\sis\s)\s*["']?(?:(?i:bearer|basic|token)\s+["']?)?([^\s"'<>,;]{6,})""",
     re.A,
 )
 #: An auth scheme with no separator: the value is what follows, unless it's a plain word.
-SCHEME = re.compile(r"""(?<![A-Za-z0-9])((?i:bearer|basic|token))\s{1,4}["']?([^\s"'<>,;]{6,})""", re.A)
+SCHEME = re.compile(r"""(?<![A-Za-z0-9])((?i:bearer|basic|token))\s+["']?([^\s"'<>,;]{6,})""", re.A)
 PLAIN = re.compile(r"[^A-Za-z0-9]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[^A-Za-z0-9]+(?:[A-Z]?[a-z]+|[A-Z]+))*[^A-Za-z0-9]*")
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "basic")
 
@@ -40,8 +40,6 @@ changeme temp token example sample demo company server database system manager o
 public private key pass access super secure dallas london paris berlin madrid michael jennifer jordan thomas robert
 charlie andrew daniel jessica ashley matthew george green black white blue red orange silver golden flower tiger lion
 star angel happy lucky hunter soccer hockey ranger""".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
 # The rows of a keyboard, and orders that people type.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol")
 STEPS = {a + b for row in WALKS for a, b in zip(row, row[1:])} | {b + a for row in WALKS for a, b in zip(row, row[1:])}
@@ -65,36 +63,68 @@ def date_cost(digits: str) -> float | None:
     return None
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs. Time grows in proportion to its length."""
+def is_pattern(word: str) -> bool:
+    """Whether a word is one repeat or one keyboard walk: those have costs of their own and are no dictionary words."""
+    return len(set(word)) == 1 or all(word[i : i + 2] in STEPS for i in range(len(word) - 1))
+
+
+class Dictionary:
+    """Ranked words: the fixed ones first, then those given, by rank."""
+
+    def __init__(self, more: list[str] = ()):
+        words = list(dict.fromkeys(w for w in (*WORDS, *more) if len(w) >= 3 and not is_pattern(w)))
+        self.rank = {w: i + 1 for i, w in enumerate(words)}
+        self.longest = max(map(len, words))
+
+    def cost(self, value: str, low: str, plain: str) -> float | None:
+        """log10 guesses of a piece of a value as one word; low and plain are the piece in lower case and without leet."""
+        rank = self.rank.get(low) or self.rank.get(plain)
+        if not rank:
+            return None
+        case = 0.0 if value.islower() else math.log10(2) if value.isupper() or value.istitle() else len(value) * math.log10(2)
+        return math.log10(rank + 1) + case + (0.0 if low in self.rank else math.log10(4))
+
+
+FIXED = Dictionary()
+
+
+def guess_cost(value: str, words: Dictionary = FIXED) -> float:
+    """log10 of the guesses that the cheapest segmentation of value needs.
+
+    A repeat or walk that ends here may start at any place of its stretch. But from the first cut inside a stretch, one
+    repeat or walk to its end costs no more than what could stand before a later one (characters cost 10 guesses each,
+    and lengths multiply where they'd add); and a segment that comes into the stretch from outside ends within the
+    longest word. So only starts that far into a stretch are tried, and time grows in proportion to the length."""
     n = len(value)
     low = value.lower()
+    low = low if len(low) == n else value  # a few letters change their length
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    run = walk = 1
+    reach = max(words.longest, 8)
+    run = walk = 0  # where the stretches that hold the last character start
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + pool(value[j - 1])  # brute force, a character more
-        run = run + 1 if j > 1 and value[j - 1] == value[j - 2] else 1
-        walk = walk + 1 if j > 1 and low[j - 2 : j] in STEPS else 1
-        if run >= 3:
-            best[j] = min(best[j], best[j - run] + pool(value[j - 1]) + math.log10(run))
-        if walk >= 3:
-            best[j] = min(best[j], best[j - walk] + math.log10(2 * 47 * walk))
-        for i in range(max(0, j - LONGEST), j - 2):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
-            if rank:
-                case = 0.0 if value[i:j].islower() else math.log10(2) if value[i:j].isupper() or value[i:j].istitle() else (j - i) * math.log10(2)
-                leet = 0.0 if low[i:j] in RANK else math.log10(4)
-                best[j] = min(best[j], best[i] + math.log10(rank + 1) + case + leet)
+        here = best[j - 1] + pool(value[j - 1])  # brute force, a character more
+        if j > 1 and value[j - 1] != value[j - 2]:
+            run = j - 1
+        if j > 1 and low[j - 2 : j] not in STEPS:
+            walk = j - 1
+        for i in range(run, min(j - 3, run + reach) + 1):
+            here = min(here, best[i] + pool(value[j - 1]) + math.log10(j - i))
+        for i in range(walk, min(j - 3, walk + reach) + 1):
+            here = min(here, best[i] + math.log10(2 * 47 * (j - i)))
+        for i in range(max(0, j - words.longest), j - 2):
+            if (cost := words.cost(value[i:j], low[i:j], plain[i:j])) is not None:
+                here = min(here, best[i] + cost)
         for k in (8, 6):
-            if j >= k and value[j - k : j].isdigit() and (cost := date_cost(value[j - k : j])) is not None:
-                best[j] = min(best[j], best[j - k] + cost)
-        if j >= 4 and value[j - 4 : j].isdigit() and 1900 <= int(value[j - 4 : j]) <= 2099:
-            best[j] = min(best[j], best[j - 4] + math.log10(200))
+            if j >= k and (digits := value[j - k : j]).isdigit() and digits.isascii() and (cost := date_cost(digits)) is not None:
+                here = min(here, best[j - k] + cost)
+        if j >= 4 and (digits := value[j - 4 : j]).isdigit() and digits.isascii() and 1900 <= int(digits) <= 2099:
+            here = min(here, best[j - 4] + math.log10(200))
+        best[j] = here
     return best[n]
 
 
-def costly(text: str, least_cost: float) -> dict[tuple[int, int], float]:
+def costly(text: str, least_cost: float, words: Dictionary = FIXED) -> dict[tuple[int, int], float]:
     """Places and costs of the values in a credential context that cost enough. Behind a value that doesn't, the search
     goes on at the end of its keyword, as the value may hold the keyword of another."""
     out = {}
@@ -104,14 +134,14 @@ def costly(text: str, least_cost: float) -> dict[tuple[int, int], float]:
             at = m.end(1)
             if pattern is SCHEME and PLAIN.fullmatch(m[2]):
                 continue
-            if (cost := guess_cost(m[2])) >= least_cost:
+            if (cost := guess_cost(m[2], words)) >= least_cost:
                 at = m.end()
                 if not any(a < m.end(2) and m.start(2) < b for a, b in out):
                     out[m.span(2)] = round(cost, 3)
     return out
 
 
-def spans_of(text: str | None, least_cost: float) -> list[dict]:
+def spans_of(text: str | None, least_cost: float, words: Dictionary = FIXED) -> list[dict]:
     """All spans of a text, by start and kind; the base kinds first at equal starts."""
     text = text or ""
     found = [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
@@ -120,20 +150,31 @@ def spans_of(text: str | None, least_cost: float) -> list[dict]:
     low = text.lower()
     if any(h in low for h in HINTS):
         found += [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        found += [("guess", a, b, c) for (a, b), c in costly(text, least_cost).items()]
+        found += [("guess", a, b, c) for (a, b), c in costly(text, least_cost, words).items()]
     order = {k: i for i, k in enumerate((*KINDS, "guess"))}
     found.sort(key=lambda s: (s[1], order[s[0]]))
     return [{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in found]
 
 
-def find_secrets(docs: DataFrame, least_cost: float = 9.0) -> DataFrame:
-    """docs with secrets: array<struct<kind, start, end, log10_guesses>>, offsets in code points, end exclusive.
+def ranked_words(docs: DataFrame, most: int = 20_000) -> list[str]:
+    """The words of 3 to 20 letters that most rows of docs hold, most frequent first, equal ones in order of the
+    alphabet: at most ``most``, which is the size of a guesser's dictionary. All rows are counted."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z])[a-z]{3,20}(?![a-z])"), F.lit(0)))
+    counted = docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    return [r.w for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+def find_secrets(docs: DataFrame, least_cost: float = 9.0, words: list[str] = ()) -> DataFrame:
+    """docs with secrets: array<struct<kind, start, end, log10_guesses>>, offsets in code points, end exclusive. A
+    column of that name is replaced, all others stay.
 
     Kinds assign, access and hex are fixed patterns over the whole text; guess is a value in a credential context
-    of at least 10 ** least_cost guesses. Null and empty texts have none. Each row stands for itself."""
+    of at least 10 ** least_cost guesses (just so many count). words: the guesser's dictionary beside the fixed words,
+    by rank. Null and empty texts have none. Each row stands for itself, also where rows repeat."""
+    dictionary = Dictionary(words)
 
     def start():
-        return lambda texts: [[spans_of(t, least_cost) for t in texts]]
+        return lambda texts: [[spans_of(t, least_cost, dictionary) for t in texts]]
 
     return map_texts(docs, [("secrets", "array<struct<kind:string,start:bigint,end:bigint,log10_guesses:double>>")], start)
 
