@@ -1,6 +1,9 @@
+import datetime
 import random
+import re
+import time
 
-from wavelake.llm import pii
+from wavelake.llm import pii, queries
 
 VALUES = {
     "phone": ["+1 (743) 555-3824", "415-555-2671", "+14155552671", "+44 20 7946 0958"],
@@ -83,3 +86,83 @@ def test_long_local_parts():
         assert pii.find_pii("to " + v) == [("email", 3, 3 + len(v))]
         new = there.email(v)
         assert back.email(new) == v and not any(v[i : i + 10] == new[i : i + 10] for i in range(0, n - 9, 10))
+
+
+def slow_finder(text):
+    """Every kind in order; a match counts if it overlaps nothing that counts."""
+    by_kind = []
+    for kind in pii.KINDS:
+        whole = [s for s in CANDIDATES[kind](text)]
+        by_kind += [(kind, a, b) for a, b in whole]
+    out = []
+    for kind, a, b in by_kind:
+        if all(b <= c or d <= a for _, c, d in out):
+            out.append((kind, a, b))
+    return sorted(out, key=lambda s: s[1])
+
+
+def emails(text):
+    for m in pii.DOMAIN.finditer(text):
+        a = m.start()
+        while a and text[a - 1] in pii.LOCAL:
+            a -= 1
+        if a < m.start():
+            yield a, m.end()
+
+
+def digits_of(text):
+    return re.sub(r"\D", "", text)
+
+
+CANDIDATES = {
+    "email": emails,
+    "iban": pii.ibans,
+    "card": lambda t: [m.span() for m in pii.CARD.finditer(t) if sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits_of(m[0])))) % 10 == 0],
+    "ssn": lambda t: [m.span() for m in pii.SSN.finditer(t)],
+    "ip": lambda t: [m.span() for m in pii.IP.finditer(t)],
+    "phone": lambda t: [m.span() for m in pii.PHONE.finditer(t) if 7 <= len(digits_of(m[0])) <= 15],
+    "date": lambda t: [m.span() for m in pii.DATE.finditer(t) if pii.read_date(m[0])],
+}
+
+
+def test_query_matches_plain_python(spark):
+    """Each text of the table: values found by trying every match against all others, and replaced one by one."""
+    got = {r.doc_id: r for r in queries.op7_pii(spark, "/root/testdata/sf0.001").collect()}
+    names = pii.Pseudonyms(queries.PII_KEY.encode())
+    docs = queries.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        found = slow_finder(r.text) if r.text else []
+        text = r.text
+        for kind, a, b in reversed(found):
+            text = text[:a] + getattr(names, kind)(text[a:b]) + text[b:]
+        assert got[r.doc_id].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in found) and got[r.doc_id].text == text
+
+
+def test_finder_matches_the_slow_one_on_mixed_texts():
+    r = random.Random(8)
+    parts = [v for vs in VALUES.values() for v in vs] + ["@", "@c.com", ".", "-", " ", " ", "12", "2021-01-01-02", "555-", "a.b@c.de@f.gh", "/"]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        assert pii.find_pii(text) == slow_finder(text), text
+
+
+def test_a_long_text_takes_seconds():
+    text = "".join(f"u{i}@ex.org 10.0.{i % 250}.7 " for i in range(40_000))
+    began = time.perf_counter()
+    assert len(pii.find_pii(text)) == 80_000
+    assert time.perf_counter() - began < 10
+
+
+def test_a_date_has_one_pseudonym_in_every_form():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    day, seen = datetime.date(1900, 1, 1), set()
+    while day.year < 2100:
+        y, m, d = day.year, day.month, day.day
+        forms = [f"{y:04d}-{m:02d}-{d:02d}", f"{d:02d}/{m:02d}/{y:04d}", f"{d}.{m}.{y}"] + ([f"{m:02d}/{d:02d}/{y:04d}"] if d > 12 else [])
+        new = {pii.read_date(there.date(f))[0] for f in forms}
+        assert len(new) == 1, forms
+        assert all(pii.read_date(back.date(there.date(f)))[0] == day for f in forms)
+        seen |= new
+        day += datetime.timedelta(days=17)
+    assert len(seen) == -(-(datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days // 17)

@@ -8,9 +8,12 @@ equal values stay equal in all documents and spellings, and whoever holds the ke
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import hashlib
+import itertools
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -34,7 +37,9 @@ KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31
 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
 #: Letters and digits that are permuted as one number: half of its bits fit in one hash.
 AT_ONCE = 160
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
+YEARS = range(1900, 2100)
+#: The days of each month beyond the twelfth, added up: those that no order of day and month mistakes for another.
+LATE = list(itertools.accumulate((calendar.monthrange(y, m)[1] - 12 for y in YEARS for m in range(1, 13)), initial=0))
 
 
 class Permutation:
@@ -161,13 +166,18 @@ class Pseudonyms:
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
     def date(self, text: str) -> str:
-        day, form = read_date(text)
-        order, sep, padded = form
-        while True:
-            day = datetime.date.fromordinal(FIRST_DAY + self.move(day.toordinal() - FIRST_DAY, DAYS, b"date"))
-            if order[0] != "month" or day.day > 12:  # else it would be read as day before month
-                break
-        return sep.join(f"{day.year:04d}" if k == "y" else f"{getattr(day, k):02d}" if padded else str(getattr(day, k)) for k in order)
+        """A day up to the twelfth goes to another such day and a later one to a later one, in every format alike: so a
+        date has one pseudonym, and one that is written month first is still read so."""
+        day, (order, sep, padded) = read_date(text)
+        month = (day.year - YEARS[0]) * 12 + day.month - 1
+        if day.day <= 12:
+            month, d = divmod(self.move(month * 12 + day.day - 1, len(YEARS) * 144, b"early"), 12)
+        else:
+            at = self.move(LATE[month] + day.day - 13, LATE[-1], b"late")
+            month = bisect_right(LATE, at) - 1
+            d = at - LATE[month] + 12
+        new = {"y": f"{YEARS[0] + month // 12:04d}", "month": month % 12 + 1, "day": d + 1}
+        return sep.join(new[k] if k == "y" else f"{new[k]:02d}" if padded else str(new[k]) for k in order)
 
 
 def read_date(text: str) -> tuple[datetime.date, tuple] | None:
@@ -184,7 +194,7 @@ def read_date(text: str) -> tuple[datetime.date, tuple] | None:
             day = datetime.date(int(y), int(mo), int(d))
         except ValueError:
             continue
-        if 0 <= day.toordinal() - FIRST_DAY < DAYS:
+        if day.year in YEARS:
             return day, (order, sep, padded)
     return None
 
@@ -223,12 +233,25 @@ def find_pii(text: str) -> list[tuple[str, int, int]]:
         found += [("ip", m.start(), m.end()) for m in IP.finditer(text)]
         found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 7 <= sum(c in DIGITS for c in m[0]) <= 15]
         found += [("date", m.start(), m.end()) for m in DATE.finditer(text) if read_date(m[0])]
-    taken, out = [], []
-    for kind, a, b in found:  # in the order of KINDS
-        if all(b <= c or d <= a for c, d in taken):
-            taken.append((a, b))
-            out.append((kind, a, b))
-    return sorted(out, key=lambda s: s[1])
+    out: list[tuple[int, int, str]] = []
+    for _, own in itertools.groupby(found, key=lambda s: s[0]):  # in the order of KINDS, each by its places
+        out = merged(out, own)
+    return [(kind, a, b) for a, b, kind in out]
+
+
+def merged(taken: list[tuple[int, int, str]], own) -> list[tuple[int, int, str]]:
+    """taken with those of own (kind, start, end) that overlap nothing, by start: one sweep over both."""
+    out, i, last = [], 0, 0
+    for kind, a, b in own:
+        while i < len(taken) and taken[i][0] < b:
+            last = max(last, taken[i][1])
+            out.append(taken[i])
+            i += 1
+        if a >= last:
+            at = len(out)  # what was taken and starts before b ends before a
+            out.insert(at, (a, b, kind))
+            last = b
+    return out + taken[i:]
 
 
 def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
