@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, broadcast_if_small, lean, small_batches, within, written
+from .common import BROADCAST_ROWS, broadcast_if_small, fresh, lean, row_key, small_batches, within, written
 from .shingles import WordHashes, shingle_sets, words
 
 WIDTH = 5
@@ -99,31 +99,34 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, bound: in
     percent % of the distinct shingles of the item (item_id, text). Words are cut at white space, A-Z in lower
     case; a shingle is five words, and an item of fewer words is one shingle of its own length.
 
-    Null or empty texts of either side are in no pair. Rows equal in id and text give a pair once. ``bound``: up
+    Null or empty texts of either side are in no pair. Rows equal in id and text give a pair once; other columns
+    play no part. A share of just percent % counts. ``bound``: up
     to so many sketch hashes of all items go to every task; beyond it documents and sketches are joined by a
     shuffle, with the same result."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text").where("text IS NOT NULL")
+    docs = docs.select("doc_id", row_key().alias("__row"), "text").where("text IS NOT NULL")
     items = items.select("item_id", F.xxhash64("item_id", "text").alias("__item"), F.col("text").alias("item_text")).where("text IS NOT NULL").dropDuplicates(["__item"])
     items = written(items)
     sketches = written(items.mapInArrow(lean(_item_sketches(percent)), "__item bigint, width int, hash bigint"))
     widths = sorted(r.width for r in sketches.select("width").distinct().collect())
     few = within(sketches, bound)
     wanted = [r.hash for r in sketches.select("hash").distinct().collect()] if few else None
-    hits = docs.select("__row", "text").mapInArrow(lean(_document_hashes(widths, wanted)), "__row bigint, hash bigint")
+    hits = docs.select("__row", "text").mapInArrow(lean(_document_hashes(widths, wanted)), "__row binary, hash bigint")
     hashes = sketches.select("hash", "__item")
     candidates = written(hits.join(F.broadcast(hashes) if few else hashes, "hash").select("__row", "__item").distinct())
 
     rows = broadcast_if_small(candidates.select("__row").distinct())
     texts = docs.join(rows, "__row", "left_semi").dropDuplicates(["__row"])
-    pairs = texts.join(candidates, "__row").join(broadcast_if_small(items), "__item").select("__row", "doc_id", "item_id", "text", "item_text")
+    pairs = texts.join(candidates, "__row").join(broadcast_if_small(items, wide=F.col("item_text")), "__item").select("__row", "doc_id", "item_id", "text", "item_text")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    checked = pairs.mapInArrow(lean(_contained), f"__row bigint, doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_item_shingles bigint, n_shared bigint")
+    checked = pairs.mapInArrow(lean(_contained), f"__row binary, doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_item_shingles bigint, n_shared bigint")
     return checked.where((F.col("n_item_shingles") > 0) & (100 * F.col("n_shared") >= percent * F.col("n_item_shingles")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the documents that contain an item; all columns stay, and so do rows with a null text."""
+    """docs without the documents that contain an item; all columns stay, and so do rows with a null or empty text.
+    Rows that repeat go or stay together. Without items, or without documents, docs is what it was."""
     found = written(contaminated(docs, items, percent).select("__row").distinct())
-    marked = docs.select("*", F.xxhash64("doc_id", "text").alias("__row"))
-    return marked.join(broadcast_if_small(found), "__row", "left_anti").select(*docs.columns)
+    key = fresh(docs, "__row")
+    marked = docs.select("*", row_key().alias(key))
+    return marked.join(broadcast_if_small(found.withColumnRenamed("__row", key)), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,11 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lean, small_batches, written
+from .common import broadcast_if_small, fresh, lean, row_key, small_batches, written
 from .components import components
 from .shingles import WordHashes, band_keys, fast_sketch, shingle_sets
 
 WIDTH, BANDS, ROWS = 5, 25, 4
+PAIRS_A_SLICE = 1000
 
 
 def _digests(x, ends) -> list[bytes]:
@@ -67,9 +68,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose full sets are similar enough."""
+    """The pairs (a, b) of digests whose full sets are similar enough. A set that more than PAIRS_A_SLICE pairs ask for
+    as b is sent in several copies, each for a slice of them, so that no key is hot."""
+    pairs = written(pairs.select("a", "b"))
+    slices = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_SLICE).cast("int").alias("slices")).where("slices > 1")
+    slices = broadcast_if_small(written(slices))
     left, right = (sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    right = right.join(slices, "b", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    pairs = pairs.join(slices, "b", "left").withColumn("slice", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1))).cast("int"))
+    both = pairs.select("a", "b", "slice").join(left, "a").join(right, ["b", "slice"])
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -92,16 +99,16 @@ def _hidden_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """For each row of docs: __row (a hash of doc_id and text), doc_id, n_shingles, component_id, kept.
+    """For each row of docs: __row (128 bits of doc_id and text), doc_id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id that links reach, kept says whether it is the row's own. A text without words (or null) is
     linked with nothing. A text of fewer words than five is one shingle. Rows without doc_id take part in links,
     but their ids count only if a component has no other: then component_id is null and they are kept."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__row"), "text")
+    docs = docs.select("doc_id", row_key().alias("__row"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(lean(_sketches), f"__row bigint, doc_id {id_type}, n bigint, digest binary, bands array<bigint>"))
+    rows = written(docs.mapInArrow(lean(_sketches), f"__row binary, doc_id {id_type}, n bigint, digest binary, bands array<bigint>"))
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("__row").alias("a_row"), F.max("n").alias("n"), F.any_value("bands").alias("bands")))
 
     buckets = classes.select("digest", F.explode("bands").alias("key"))
@@ -137,12 +144,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near duplicates, the one with the smallest doc_id; all columns stay.
-    Rows that repeat both id and text are one document and leave one row. Texts without words are all kept."""
-    row = F.xxhash64("doc_id", "text").alias("__row")
-    found = near_duplicates(docs, percent)
-    odd = written(found.groupBy("__row").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"))
+    Rows that repeat both id and text are one document and leave one row. Texts without words are all kept, once each.
+    An empty table gives an empty table."""
+    key = fresh(docs, "__row")
+    found = near_duplicates(docs, percent).withColumnRenamed("__row", key)
+    odd = written(found.groupBy(key).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"))
     # those that go are few: beyond the bound of a broadcast, documents are shuffled once
-    out = docs.select("*", row).join(broadcast_if_small(odd.where("NOT kept").select("__row")), "__row", "left_anti")
+    out = docs.select("*", row_key().alias(key)).join(broadcast_if_small(odd.where("NOT kept").select(key)), key, "left_anti")
     if not odd.where("kept").isEmpty():
-        out = out.dropDuplicates(["__row"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates([key])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
