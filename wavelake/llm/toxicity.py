@@ -90,8 +90,10 @@ def train(texts: list[str], toxic: list[int], rounds: int = 300, penalty: float
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> dict | None:
     """The model learned from at most sample_rows labelled documents, half of them toxic where there are so many:
     the bound on what training sees. labels: (doc_id, toxic); a document with several labels counts as toxic if
-    one says so. None if nothing is labelled."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one says so. toxic is boolean or a number, of which all but 0 say toxic. Null labels and texts are left out. None if
+    nothing is labelled."""
+    says = F.when(F.col("toxic").cast("double") == 0, 0).otherwise(1)
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(says).alias("toxic"))
     pick = lambda t: sampled(known.where(F.col("toxic") == t), F.xxhash64("doc_id"), sample_rows // 2).select("doc_id", "toxic")
     sample = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(pick(0).union(pick(1))), "doc_id").select("text", "toxic")
 
@@ -113,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> dict | N
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs with severity (expected grade, 0 to 3), grade (the likeliest) and toxic (boolean), from whole texts.
 
-    Null and empty texts, and texts without a word of the model, get what the thresholds alone give. Without a
+    Null and empty texts, and texts without a word of the model, get what the thresholds alone give. Of equally likely
+    grades the lowest is named. Rows that repeat get the same. An empty table gives an empty table. Without a
     model all are 0 and false. Columns of docs with these names are replaced; all others stay."""
     import numpy as np
 
