@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wavelake.llm import lm_scoring, queries
@@ -146,7 +147,7 @@ def test_scores_against_baum_welch_in_plain_python(spark):
     counts = lm_scoring.count_words(docs.where("doc_id < 100"))
     hashes, _ = lm_scoring.frequent(counts, 14)
     hashes = hashes[hashes != lm_scoring.END]
-    place = {t: int(lm_scoring.Frequent(hashes).places([t])[0][0]) for t in c if t is not None}
+    place = {t: int(lm_scoring.Frequent(hashes).places(lm_scoring.WordHashes().of([t]).view(np.int64))[0]) for t in c if t is not None}
     symbols = min(8, len(hashes))
     by_place = {k: c[t] for t, k in place.items() if k >= 0}
     share = np.array([(by_place[k] + 0.1) / whole for k in range(symbols)])
@@ -184,3 +185,13 @@ def test_scores_against_baum_welch_in_plain_python(spark):
         first, move = starts / starts.sum(), moves / moves.sum(1, keepdims=True)
     for i, t in rows:
         assert math.isclose(got[i], sum(math.log10(s) for _, s in forward(tokens(t))), rel_tol=1e-3), (i, got[i])
+
+
+def test_tokens_are_those_of_the_contract():
+    texts = ["", " ", "\tA  b\x0bÄ\x0cA\r\n", "a\u00a0b c", "x", "  y  Y\x1fz "]
+    n, at, h = lm_scoring.tokens(pa.array(texts), lm_scoring.WordHashes())
+    want = [lm_scoring.words(t) for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert h[at].tolist() == lm_scoring.WordHashes().of([x for w in want for x in w]).view(np.int64).tolist()
+    parts = [p.num_rows for p in lm_scoring.cut(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 5)]
+    assert sum(parts) == len(texts) and len(parts) > 1

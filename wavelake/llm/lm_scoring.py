@@ -8,7 +8,7 @@ the next model is made from the sums. A few rounds on a bounded sample, which te
 come before, only to give the passes a starting point that isn't symmetric. Scoring is the scaled forward recursion,
 which is the exact likelihood.
 
-Texts are encoded once, in pieces of about a megabyte of texts of like length: a piece is one row. The emissions of
+Texts are encoded once, in pieces of about two megabytes of texts of like length: a piece is one row. The emissions of
 frequent words (at most ``top_words``) go to every task; the expected counts of all rarer words stay in a table, and
 each piece is joined with those of its own words. As none of them is frequent, no key of their sums is hot.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, lean, pieces, sampled, small_batches, written
+from .common import forget, lean, sampled, small_batches, written
 from .shingles import WordHashes, words
 
 #: The end's hash: that of a string that no word can be.
@@ -32,21 +32,51 @@ SMOOTH = 0.1
 #: Counts of the unigram base that each state gets beside its own.
 PRIOR = 20.0
 #: Most tokens that the recursions hold at once.
-TOKENS_AT_ONCE = 250_000
+TOKENS_AT_ONCE = 500_000
+#: About how many characters of texts make a piece.
+PIECE = 2_000_000
 #: Expected counts of a word travel as shares of its count, a 16-bit number for each state, in two longs.
 LANES, UNIT = 4, 65535
 
 
+def tokens(texts: pa.Array, cache: WordHashes):
+    """(words of each text, and each word in order as its place among the distinct ones, whose hashes come last)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    n, flat = pc.list_value_length(split).to_numpy().astype(np.int64), split.flatten()
+    empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # before and behind white space
+    if empty.any():
+        n -= np.bincount(np.repeat(np.arange(len(n)), n)[empty], minlength=len(n))
+        flat = flat.filter(pa.array(~empty))
+    coded = flat.dictionary_encode()
+    return n, coded.indices.to_numpy(), cache.of(coded.dictionary.cast(pa.binary()).to_pylist()).view(np.int64)
+
+
+def cut(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about limit bytes of text."""
+    import pyarrow.compute as pc
+
+    first = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        size += n
+        if size >= limit:
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     cache = WordHashes()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for first, end in pieces(texts, 8_000_000):
-            h = np.concatenate([cache.of(words(t)) for t in texts[first:end]]).view(np.int64)
-            value, count = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(value, END)), pa.array(np.append(count, end - first).astype(np.int64))], ["h", "c"])
+        for part in cut(batch, 8_000_000):
+            _, at, h = tokens(part.column("text"), cache)
+            count = np.bincount(at, minlength=len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, END)), pa.array(np.append(count, part.num_rows).astype(np.int64))], ["h", "c"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -83,17 +113,15 @@ class Frequent:
 
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
-        self.cache = WordHashes()
 
-    def places(self, ws: list[bytes]):
-        """(places, hashes) of the words."""
+    def places(self, h):
+        """The places of the words with these hashes."""
         import numpy as np
 
-        h = self.cache.of(ws).view(np.int64)
         if not len(self.sorted):
-            return np.full(len(h), -1), h
+            return np.full(len(h), -1)
         k = np.minimum(self.sorted.searchsorted(h), len(self.sorted) - 1)
-        return np.where(self.sorted[k] == h, self.order[k], -1), h
+        return np.where(self.sorted[k] == h, self.order[k], -1)
 
 
 def squeezed(symbols) -> bytes:
@@ -116,23 +144,17 @@ def _encoder(hashes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        look = Frequent(hashes)
+        look, cache = Frequent(hashes), WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, end in pieces(texts):
-                split = [words(t) for t in texts[first:end]]
-                n = np.array([len(w) for w in split], np.int64)
-                at, h = look.places([w for ws in split for w in ws])
-                stop = np.cumsum(n)
-                at = np.insert(at, stop, k_words)  # the end of each text
-                h = np.insert(h, stop, 0)
-                top, sym = np.unique(at, return_inverse=True)
-                known = at >= 0
-                if top[0] < 0:
-                    top, sym = top[1:], sym - 1
+            for part in cut(batch, PIECE):
+                n, at, h = tokens(part.column("text"), cache)
+                place = look.places(h)
+                known = place >= 0
+                top = np.append(np.unique(place[known]), k_words)
                 rare, own = np.unique(h[~known], return_inverse=True)
-                sym[~known] = len(top) + own
-                part = batch.slice(first, end - first)
+                symbol = np.searchsorted(top, place)
+                symbol[~known] = len(top) + own
+                sym = np.insert(symbol[at], np.cumsum(n), len(top) - 1)  # the end of each text
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -359,15 +381,15 @@ FREQUENT, FLOW, RARE = 0, 1, 2
 
 def _expected(first, move, emissions: Emissions, k_words: int):
     """Each task's expected counts. A row of kind RARE: one rare word of one piece b, at its place; FREQUENT: a frequent
-    word or the end by its number; FLOW: log10 likelihood and tokens of training and of held-out texts, then starts
-    and moves. Held-out texts add nothing to counts, but their rare words have rows, so that they meet theirs."""
+    word or the end by its number; FLOW: log10 likelihood and number of the training tokens, then starts and moves. Held-out texts add nothing to counts, but their rare words have rows, so that they meet theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         n, task = len(first), None
+        small = first.astype(np.float32), move.astype(np.float32)
         total = [np.zeros(n), np.zeros((n, n)), np.zeros((k_words + 1, n))]
-        tally = np.zeros(4)
+        tally = np.zeros(2)
 
         def rows(kind, h, b, pos, c, p0, p1):
             m = len(h)
@@ -380,12 +402,10 @@ def _expected(first, move, emissions: Emissions, k_words: int):
             for i in range(batch.num_rows):
                 piece = Piece(batch, i)
                 task = piece.b if task is None else task
-                model = first, move, emissions.in_piece(piece)
-                sums = [total[0], total[1], np.zeros_like(model[2])]
+                model = *small, emissions.in_piece(piece).astype(np.float32)
+                sums = [total[0], total[1], np.zeros(model[2].shape)]
                 for own, flat, length in piece.parts(~piece.held_out):
-                    tally[:2] += expected(flat, length, model, sums), len(flat)
-                for own, flat, length in piece.parts(piece.held_out):
-                    tally[2:] += likelihoods(flat, length, model).sum(), len(flat)
+                    tally += expected(flat, length, model, sums), len(flat)
                 m = len(piece.top)
                 total[2][piece.top] += sums[2][:m]
                 own = sums[2][m:]
@@ -403,8 +423,8 @@ def _expected(first, move, emissions: Emissions, k_words: int):
 
 
 def one_pass(pieces_: DataFrame, first, move, emissions: Emissions, k_words: int):
-    """Baum-Welch once over all pieces: the next starts, moves and emissions, the log10 likelihood a token of training
-    and held-out texts under the model given, and the table of the new expected counts, which stays distributed. What
+    """Baum-Welch once over all pieces: the next starts, moves and emissions, the log10 likelihood a token of the
+    training texts under the model given, and the table of the new expected counts, which stays distributed. What
     comes back to the driver has a fixed size, states times frequent words.
 
     Each row of the table has the sums over all rows of its word: c and the states' shares."""
@@ -433,9 +453,8 @@ def one_pass(pieces_: DataFrame, first, move, emissions: Emissions, k_words: int
     rare = part(RARE).where("once").agg(*[F.coalesce(F.sum(F.col("c") * lane(f"p{s // LANES}", s % LANES)), F.lit(0)).cast("double") for s in range(n)]).first()
     new = Emissions(None, emissions.n_tokens, emissions.whole, count @ share_ + np.array(rare) / UNIT)
     new.top = new.of(count, share_)
-    starts, moves = flow[4 : 4 + n] + 0.1, flow[4 + n :].reshape(n, n) + 0.1
-    a_token = flow[0] / max(flow[1], 1), flow[2] / max(flow[3], 1)
-    return (starts / starts.sum(), moves / moves.sum(1, keepdims=True), new), a_token, table
+    starts, moves = flow[2 : 2 + n] + 0.1, flow[2 + n :].reshape(n, n) + 0.1
+    return (starts / starts.sum(), moves / moves.sum(1, keepdims=True), new), flow[0] / max(flow[1], 1), table
 
 
 def with_rare(encoded: DataFrame, table: DataFrame) -> DataFrame:
@@ -452,10 +471,10 @@ def first_model(docs: DataFrame, hashes, states: int, base, rows: int, rounds: i
     n = len(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, parts = Frequent(hashes[: n - 2]), []
+        look, cache, parts = Frequent(hashes[: n - 2]), WordHashes(), []
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                at = look.places(words(t))[0]
+                at = look.places(cache.of(words(t)).view(np.int64))
                 parts.append(np.append(np.where(at < 0, n - 2, at), n - 1))
         model = starting_model(states, n)
         model = model[0], model[1], model[2] * base[:, None] / (model[2] * base[:, None]).sum(0)
@@ -553,6 +572,6 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, vocabulary: int =
             after = {r.held_out: r.a_token for r in after}
             if report is not None:
                 report.append((after.get(False), after.get(True)))
-            if after[False] - before[0] < tolerance:
+            if after[False] - before < tolerance:
                 break
     return out if out is not None else scored(pieces_, model)
