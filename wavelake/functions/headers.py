@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lookups import MPEG_BITRATES, MPEG_RATES
+from .lookups import DEFAULT_MASKS, FORMATS, MPEG_BITRATES, MPEG_RATES, SPEAKERS
+
+
+#: The longest MPEG frame.
+MOST_FRAME_BYTES = 2880
+#: The longest coded block, and the most channels of one.
+MOST_BLOCK_BYTES, MOST_CHANNELS = 1 << 20, 64
 
 
 def bits(b: Column, shift: int, mask: int) -> Column:
@@ -17,7 +23,8 @@ def _pick(values: list[int], index: Column) -> Column:
 
 
 def mpeg_header(b0: Column, b1: Column, b2: Column, b3: Column) -> dict[str, Column]:
-    """Fields of a 4-byte MPEG audio header; valid says whether it is one, and the others are null if not."""
+    """Fields of a 4-byte MPEG frame header; valid says whether it is one, and the others are null if not. A frame must
+    fit 2,880 bytes and hold its header, checksum and side information; size 0 is the free format."""
     version_bits, layer_bits = bits(b1, 3, 3), bits(b1, 1, 3)
     bitrate_index, rate_index = bits(b2, 4, 15), bits(b2, 2, 3)
     valid = (b0 == 0xFF) & (bits(b1, 5, 7) == 7) & (version_bits != 1) & (layer_bits != 0) & (bitrate_index != 15) & (rate_index != 3)
@@ -30,8 +37,15 @@ def mpeg_header(b0: Column, b1: Column, b2: Column, b3: Column) -> dict[str, Col
     padding, bitrate = bits(b2, 1, 1), kbit * 1000
     # a layer I frame is whole slots of four bytes: divide before multiplying
     size = F.when(kbit == 0, 0).when(layer == 1, (F.floor(12 * bitrate / rate) + padding) * 4).otherwise(F.floor(F.floor(samples / 8) * bitrate / rate) + padding)
-    fields = {"version": version, "layer": layer, "bitrate": bitrate, "sample_rate": rate, "channels": F.when(bits(b3, 6, 3) == 3, 1).otherwise(2), "samples": samples, "frame_size": size}
-    return {"valid": F.coalesce(valid, F.lit(False)), **{k: F.when(valid, v.cast("bigint")) for k, v in fields.items()}}
+    mode = bits(b3, 6, 3)
+    channels = F.when(mode == 3, 1).otherwise(2)
+    crc = bits(b1, 0, 1) == 0
+    side = F.when(layer != 3, 0).when(version == 1, F.when(mode == 3, 17).otherwise(32)).otherwise(F.when(mode == 3, 9).otherwise(17))
+    valid = valid & (size <= MOST_FRAME_BYTES) & ((size == 0) | (size >= 4 + F.when(crc, 2).otherwise(0) + side))
+    valid = F.coalesce(valid, F.lit(False))
+    fields = {"version": version, "layer": layer, "bitrate": bitrate, "sample_rate": rate, "channels": channels, "samples": samples, "frame_size": size, "side_info": side, "mode": mode, "mode_extension": bits(b3, 4, 3), "emphasis": bits(b3, 0, 3)}
+    flags = {"crc_present": crc, "padding": padding == 1, "private": bits(b2, 0, 1) == 1, "copyright": bits(b3, 3, 1) == 1, "original": bits(b3, 2, 1) == 1}
+    return {"valid": valid, **{k: F.when(valid, v.cast("bigint")) for k, v in fields.items()}, **{k: F.when(valid, v) for k, v in flags.items()}}
 
 
 def opus_toc(b: Column) -> dict[str, Column]:
@@ -52,23 +66,101 @@ def _pick_text(values: list[str], index: Column) -> Column:
 
 
 def duration(frames: Column, delay: Column, padding: Column, rate: Column) -> Column:
-    """Seconds of a track without its delay and padding; -1 where its length is not known."""
-    return F.when(frames.isNull(), -1.0).otherwise(F.greatest(frames - delay - padding, F.lit(0)) / rate)
+    """Seconds of a track without its delay and padding; -1 where its length or rate is not known."""
+    known = frames.isNotNull() & (rate > 0)
+    return F.when(known, F.greatest(frames - delay - padding, F.lit(0)) / F.when(rate > 0, rate)).otherwise(-1.0)
 
 
 def layout_valid(mask: Column, channels: Column) -> Column:
-    """A mask of 0 states nothing; any other names each channel."""
-    return (mask == 0) | (F.bit_count(mask) == channels)
+    """There is a channel at least. A mask of 0 states nothing; any other names each channel."""
+    return (channels > 0) & ((mask == 0) | (F.bit_count(mask) == channels))
+
+
+def layout_channels(mask: Column, channels: Column) -> Column:
+    """The speakers of a valid layout, by channel: the i-th set bit; an empty array where none are named."""
+    names = F.array(*[F.when(F.shiftright(mask.cast("int"), i).bitwiseAND(1) == 1, s) for i, s in enumerate(SPEAKERS)])
+    return F.when(layout_valid(mask, channels), F.filter(names, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+
+def default_mask(channels: Column) -> Column:
+    """The usual mask of 1 to 8 channels, else 0."""
+    return F.coalesce(F.get(F.array(*map(F.lit, DEFAULT_MASKS)), (channels - 1).cast("int")), F.lit(0)).cast("bigint")
+
+
+def bytes_for(fmt: str, channels: Column, frames: Column) -> Column:
+    """Bytes of so many frames; DSD packs eight samples a byte, opaque data has a byte a frame."""
+    if fmt == "opaque":
+        return frames.cast("bigint")
+    width = next(bits for name, bits, _, _ in FORMATS if name == fmt)
+    return F.floor((channels * frames * width + 7) / 8).cast("bigint")
+
+
+def opus_frames(granule: Column, pre_skip: Column) -> Column:
+    """Frames of an Opus stream from its last granule; null where none is stated."""
+    return F.greatest(granule - pre_skip, F.lit(0)).cast("bigint") * F.when(granule.isNotNull(), 1)
+
+
+def length_source(header: dict[str, Column], stated: Column, counted: Column) -> Column:
+    """Where the length of an MPEG stream comes from: stated by a tag, counted, estimated from a rate, or unknown."""
+    return F.when(~header["valid"], "unknown").when(stated, "stated").when(counted, "counted").when(header["bitrate"] > 0, "estimated").otherwise("unknown")
+
+
+def layout_offset(frame: Column, channel: Column, channels: Column, frames: Column, width: int, planar: bool) -> Column:
+    """Where a sample of ``width`` bytes lies; frames is the length of its track."""
+    return ((channel * frames + frame) if planar else (frame * channels + channel)) * width
+
+
+def coded_geometry(coding: str, block: Column, channels: Column, stated: Column | None = None) -> dict[str, Column]:
+    """result, block_bytes and block_frames of a coding; the last two are null unless result is OK. A block that can't be
+    dealt out to its channels, or holds other than the stated frames (0: not stated), is CORRUPT."""
+    if coding in ("ulaw", "alaw"):
+        size, frames, fits = 2048 * channels, F.lit(2048), F.lit(True)
+    elif coding == "ima-qt":
+        size, frames, fits = 34 * channels, F.lit(64), F.lit(True)
+    elif coding in ("ima-wav", "ms-adpcm"):
+        head, unit, first = (4, 4, 1) if coding == "ima-wav" else (7, 1, 2)
+        own = F.when(channels > 0, channels)
+        size, frames = block, F.floor((block - head * channels) / own) * 2 + first
+        fits = (block > head * channels) & (block <= MOST_BLOCK_BYTES) & ((block - head * channels) % (unit * own) == 0)
+    else:
+        raise ValueError(f"not a block coding: {coding}")
+    if stated is not None:
+        fits = fits & ((stated == 0) | (stated == frames))
+    result = F.when(channels <= 0, "INVALID").when(channels > MOST_CHANNELS, "LIMIT").when(fits, "OK").otherwise("CORRUPT")
+    return {"result": result, **{k: F.when(result == "OK", v.cast("bigint")) for k, v in (("block_bytes", size), ("block_frames", frames))}}
 
 
 def coded_frames(coding: str, block: Column, channels: Column) -> Column:
-    """Frames that a whole coded block of ``block`` bytes holds."""
+    """Frames that a block of ``block`` bytes holds; null where its geometry is corrupt."""
     if coding in ("ulaw", "alaw"):
-        return F.floor(block / channels).cast("bigint")
+        return F.when(channels > 0, F.floor(block / F.when(channels > 0, channels))).cast("bigint")
     if coding == "ima-qt":
-        return (F.floor(block / (34 * channels)) * 64).cast("bigint")
-    if coding == "ima-wav":
-        return (F.floor((block - 4 * channels) / channels) * 2 + 1).cast("bigint")
-    if coding == "ms-adpcm":
-        return (F.floor((block - 7 * channels) / channels) * 2 + 2).cast("bigint")
-    raise ValueError(f"not a block coding: {coding}")
+        return F.when(channels > 0, F.floor(block / F.when(channels > 0, 34 * channels)) * 64).cast("bigint")
+    return coded_geometry(coding, block, channels)["block_frames"]
+
+
+def tail_frames(coding: str, size: Column, block: Column, channels: Column) -> Column:
+    """Frames that a last block of only ``size`` bytes yields; a whole one has those of the geometry."""
+    own = F.when(channels > 0, channels)
+    whole = coded_geometry(coding, block, channels)
+    if coding in ("ulaw", "alaw"):
+        part = F.floor(size / own)
+    elif coding == "ima-qt":
+        part = F.when(size >= 34 * own, 64).otherwise(0)
+    elif coding == "ima-wav":
+        part = F.when(size < 4 * own, 0).otherwise(1 + 8 * F.floor((size - 4 * own) / (4 * own)))
+    else:
+        part = F.when(size < 7 * own, 0).otherwise(2 + F.floor((size - 7 * own) * 2 / own))
+    return F.when(size <= 0, 0).when(size >= whole["block_bytes"], whole["block_frames"]).otherwise(part).cast("bigint")
+
+
+def seek_coded(frame: Column, block_frames: Column, total: Column) -> dict[str, Column]:
+    """Where an exact seek lands: result, block and frame within it. A frame past the end is INVALID."""
+    ok = (frame >= 0) & (frame <= total)
+    return {"result": F.when(ok, "OK").otherwise("INVALID"), "block": F.when(ok, F.floor(frame / block_frames)).cast("bigint"), "skip": F.when(ok, frame % block_frames).cast("bigint")}
+
+
+def track_result(rate: Column, mask: Column, channels: Column, fmt: Column) -> Column:
+    """OK, or INVALID for a track without rate, with an invalid layout or an unknown sample format."""
+    good = (rate > 0) & layout_valid(mask, channels) & fmt.isin(*[f[0] for f in FORMATS])
+    return F.when(F.coalesce(good, F.lit(False)), "OK").otherwise("INVALID")

@@ -1,4 +1,4 @@
-"""Fixed values of the audio formats, as plain lists and as small DataFrames for lookup joins."""
+"""Fixed values of the sound formats, as plain lists and as small DataFrames for lookup joins."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ FORMATS = [("u8", 8, True, False), ("s8", 8, True, False), ("s16", 16, True, Fal
 TAGS = "title artist album albumartist date tracknumber tracktotal discnumber disctotal genre composer performer comment copyright encoder isrc language organization lyrics bpm".split()
 
 # Container spellings of tags.
-VORBIS_FIELDS = {"TITLE": "title", "ARTIST": "artist", "ALBUM": "album", "ALBUMARTIST": "albumartist", "ALBUM ARTIST": "albumartist", "DATE": "date", "YEAR": "date", "TRACKNUMBER": "tracknumber", "TRACKTOTAL": "tracktotal", "TOTALTRACKS": "tracktotal", "DISCNUMBER": "discnumber", "DISCTOTAL": "disctotal", "TOTALDISCS": "disctotal", "GENRE": "genre"}
-ID3_FRAMES = {"TIT2": "title", "TPE1": "artist", "TALB": "album", "TPE2": "albumartist", "TDRC": "date", "TYER": "date", "TRCK": "tracknumber", "TPOS": "discnumber", "TCON": "genre", "TCOM": "composer", "TPE3": "performer", "TPE4": "performer", "COMM": "comment", "TCOP": "copyright", "TSSE": "encoder", "TSRC": "isrc", "TLAN": "language", "TPUB": "organization", "USLT": "lyrics", "TBPM": "bpm"}
+VORBIS_FIELDS = {"TITLE": "title", "ARTIST": "artist", "ALBUM": "album", "ALBUMARTIST": "albumartist", "ALBUM ARTIST": "albumartist", "DATE": "date", "YEAR": "date", "TRACKNUMBER": "tracknumber", "TRACKTOTAL": "tracktotal", "TOTALTRACKS": "tracktotal", "DISCNUMBER": "discnumber", "DISCTOTAL": "disctotal", "TOTALDISCS": "disctotal", "GENRE": "genre", "COMPOSER": "composer", "PERFORMER": "performer", "COPYRIGHT": "copyright", "DESCRIPTION": "comment", "COMMENT": "comment", "ORGANIZATION": "organization", "LABEL": "organization", "PUBLISHER": "organization", "ENCODER": "encoder", "ISRC": "isrc", "LYRICS": "lyrics", "UNSYNCEDLYRICS": "lyrics", "BPM": "bpm", "LANGUAGE": "language"}
+ID3_FRAMES = {"TIT2": "title", "TT2": "title", "TPE1": "artist", "TP1": "artist", "TALB": "album", "TAL": "album", "TPE2": "albumartist", "TP2": "albumartist", "TDRC": "date", "TYER": "date", "TYE": "date", "TRCK": "tracknumber", "TRK": "tracknumber", "TPOS": "discnumber", "TPA": "discnumber", "TCON": "genre", "TCO": "genre", "TCOM": "composer", "TCM": "composer", "TPE3": "performer", "TP3": "performer", "TPE4": "performer", "TP4": "performer", "COMM": "comment", "COM": "comment", "TCOP": "copyright", "TCR": "copyright", "TSSE": "encoder", "TSS": "encoder", "TSRC": "isrc", "TRC": "isrc", "TLAN": "language", "TLA": "language", "TPUB": "organization", "TPB": "organization", "USLT": "lyrics", "ULT": "lyrics", "TBPM": "bpm", "TBP": "bpm"}
 RIFF_FIELDS = {"INAM": "title", "IART": "artist", "IPRD": "album", "ICRD": "date", "IDIT": "date", "ITRK": "tracknumber", "IPRT": "tracknumber", "IGNR": "genre", "IMUS": "composer", "ISTR": "performer", "ICMT": "comment", "ISBJ": "comment", "ICOP": "copyright", "ISFT": "encoder", "ILNG": "language", "IPUB": "organization"}
 
 # The ID3v1 genres, by number.
@@ -22,7 +22,7 @@ GENRES = """Blues|Classic Rock|Country|Dance|Disco|Funk|Grunge|Hip-Hop|Jazz|Meta
 IMA_STEPS = [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767]
 IMA_MOVES = [-1, -1, -1, -1, 2, 4, 6, 8]
 
-# MPEG audio kbit/s by (MPEG-1?, layer) and bitrate index; Hz by version and rate index.
+# MPEG kbit/s by (MPEG-1?, layer) and bitrate index; Hz by version and rate index.
 MPEG_BITRATES = {
     (1, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
     (1, 2): [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384],
@@ -41,6 +41,15 @@ SPEAKERS = "FL FR FC LFE BL BR FLC FRC BC SL SR TC TFL TFC TFR TBL TBC TBR".spli
 MAGICS = [("wav", 0, 0, "52494646"), ("wav", 0, 8, "57415645"), ("aiff", 1, 0, "464F524D"), ("aiff", 1, 8, "41494646"), ("aiff", 1, 8, "41494643"), ("flac", 2, 0, "664C6143"), ("ogg-flac", 3, 0, "4F676753"), ("vorbis", 5, 0, "4F676753"), ("opus", 6, 0, "4F676753")]
 
 
+# Text chunks of AIFF, and the seven default MS ADPCM coefficient pairs and its delta factors.
+AIFF_FIELDS = {"NAME": "title", "AUTH": "artist", "(c) ": "copyright", "ANNO": "comment"}
+MS_PAIRS = [(256, 0), (512, -256), (0, 0), (192, 64), (240, 0), (460, -208), (392, -232)]
+MS_FACTORS = [230, 230, 230, 230, 307, 409, 512, 614, 768, 614, 512, 409, 307, 230, 230, 230]
+
+# Codings as (name, is_pcm, format that it decodes to).
+CODINGS = [("pcm", True, None), ("ulaw", False, "s16"), ("alaw", False, "s16"), ("ima-wav", False, "s16"), ("ima-qt", False, "s16"), ("ms-adpcm", False, "s16"), ("flac", False, None)]
+
+
 def table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Full scale of the integer formats.
@@ -68,3 +68,40 @@ def zigzag(r: Column) -> Column:
 
 def unzigzag(z: Column) -> Column:
     return F.when(z % 2 == 0, F.expr("0") + F.shiftright(z, 1)).otherwise(-F.shiftright(z, 1) - 1).cast("bigint")
+
+
+def dithered(buffers: DataFrame, values: str, fmt: str, seed: Column, kind: str = "triangular") -> DataFrame:
+    """buffers, one a row, with their fractions as whole numbers of fmt: a draw (rectangular) or the sum of two
+    (triangular) is added to each value before it is rounded, half away from zero, and clamped. The draws of a buffer come
+    one after the other from its seed (0: a fixed one), so a buffer is the unit of work; none adds nothing."""
+    scale = SCALE[fmt]
+    schema = buffers.withColumn(values, F.array().cast("array<bigint>")).schema
+    mask = (1 << 64) - 1
+
+    def draw(state: int) -> tuple[int, int]:
+        state ^= state >> 12
+        state ^= state << 25 & mask
+        state ^= state >> 27
+        return state, (state * 0x2545F4914F6CDD1D & mask) >> 11
+
+    def run(batches):
+        import math
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for own, start in zip(batch.column(values).to_pylist(), batch.column("__seed").to_pylist()):
+                state, row = (start & mask) or 0x9E3779B97F4A7C15, []
+                for v in own or []:
+                    x = v * scale
+                    for _ in range({"none": 0, "rectangular": 1, "triangular": 2}[kind]):
+                        state, u = draw(state)
+                        x += u / 2.0**53 - 0.5
+                    x = math.floor(x + 0.5) if x >= 0 else math.ceil(x - 0.5)
+                    row.append(min(max(x, -scale), scale - 1) + (128 if fmt == "u8" else 0))
+                out.append(row)
+            columns = [pa.array(out, pa.list_(pa.int64())) if c == values else batch.column(c) for c in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return buffers.withColumn("__seed", seed.cast("bigint")).mapInArrow(run, schema)

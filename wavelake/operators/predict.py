@@ -4,29 +4,27 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.samples import zigzag
+from .ranges import SPAN, running_sum, with_previous
 
 BLOCK = 16
 
 
-def in_track():
-    return Window.partitionBy("track").orderBy("frame")
-
-
-def residual(samples: DataFrame, order: int) -> DataFrame:
+def residual(samples: DataFrame, order: int, span: int = SPAN) -> DataFrame:
     """(track, frame, r): what the fixed predictor of an order leaves; samples before a track's start are 0."""
-    r = sum(((-1) ** k * comb(order, k) * F.coalesce(F.lag("x", k).over(in_track()), F.lit(0)) for k in range(1, order + 1)), F.col("x"))
-    return samples.select("track", "frame", r.cast("bigint").alias("r"))
+    near = with_previous(samples, "track", "frame", "x", order, span) if order else samples
+    r = sum(((-1) ** k * comb(order, k) * F.col(f"__p{k}") for k in range(1, order + 1)), F.col("x"))
+    return near.select("track", "frame", r.cast("bigint").alias("r"))
 
 
-def reconstruct(residuals: DataFrame, order: int) -> DataFrame:
-    """(track, frame, x): the samples back, a running sum for each order."""
-    out = residuals.withColumnRenamed("r", "x")
+def reconstruct(residuals: DataFrame, order: int, span: int = SPAN) -> DataFrame:
+    """(track, frame, x): the samples back, a running sum for each order, range by range."""
+    out = residuals.select("track", "frame", F.col("r").alias("x"))
     for _ in range(order):
-        out = out.withColumn("x", F.sum("x").over(in_track().rowsBetween(Window.unboundedPreceding, 0)))
+        out = running_sum(out, "track", "frame", F.col("x"), "x", span=span)
     return out.select("track", "frame", F.col("x").cast("bigint").alias("x"))
 
 
@@ -58,7 +56,7 @@ def left_right(ms: DataFrame) -> DataFrame:
 def stereo_assignment(stereo: DataFrame) -> DataFrame:
     """For each block the cheapest of independent, left/side, side/right and mid/side by the sum of magnitudes; of
     equal ones the earlier."""
-    d = mid_side(stereo).join(stereo, ["track", "frame"]) if "mid" not in stereo.columns else stereo
+    d = stereo.withColumns({"mid": F.shiftright(F.col("l") + F.col("r"), 1), "side": F.col("l") - F.col("r")})
     cost = {c: F.sum(F.abs(F.col(c))) for c in ("l", "r", "mid", "side")}
     plans = [cost["l"] + cost["r"], cost["l"] + cost["side"], cost["side"] + cost["r"], cost["mid"] + cost["side"]]
     got = d.groupBy("track", F.floor(F.col("frame") / BLOCK).alias("block")).agg(F.least(*[F.struct(p.cast("bigint").alias("cost"), F.lit(i).cast("bigint").alias("plan")) for i, p in enumerate(plans)]).alias("m"))

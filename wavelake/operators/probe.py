@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lookups import MAGICS, table
+from ..sources.files import mpeg_confidence
 
 LIKELY, CERTAIN = 75, 100
 ORDER = ["wav", "aiff", "flac", "ogg-flac", "mp3", "vorbis", "opus"]
@@ -33,11 +35,22 @@ def probes(content: Column) -> dict[str, Column]:
     }
 
 
+def _mpeg(content: Column) -> Column:
+    """The MPEG probe: frames have no fixed place, so the bytes are searched."""
+
+    @F.pandas_udf("int")
+    def confidence(data: pd.Series) -> pd.Series:
+        return data.map(mpeg_confidence)
+
+    return confidence(content)
+
+
 def identify(files: DataFrame, content: str = "content") -> DataFrame:
     """files with codec and confidence: a probe's answer replaces that of a signature, the greatest wins, of equal
     ones the first registered; null and 0 if nothing matched. No join: the registry is a row expression."""
     c = F.col(content)
-    own = probes(c)
+    files = files.withColumn("__mpeg", _mpeg(c))
+    own = {**probes(c), "mp3": F.col("__mpeg")}
     ranked = []
     for codec in ORDER:
         magic = [m for m in MAGICS if m[0] == codec]
@@ -47,7 +60,7 @@ def identify(files: DataFrame, content: str = "content") -> DataFrame:
         confidence = F.coalesce(own.get(codec, F.lit(None)), F.when(hit, LIKELY), F.lit(0))
         ranked.append(F.struct(confidence.cast("int").alias("confidence"), F.lit(-ORDER.index(codec)).alias("o"), F.lit(codec).alias("codec")))
     best = F.greatest(*ranked)
-    return files.withColumn("__best", best).withColumn("codec", F.when(F.col("__best.confidence") > 0, F.col("__best.codec"))).withColumn("confidence", F.col("__best.confidence")).drop("__best")
+    return files.withColumn("__best", best).withColumn("codec", F.when(F.col("__best.confidence") > 0, F.col("__best.codec"))).withColumn("confidence", F.col("__best.confidence")).drop("__best", "__mpeg")
 
 
 def magic_matches(spark: SparkSession, files: DataFrame, content: str = "content") -> DataFrame:

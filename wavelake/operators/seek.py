@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import SPAN, last_before, running_sum
 
-def as_of(targets: DataFrame, points: DataFrame, key: str = "track", at: str = "frame", payload: str = "offset") -> DataFrame:
-    """targets with the payload and position of the last point at or before them. Both sides go through one sort by
-    position within a key, so the work is linear however many points a key has; no range join is needed."""
-    both = targets.select(key, at, F.lit(1).alias("__t"), F.lit(None).cast(points.schema[payload].dataType).alias(payload)).unionByName(points.select(key, at, F.lit(0).alias("__t"), payload))
-    w = Window.partitionBy(key).orderBy(at, "__t").rowsBetween(Window.unboundedPreceding, 0)
-    point = F.last(F.when(F.col("__t") == 0, F.struct(F.col(at).alias("p"), F.col(payload).alias("o"))), ignorenulls=True).over(w)
-    got = both.select(key, at, "__t", point.alias("s")).where("__t = 1")
-    return got.select(key, at, F.col("s.p").alias("point"), F.col("s.o").alias(payload))
 
+def as_of(targets: DataFrame, points: DataFrame, key: str = "track", at: str = "frame", payload: str = "offset", span: int = SPAN) -> DataFrame:
+    """targets with the payload and position (point) of the last point at or before them; both null before the first.
+    Other columns of targets stay. A long key is worked range by range, and no range join is needed."""
+    return last_before(targets, points, key, at, [payload], span)
 
-def packets(lacing: DataFrame, stream: str, order: str, value: str) -> DataFrame:
+
+def packets(lacing: DataFrame, stream: str, order: str, value: str, span: int = SPAN) -> DataFrame:
     """Packets of each stream: a lacing value below 255 ends one. (stream, packet, values, bytes, whole)"""
-    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.coalesce(F.sum((F.col(value) < 255).cast("bigint")).over(w), F.lit(0)).alias("packet")
-    return lacing.select(stream, ends, value).groupBy(stream, "packet").agg(F.count("*").alias("values"), F.sum(value).cast("bigint").alias("bytes"), F.max((F.col(value) < 255).cast("int")).cast("bigint").alias("whole"))
+    ends = running_sum(lacing, stream, order, (F.col(value) < 255).cast("bigint"), "packet", inclusive=False, span=span)
+    return ends.groupBy(stream, "packet").agg(F.count("*").alias("values"), F.sum(value).cast("bigint").alias("bytes"), F.max((F.col(value) < 255).cast("int")).cast("bigint").alias("whole"))
+
+
+def last_granule(pages: DataFrame, stream: str, order: str, granule: str = "granule") -> DataFrame:
+    """The last stated granule of each stream; null where none of its pages states one (null or -1)."""
+    stated = F.when(F.col(granule) != -1, F.struct(F.col(order).alias("o"), F.col(granule).alias("g")))
+    return pages.groupBy(stream).agg(F.max(stated)["g"].alias("granule"))
+
+
+def bisect(targets: DataFrame, pages: DataFrame, key: str, granule: str = "granule") -> DataFrame:
+    """For each target granule the offset of the page after the last page whose granule isn't above it; before the
+    first such page, the first page with a granule. pages: (key, offset, next_offset, granule), -1: not stated."""
+    stated = pages.where(F.col(granule).isNotNull() & (F.col(granule) != -1))
+    first = stated.groupBy(key).agg(F.min("offset").alias("__first"))
+    got = last_before(targets, stated.select(key, granule, "next_offset"), key, granule, ["next_offset"])
+    return got.join(first, key, "left").withColumn("landing", F.coalesce("next_offset", "__first")).drop("__first", "next_offset", "point")

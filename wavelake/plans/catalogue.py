@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import headers, samples
-from ..functions.lookups import DEFAULT_MASKS, FORMATS, GENRES, ID3_FRAMES, IMA_MOVES, IMA_STEPS, MAGICS, MPEG_BITRATES, MPEG_RATES, RIFF_FIELDS, SPEAKERS, VORBIS_FIELDS, sql_values, table
+from ..functions.lookups import FORMATS, GENRES, IMA_MOVES, IMA_STEPS, MAGICS, sql_values
 from ..operators import adpcm, measure, predict, probe, seek, tags
 from ..sources import tables as t
 from ..sources.tables import BYTE_SQL, FLOAT_SQL, HEADER_SQL, MONO_SQL, STEREO_SQL
@@ -88,36 +88,39 @@ def convert_s16_u8(spark, d):
 
 @query("layout_offsets", f"SELECT track, frame, ch, (frame * 2 + ch) * 2 AS interleaved, (ch * count(*) OVER (PARTITION BY track, ch) + frame) * 2 AS planar FROM {STEREO_SQL}, (VALUES (0), (1)) c(ch)")
 def layout_offsets(spark, d):
-    s = t.stereo_tracks(spark, d).select("track", "frame", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ch"))
-    n = F.count("*").over(Window.partitionBy("track", "ch"))
-    return s.select("track", "frame", "ch", ((F.col("frame") * 2 + F.col("ch")) * 2).alias("interleaved"), ((F.col("ch") * n + F.col("frame")) * 2).alias("planar"))
+    tracks = t.stereo_tracks(spark, d)
+    s = tracks.select("track", "frame", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ch"))
+    s = s.join(tracks.groupBy("track").agg(F.count("*").alias("frames")), "track")
+    at = lambda planar: headers.layout_offset(F.col("frame"), F.col("ch"), F.lit(2), F.col("frames"), 2, planar)
+    return s.select("track", "frame", "ch", at(False).alias("interleaved"), at(True).alias("planar"))
 
 
-@query("channel_layout_valid", f"SELECT b, b % 9 AS channels, b = 0 OR bit_count(b::BIGINT) = b % 9 AS valid, count(*) AS n FROM {BYTE_SQL} GROUP BY b")
+@query("channel_layout_valid", f"SELECT b, b % 9 AS channels, b % 9 > 0 AND (b = 0 OR bit_count(b::BIGINT) = b % 9) AS valid, count(*) AS n FROM {BYTE_SQL} GROUP BY b")
 def channel_layout_valid(spark, d):
     b = t.byte_rows(spark, d).groupBy("b").agg(F.count("*").alias("n"))
     return b.select("b", (F.col("b") % 9).alias("channels"), headers.layout_valid(F.col("b"), F.col("b") % 9).alias("valid"), "n")
 
 
-@query("channel_layout_at", f"SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY bit) - 1 AS at, name FROM {BYTE_SQL} JOIN {sql_values([(i, s) for i, s in enumerate(SPEAKERS)], 'bit', 'name')} ON (b >> bit) & 1 = 1")
+SPEAKER_SQL = "(VALUES (0, 'FL'), (1, 'FR'), (2, 'FC'), (3, 'LFE'), (4, 'BL'), (5, 'BR'), (6, 'FLC'), (7, 'FRC')) AS t(bit, name)"
+
+
+@query("channel_layout_at", f"SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY bit) - 1 AS at, name FROM (SELECT *, event_id // 256 % 9 AS c FROM events JOIN {BYTE_SQL} USING (event_id)) JOIN {SPEAKER_SQL} ON (b >> bit) & 1 = 1 WHERE c = bit_count(b::BIGINT)")
 def channel_layout_at(spark, d):
-    names = F.array(*[F.when(F.shiftright(F.col("b").cast("int"), i).bitwiseAND(1) == 1, s) for i, s in enumerate(SPEAKERS)])
-    at = F.posexplode(F.filter(names, lambda x: x.isNotNull())).alias("at", "name")
-    return t.byte_rows(spark, d).select("event_id", at).select("event_id", F.col("at").cast("bigint").alias("at"), "name")
+    b = t.byte_rows(spark, d)
+    at = F.posexplode(headers.layout_channels(F.col("b"), F.floor(F.col("event_id") / 256) % 9)).alias("at", "name")
+    return b.select("event_id", at).select("event_id", F.col("at").cast("bigint").alias("at"), "name")
 
 
-@query("default_mask", f"SELECT b % 10 AS channels, coalesce(mask, 0) AS mask, count(*) AS n FROM {BYTE_SQL} LEFT JOIN {sql_values([(i + 1, m) for i, m in enumerate(DEFAULT_MASKS)], 'c', 'mask')} ON c = b % 10 GROUP BY ALL")
+@query("default_mask", "SELECT b % 10 AS channels, CASE b % 10 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 7 WHEN 4 THEN 51 WHEN 5 THEN 55 WHEN 6 THEN 63 WHEN 7 THEN 1807 WHEN 8 THEN 1599 ELSE 0 END AS mask, count(*) AS n FROM " + BYTE_SQL + " GROUP BY ALL")
 def default_mask(spark, d):
-    masks = F.array(*map(F.lit, DEFAULT_MASKS))
-    c = F.col("channels")
     b = t.byte_rows(spark, d).groupBy((F.col("b") % 10).alias("channels")).agg(F.count("*").alias("n"))
-    return b.select("channels", F.coalesce(F.get(masks, (c - 1).cast("int")), F.lit(0)).cast("bigint").alias("mask"), "n")
+    return b.select("channels", headers.default_mask(F.col("channels")).alias("mask"), "n")
 
 
 @query("frame_sizes", f"SELECT name, p_size AS channels, p_partkey, CASE WHEN name = 'dsd1' THEN (p_size * p_partkey + 7) // 8 WHEN name = 'opaque' THEN p_partkey ELSE bits // 8 * p_size * p_partkey END AS bytes FROM part, {sql_values([(n, b) for n, b, _, _ in FORMATS], 'name', 'bits')}")
 def frame_sizes(spark, d):
     c, n = F.col("p_size").cast("bigint"), F.col("p_partkey")
-    sizes = [F.struct(F.lit(name).alias("name"), (F.expr("(p_size * p_partkey + 7) div 8") if name == "dsd1" else n if name == "opaque" else c * n * (bits // 8)).cast("bigint").alias("bytes")) for name, bits, _, _ in FORMATS]
+    sizes = [F.struct(F.lit(name).alias("name"), headers.bytes_for(name, c, n).alias("bytes")) for name, *_ in FORMATS]
     return t.read(spark, d, "part").select("p_partkey", c.alias("channels"), F.explode(F.array(*sizes)).alias("s")).select("s.name", "channels", "p_partkey", "s.bytes")
 
 
@@ -190,14 +193,42 @@ def ima_decode_block(spark, d):
 
 @query(
     "coded_geometry",
-    """SELECT p_partkey, c AS channels, block, (block // c) AS g711, block // (34 * c) * 64 AS ima_qt,
-    (block - 4 * c) // c * 2 + 1 AS ima_wav, (block - 7 * c) // c * 2 + 2 AS ms
-    FROM (SELECT p_partkey, p_size % 2 + 1 AS c, 256 * (p_size % 2 + 1) AS block FROM part)""",
+    """SELECT p_partkey, c AS channels, block, CASE WHEN c = 0 THEN NULL ELSE block // c END AS g711, CASE WHEN c = 0 THEN NULL ELSE block // (34 * c) * 64 END AS ima_qt,
+    CASE WHEN c > 0 AND block > 4 * c AND (block - 4 * c) % (4 * c) = 0 THEN (block - 4 * c) // c * 2 + 1 END AS ima_wav,
+    CASE WHEN c > 0 AND block > 7 * c AND (block - 7 * c) % c = 0 THEN (block - 7 * c) // c * 2 + 2 END AS ms,
+    CASE WHEN c = 0 THEN 'INVALID' WHEN block > 4 * c AND (block - 4 * c) % (4 * c) = 0 AND p_partkey % 3 * 505 IN (0, (block - 4 * c) // c * 2 + 1) THEN 'OK' ELSE 'CORRUPT' END AS ima_result
+    FROM (SELECT p_partkey, p_size % 4 AS c, CAST(p_size * 8 AS BIGINT) AS block FROM part)""",
 )
 def coded_geometry(spark, d):
-    p = t.read(spark, d, "part").select("p_partkey", (F.col("p_size") % 2 + 1).cast("bigint").alias("channels")).withColumn("block", 256 * F.col("channels"))
+    p = t.read(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).cast("bigint").alias("channels"), (F.col("p_size") * 8).cast("bigint").alias("block"))
     codings = {"g711": "ulaw", "ima_qt": "ima-qt", "ima_wav": "ima-wav", "ms": "ms-adpcm"}
-    return p.select("*", *[headers.coded_frames(c, F.col("block"), F.col("channels")).alias(n) for n, c in codings.items()])
+    own = headers.coded_geometry("ima-wav", F.col("block"), F.col("channels"), F.col("p_partkey") % 3 * 505)
+    return p.select("*", *[headers.coded_frames(c, F.col("block"), F.col("channels")).alias(n) for n, c in codings.items()], own["result"].alias("ima_result"))
+
+
+@query(
+    "coded_tail_frames",
+    """SELECT event_id, c AS channels, size, least(size // c, 2048) AS ulaw, CASE WHEN size >= 34 * c THEN 64 ELSE 0 END AS ima_qt,
+    CASE WHEN size = 0 OR size < 4 * c THEN 0 WHEN size >= 256 * c THEN 505 ELSE 1 + (size - 4 * c) // (4 * c) * 8 END AS ima_wav,
+    CASE WHEN size = 0 OR size < 7 * c THEN 0 WHEN size >= 256 * c THEN 500 ELSE 2 + (size - 7 * c) * 2 // c END AS ms
+    FROM (SELECT event_id, event_id % 2 + 1 AS c, event_id * 7 % 600 AS size FROM events)""",
+)
+def coded_tail_frames(spark, d):
+    e = t.read(spark, d, "events").select("event_id", (F.col("event_id") % 2 + 1).alias("channels"), (F.col("event_id") * 7 % 600).alias("size"))
+    tail = lambda c: headers.tail_frames(c, F.col("size"), 256 * F.col("channels"), F.col("channels"))
+    return e.select("*", tail("ulaw").alias("ulaw"), tail("ima-qt").alias("ima_qt"), tail("ima-wav").alias("ima_wav"), tail("ms-adpcm").alias("ms"))
+
+
+@query("seek_coded", "SELECT event_id, CASE WHEN event_id % 3000 <= 2525 THEN 'OK' ELSE 'INVALID' END AS result, CASE WHEN event_id % 3000 <= 2525 THEN event_id % 3000 // 505 END AS block, CASE WHEN event_id % 3000 <= 2525 THEN event_id % 3000 % 505 END AS skip FROM events")
+def seek_coded(spark, d):
+    got = headers.seek_coded(F.col("event_id") % 3000, F.lit(505), F.lit(2525))
+    return t.read(spark, d, "events").select("event_id", *[c.alias(n) for n, c in got.items()])
+
+
+@query("add_track", "SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_partkey % 9 > 0 AND (p_partkey % 16 = 0 OR bit_count(CAST(p_partkey % 16 AS BIGINT)) = p_partkey % 9) AND p_size % 5 <> 0 THEN 'OK' ELSE 'INVALID' END AS result FROM part")
+def add_track(spark, d):
+    fmt = F.when(F.col("p_size") % 5 == 0, "s17").otherwise("s16")
+    return t.read(spark, d, "part").select("p_partkey", headers.track_result(F.col("p_size") % 3 * 44100, F.col("p_partkey") % 16, F.col("p_partkey") % 9, fmt).alias("result"))
 
 
 # Lossless prediction
@@ -283,17 +314,17 @@ def block_facts(spark, d):
 
 # Identification
 
-#: Texts as files: one in seven gets the head of a container.
-HEADS = ["52494646000000005741564566", "464F524D0000000041494643", "664C614300", "4F676753" + "00" * 22 + "01" + "1E" + "01766F72626973", "4F676753" + "00" * 22 + "01" + "13" + "4F70757348656164", "664C614301", "52494646FFFFFFFF"]
+#: Texts as files: half of them get the head of a container.
+HEADS = ["52494646000000005741564566", "464F524D0000000041494643", "664C614300", "4F676753" + "00" * 22 + "01" + "1E" + "01766F72626973", "4F676753" + "00" * 22 + "01" + "13" + "4F70757348656164", "664C614301", "52494646FFFFFFFF", ("FFFB9000" + "00" * 413) * 3]
 
 
 def byte_files(spark, d):
     heads = F.array(*[F.unhex(F.lit(h)) for h in HEADS])
-    head = F.when(F.col("doc_id") % 2 == 0, F.get(heads, (F.col("doc_id") % 14 / 2).cast("int"))).otherwise(F.unhex(F.lit("")))
+    head = F.when(F.col("doc_id") % 2 == 0, F.get(heads, (F.col("doc_id") % (2 * len(HEADS)) / 2).cast("int"))).otherwise(F.unhex(F.lit("")))
     return t.read(spark, d, "documents").select("doc_id", F.concat(head, F.col("text").cast("binary")).alias("content"))
 
 
-FILES_SQL = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (CASE doc_id % 14 " + " ".join(f"WHEN {2 * i} THEN '{h}'" for i, h in enumerate(HEADS)) + " END) ELSE '' END || hex(encode(text)) AS h FROM documents)"
+FILES_SQL = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (CASE doc_id % {n} ".replace('{n}', str(2 * len(HEADS))) + " ".join(f"WHEN {2 * i} THEN '{h}'" for i, h in enumerate(HEADS)) + " END) ELSE '' END || hex(encode(text)) AS h FROM documents)"
 
 
 @query(
@@ -303,6 +334,7 @@ FILES_SQL = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (CASE doc_id % 14 " +
       WHEN h[1:8] = '464F524D' AND h[17:24] IN ('41494646', '41494643') THEN 'aiff'
       WHEN h[1:8] = '664C6143' AND h[9:10] IN ('00', '80') THEN 'flac'
       WHEN h[1:8] = '4F676753' AND h[53:54] = '01' AND h[57:66] = '7F464C4143' THEN 'ogg-flac'
+      WHEN h[1:8] = 'FFFB9000' THEN 'mp3'
       WHEN h[1:8] = '4F676753' AND h[53:54] = '01' AND h[57:70] = '01766F72626973' THEN 'vorbis'
       WHEN h[1:8] = '4F676753' AND h[53:54] = '01' AND h[57:72] = '4F70757348656164' THEN 'opus' END AS codec FROM {FILES_SQL})""",
 )
@@ -317,23 +349,29 @@ def magic_match(spark, d):
 
 # Coded headers
 
-_KBIT = "CASE " + " ".join(f"WHEN v = {v} AND layer = {k} THEN {rates}[least(bi, 14) + 1]" for (v, k), rates in MPEG_BITRATES.items()) + " END"
-_RATE = "CASE " + " ".join(f"WHEN version = {v} THEN {rates}[least(ri, 2) + 1]" for v, rates in MPEG_RATES.items()) + " END"
-MPEG_SQL = f"""(SELECT *, CASE WHEN kbit = 0 THEN 0 WHEN layer = 1 THEN (12000 * kbit // rate + pad) * 4 ELSE samples // 8 * 1000 * kbit // rate + pad END AS size FROM (
+# The oracle's own tables, as the specification prints them: kbit/s by version, layer and index, and Hz by index.
+_KBIT = """CASE WHEN v = 1 AND layer = 1 THEN 32 * least(bi, 14) WHEN v = 1 AND layer = 2 THEN [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384][least(bi, 14) + 1]
+ WHEN v = 1 THEN [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320][least(bi, 14) + 1] WHEN layer = 1 THEN [0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256][least(bi, 14) + 1]
+ ELSE [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160][least(bi, 14) + 1] END"""
+_RATE = "[44100, 48000, 32000][least(ri, 2) + 1] // CASE version WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 4 END"
+MPEG_SQL = f"""(SELECT *, whole AND size <= 2880 AND (size = 0 OR size >= 4 + CASE WHEN crc = 0 THEN 2 ELSE 0 END + CASE WHEN layer <> 3 THEN 0 WHEN version = 1 THEN CASE channels WHEN 1 THEN 17 ELSE 32 END ELSE CASE channels WHEN 1 THEN 9 ELSE 17 END END) AS valid FROM (SELECT *, CASE WHEN kbit = 0 THEN 0 WHEN layer = 1 THEN (12000 * kbit // rate + pad) * 4 ELSE samples // 8 * 1000 * kbit // rate + pad END AS size FROM (
   SELECT *, {_KBIT} AS kbit, {_RATE} AS rate, CASE WHEN layer = 1 THEN 384 WHEN layer = 2 OR version = 1 THEN 1152 ELSE 576 END AS samples FROM (
     SELECT *, CASE vb WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 25 END AS version, CASE vb WHEN 3 THEN 1 ELSE 2 END AS v, 4 - lb AS layer,
-      b0 = 255 AND vb <> 1 AND lb <> 0 AND bi <> 15 AND ri <> 3 AS valid FROM (
-      SELECT *, (b1 >> 3) & 3 AS vb, (b1 >> 1) & 3 AS lb, (b2 >> 4) & 15 AS bi, (b2 >> 2) & 3 AS ri, (b2 >> 1) & 1 AS pad, CASE WHEN (b3 >> 6) & 3 = 3 THEN 1 ELSE 2 END AS channels FROM {HEADER_SQL}))))"""
+      b0 = 255 AND vb <> 1 AND lb <> 0 AND bi <> 15 AND ri <> 3 AS whole FROM (
+      SELECT *, (b1 >> 3) & 3 AS vb, (b1 >> 1) & 3 AS lb, (b2 >> 4) & 15 AS bi, (b2 >> 2) & 3 AS ri, (b2 >> 1) & 1 AS pad, CASE WHEN (b3 >> 6) & 3 = 3 THEN 1 ELSE 2 END AS channels, b1 & 1 AS crc FROM {HEADER_SQL})))))"""
 
 
 @query(
     "mpeg_header_parse",
     "SELECT event_id, valid, "
-    + ", ".join(f"CASE WHEN valid THEN CAST({x} AS BIGINT) END AS {n}" for n, x in [("version", "version"), ("layer", "layer"), ("bitrate", "kbit * 1000"), ("sample_rate", "rate"), ("channels", "channels"), ("samples", "samples"), ("frame_size", "size")])
+    + ", ".join(f"CASE WHEN valid THEN CAST({x} AS BIGINT) END AS {n}" for n, x in [("version", "version"), ("layer", "layer"), ("bitrate", "kbit * 1000"), ("sample_rate", "rate"), ("channels", "channels"), ("samples", "samples"), ("frame_size", "size"), ("mode", "(b3 >> 6) & 3"), ("mode_extension", "(b3 >> 4) & 3"), ("emphasis", "b3 & 3")])
+    + ", "
+    + ", ".join(f"CASE WHEN valid THEN {x} END AS {n}" for n, x in [("crc_present", "crc = 0"), ("private", "b2 & 1 = 1"), ("copyright", "(b3 >> 3) & 1 = 1"), ("original", "(b3 >> 2) & 1 = 1")])
     + f" FROM {MPEG_SQL}",
 )
 def mpeg_header_parse(spark, d):
     fields = headers.mpeg_header(*[F.col(f"b{i}") for i in range(4)])
+    fields = {k: v for k, v in fields.items() if k not in ("side_info", "padding")}
     return t.header_rows(spark, d).select("event_id", *[c.alias(n) for n, c in fields.items()])
 
 
@@ -350,7 +388,7 @@ def opus_toc(spark, d):
 
 @query("opus_frames_preskip", "SELECT o_orderkey, greatest(CAST(floor(o_totalprice) AS BIGINT) - o_custkey % 4000, 0) AS frames FROM orders")
 def opus_frames_preskip(spark, d):
-    return t.read(spark, d, "orders").select("o_orderkey", F.greatest(F.floor("o_totalprice") - F.col("o_custkey") % 4000, F.lit(0)).alias("frames"))
+    return t.read(spark, d, "orders").select("o_orderkey", headers.opus_frames(F.floor("o_totalprice"), F.col("o_custkey") % 4000).alias("frames"))
 
 
 @query(
@@ -360,14 +398,14 @@ def opus_frames_preskip(spark, d):
 def mpeg_length_source(spark, d):
     f = headers.mpeg_header(*[F.col(f"b{i}") for i in range(4)])
     kind = F.col("b3") % 4
-    source = F.when(~f["valid"], "unknown").when(kind == 0, "stated").when(kind == 1, "counted").when(f["bitrate"] > 0, "estimated").otherwise("unknown")
+    source = headers.length_source(f, kind == 0, kind == 1)
     return t.header_rows(spark, d).select("event_id", source.alias("source"))
 
 
-@query("track_duration", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -1.0::DOUBLE ELSE greatest(CAST(floor(o_totalprice) AS BIGINT) - 528 - o_custkey, 0) / 44100.0::DOUBLE END AS seconds FROM orders")
+@query("track_duration", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR o_custkey % 7 = 0 THEN -1.0::DOUBLE ELSE greatest(CAST(floor(o_totalprice) AS BIGINT) - 528 - o_custkey, 0) / 44100.0::DOUBLE END AS seconds FROM orders")
 def track_duration(spark, d):
     frames = F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice"))
-    return t.read(spark, d, "orders").select("o_orderkey", headers.duration(frames, F.lit(528), F.col("o_custkey"), F.lit(44100.0)).alias("seconds"))
+    return t.read(spark, d, "orders").select("o_orderkey", headers.duration(frames, F.lit(528), F.col("o_custkey"), F.when(F.col("o_custkey") % 7 == 0, 0.0).otherwise(44100.0)).alias("seconds"))
 
 
 # Tags
@@ -378,22 +416,33 @@ def id3v1_genre(spark, d):
     return tags.genre(spark, t.byte_rows(spark, d), "b")
 
 
-def add_tag_map(scheme: str, fields: dict[str, str]):
-    keys = [*fields, "X-OTHER"]
-    spelled = [k.title() for k in keys] if scheme == "vorbis" else keys
-    key = "upper(key)" if scheme == "vorbis" else "key"
+# Keys as files spell them and what they mean, written out from the formats' descriptions; an empty tag: outside them.
+TAG_KEYS = {
+    "vorbis": """Title:title artist:artist ALBUM:album AlbumArtist:albumartist Album_Artist:albumartist date:date YEAR:date Tracknumber:tracknumber TRACKTOTAL:tracktotal totaltracks:tracktotal
+     DISCNUMBER:discnumber DISCTOTAL:disctotal TotalDiscs:disctotal Genre:genre COMPOSER:composer performer:performer COPYRIGHT:copyright Description:comment comment:comment ORGANIZATION:organization
+     label:organization Publisher:organization ENCODER:encoder isrc:isrc Lyrics:lyrics UnsyncedLyrics:lyrics bpm:bpm LANGUAGE:language REPLAYGAIN_TRACK_GAIN: MOOD: Titlé:""",
+    "id3": """TIT2:title TPE1:artist TALB:album TPE2:albumartist TDRC:date TYER:date TRCK:tracknumber TPOS:discnumber TCON:genre TCOM:composer TPE3:performer TPE4:performer COMM:comment TCOP:copyright
+     TSSE:encoder TSRC:isrc TLAN:language TPUB:organization USLT:lyrics TBPM:bpm TT2:title TP1:artist TAL:album TP2:albumartist TYE:date TRK:tracknumber TPA:discnumber TCO:genre TCM:composer
+     TP3:performer TP4:performer COM:comment TCR:copyright TSS:encoder TRC:isrc TLA:language TPB:organization ULT:lyrics TBP:bpm TXXX: tit2: TDR: PRIV:""",
+    "riff": """INAM:title IART:artist IPRD:album ICRD:date IDIT:date ITRK:tracknumber IPRT:tracknumber IGNR:genre IMUS:composer ISTR:performer ICMT:comment ISBJ:comment ICOP:copyright ISFT:encoder
+     ILNG:language IPUB:organization inam: IENG:""",
+}
+
+
+def add_tag_map(scheme: str):
+    pairs = [(k.replace("_", " ") if k == "Album_Artist" else k, v) for k, _, v in (x.partition(":") for x in TAG_KEYS[scheme].split())]
 
     @query(
         f"tag_map_{scheme}",
-        f"SELECT event_id, event_type AS value, key, tag, tag IS NULL AS custom FROM (SELECT *, {spelled}[event_id % {len(keys)} + 1] AS key FROM events) LEFT JOIN {sql_values(list(fields.items()), 'k', 'tag')} ON k = {key}",
+        f"SELECT event_id, event_type AS value, key, nullif(tag, '') AS tag, tag = '' AS custom FROM (SELECT *, event_id % {len(pairs)} AS i FROM events) JOIN {sql_values([(i, k, v) for i, (k, v) in enumerate(pairs)], 'at', 'key', 'tag')} ON at = i",
     )
     def mapped(spark, d):
-        own = F.get(F.array(*map(F.lit, spelled)), (F.col("event_id") % len(keys)).cast("int"))
+        own = F.get(F.array(*[F.lit(k) for k, _ in pairs]), (F.col("event_id") % len(pairs)).cast("int"))
         return tags.normalise(spark, t.read(spark, d, "events").select("event_id", F.col("event_type").alias("value"), own.alias("key")), scheme)
 
 
-for _scheme, _fields in (("vorbis", VORBIS_FIELDS), ("id3", ID3_FRAMES), ("riff", RIFF_FIELDS)):
-    add_tag_map(_scheme, _fields)
+for _scheme in TAG_KEYS:
+    add_tag_map(_scheme)
 
 
 @query("tag_add_unique", "SELECT conv_id, role, md5(text) AS value, min(turn) AS turn FROM conversations GROUP BY conv_id, role, text")
@@ -426,7 +475,7 @@ def id3v1_fill_missing(spark, d):
 @query("seek_asof", f"WITH p AS (SELECT track, frame, x AS o FROM {MONO_SQL} WHERE frame % 10 = 0) SELECT a.track, a.frame, p.frame AS point, p.o AS \"offset\" FROM {MONO_SQL} a ASOF LEFT JOIN p ON a.track = p.track AND a.frame >= p.frame")
 def seek_asof(spark, d):
     m = t.mono_tracks(spark, d)
-    return seek.as_of(m, m.where("frame % 10 = 0").select("track", "frame", F.col("x").alias("offset")))
+    return seek.as_of(m.select("track", "frame"), m.where("frame % 10 = 0").select("track", "frame", F.col("x").alias("offset")))
 
 
 LACING_SQL = "(SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_id % 3 = 0 THEN 255 ELSE event_id % 256 END AS lace FROM events)"
@@ -443,7 +492,7 @@ def ogg_packet_assembly(spark, d):
     return seek.packets(lacing, "stream", "n", "lace")
 
 
-@query("ogg_last_granule", "SELECT user_id AS stream, arg_max(CAST(floor(value * 100) AS BIGINT), event_id) AS granule FROM events WHERE event_id % 4 <> 3 GROUP BY user_id")
+@query("ogg_last_granule", "SELECT user_id AS stream, arg_max(g, event_id) AS granule FROM (SELECT user_id, event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(floor(value * 100) AS BIGINT) END AS g FROM events) GROUP BY user_id")
 def ogg_last_granule(spark, d):
-    e = t.read(spark, d, "events").where("event_id % 4 <> 3")  # granule -1: nothing stated
-    return e.groupBy(F.col("user_id").alias("stream")).agg(F.max_by(F.floor(F.col("value") * 100), "event_id").alias("granule"))
+    granule = F.when(F.col("event_id") % 4 == 3, -1).otherwise(F.floor(F.col("value") * 100))  # -1: nothing stated
+    return seek.last_granule(t.read(spark, d, "events").select(F.col("user_id").alias("stream"), "event_id", granule.alias("granule")), "stream", "event_id")
