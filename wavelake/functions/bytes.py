@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def part(data: Column, at: Column | int, n: Column | int) -> Column:
     """n bytes from a place on; fewer where the data end."""
     lit = lambda x: x.cast("int") if isinstance(x, Column) else F.lit(x)

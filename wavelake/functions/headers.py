@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bytes as by
 from .lookups import DEFAULT_MASKS, FORMATS, MPEG_BITRATES, MPEG_RATES, SPEAKERS
 
 
@@ -22,30 +23,53 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
 
-def mpeg_header(b0: Column, b1: Column, b2: Column, b3: Column) -> dict[str, Column]:
-    """Fields of a 4-byte MPEG frame header; valid says whether it is one, and the others are null if not. A frame must
-    fit 2,880 bytes and hold its header, checksum and side information; size 0 is the free format."""
+def _header_fields(b0: Column, b1: Column, b2: Column, b3: Column) -> dict[str, Column]:
+    """What the bits say; known: whether they use no reserved value."""
     version_bits, layer_bits = bits(b1, 3, 3), bits(b1, 1, 3)
     bitrate_index, rate_index = bits(b2, 4, 15), bits(b2, 2, 3)
-    valid = (b0 == 0xFF) & (bits(b1, 5, 7) == 7) & (version_bits != 1) & (layer_bits != 0) & (bitrate_index != 15) & (rate_index != 3)
+    known = (b0 == 0xFF) & (bits(b1, 5, 7) == 7) & (version_bits != 1) & (layer_bits != 0) & (bitrate_index != 15) & (rate_index != 3)
     version = F.when(version_bits == 3, 1).when(version_bits == 2, 2).otherwise(25)
     layer = 4 - layer_bits
     index, at = F.least(bitrate_index, F.lit(14)), F.least(rate_index, F.lit(2))
-    kbit = F.coalesce(*[F.when((F.when(version == 1, 1).otherwise(2) == v) & (layer == k), _pick(rates, index)) for (v, k), rates in MPEG_BITRATES.items()])
+    kbit = F.coalesce(*[F.when((F.when(version_bits == 3, 1).otherwise(2) == v) & (layer == k), _pick(rates, index)) for (v, k), rates in MPEG_BITRATES.items()])
     rate = F.coalesce(*[F.when(version == v, _pick(rates, at)) for v, rates in MPEG_RATES.items()])
-    samples = F.when(layer == 1, 384).when(layer == 2, 1152).when(version == 1, 1152).otherwise(576)
-    padding, bitrate = bits(b2, 1, 1), kbit * 1000
-    # a layer I frame is whole slots of four bytes: divide before multiplying
-    size = F.when(kbit == 0, 0).when(layer == 1, (F.floor(12 * bitrate / rate) + padding) * 4).otherwise(F.floor(F.floor(samples / 8) * bitrate / rate) + padding)
     mode = bits(b3, 6, 3)
-    channels = F.when(mode == 3, 1).otherwise(2)
-    crc = bits(b1, 0, 1) == 0
-    side = F.when(layer != 3, 0).when(version == 1, F.when(mode == 3, 17).otherwise(32)).otherwise(F.when(mode == 3, 9).otherwise(17))
-    valid = valid & (size <= MOST_FRAME_BYTES) & ((size == 0) | (size >= 4 + F.when(crc, 2).otherwise(0) + side))
+    side = F.when(layer != 3, 0).when(version_bits == 3, F.when(mode == 3, 17).otherwise(32)).otherwise(F.when(mode == 3, 9).otherwise(17))
+    return {
+        "known": known, "version": version, "layer": layer, "bitrate": kbit * 1000, "sample_rate": rate, "channels": F.when(mode == 3, 1).otherwise(2),
+        "samples": F.when(layer == 1, 384).when((layer == 2) | (version_bits == 3), 1152).otherwise(576), "side_info": side, "mode": mode, "mode_extension": bits(b3, 4, 3), "emphasis": bits(b3, 0, 3),
+        "crc_present": bits(b1, 0, 1) == 0, "padding": bits(b2, 1, 1) == 1, "private": bits(b2, 0, 1) == 1, "copyright": bits(b3, 3, 1) == 1, "original": bits(b3, 2, 1) == 1,
+    }
+
+
+def _frame_size(layer: Column, samples: Column, bitrate: Column, rate: Column, padding: Column) -> Column:
+    """A layer I frame is whole slots of four bytes: divide before multiplying. 0: the free format."""
+    pad = F.when(padding, 1).otherwise(0)
+    return F.when(bitrate == 0, 0).when(layer == 1, (F.floor(12 * bitrate / rate) + pad) * 4).otherwise(F.floor(F.floor(samples / 8) * bitrate / rate) + pad)
+
+
+def mpeg_header(b0: Column, b1: Column, b2: Column, b3: Column) -> dict[str, Column]:
+    """Fields of a 4-byte MPEG frame header; valid says whether it is one, and the others are null if not. A frame must
+    fit 2,880 bytes and hold its header, checksum and side information; size 0 is the free format. For several fields
+    at once take with_mpeg_header, which computes each step once."""
+    f = _header_fields(b0, b1, b2, b3)
+    size = _frame_size(*[f[k] for k in ("layer", "samples", "bitrate", "sample_rate", "padding")])
+    valid = by.let(size, lambda s: f["known"] & (s <= MOST_FRAME_BYTES) & ((s == 0) | (s >= 4 + F.when(f["crc_present"], 2).otherwise(0) + f["side_info"])))
     valid = F.coalesce(valid, F.lit(False))
-    fields = {"version": version, "layer": layer, "bitrate": bitrate, "sample_rate": rate, "channels": channels, "samples": samples, "frame_size": size, "side_info": side, "mode": mode, "mode_extension": bits(b3, 4, 3), "emphasis": bits(b3, 0, 3)}
-    flags = {"crc_present": crc, "padding": padding == 1, "private": bits(b2, 0, 1) == 1, "copyright": bits(b3, 3, 1) == 1, "original": bits(b3, 2, 1) == 1}
-    return {"valid": valid, **{k: F.when(valid, v.cast("bigint")) for k, v in fields.items()}, **{k: F.when(valid, v) for k, v in flags.items()}}
+    flags = ("crc_present", "padding", "private", "copyright", "original")
+    return {"valid": valid, **{k: F.when(valid, v if k in flags else v.cast("bigint")) for k, v in {**f, "frame_size": size}.items() if k != "known"}}
+
+
+def with_mpeg_header(df: DataFrame, b0: str, b1: str, b2: str, b3: str) -> DataFrame:
+    """df with the fields of mpeg_header as columns, each computed once."""
+    bare = {k: v for k, v in _header_fields(*map(F.col, (b0, b1, b2, b3))).items()}
+    out = df.withColumns({f"__{k}": v for k, v in bare.items()})
+    out = out.withColumn("__size", _frame_size(*[F.col(f"__{k}") for k in ("layer", "samples", "bitrate", "sample_rate", "padding")]))
+    valid = F.col("__known") & (F.col("__size") <= MOST_FRAME_BYTES) & ((F.col("__size") == 0) | (F.col("__size") >= 4 + F.when(F.col("__crc_present"), 2).otherwise(0) + F.col("__side_info")))
+    out = out.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    names = {**{k: f"__{k}" for k in bare if k != "known"}, "frame_size": "__size"}
+    kept = [F.when(F.col("valid"), F.col(c) if dict(out.dtypes)[c] == "boolean" else F.col(c).cast("bigint")).alias(k) for k, c in names.items()]
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "valid", *kept)
 
 
 def opus_toc(b: Column) -> dict[str, Column]:

@@ -47,43 +47,42 @@ def wav_scan(files: DataFrame, keys: list[str], content: str = "content") -> Dat
     own = files.where(F.hex(by.part(c, 0, 4)).isin("52494646", "52463634", "42573634") & (F.hex(by.part(c, 8, 4)) == "57415645"))
     chunks = src.chunk_rows(own.select(*keys, F.length(c).alias("__n"), c.alias("content")))
     got = chunks.groupBy(*keys).agg(F.max("__n").alias("n"), F.count("*").alias("chunks"), _last("fmt ", "data").alias("fmt"), _last("fmt ", "size").alias("fmt_size"), _last("data", "offset").alias("at"), _last("data", "size").alias("size"), F.min(F.when((F.col("id") == "fmt "), F.col("size"))).alias("least"), _last("fact", "data").alias("fact"), _last("ds64", "data").alias("ds64"))
-    fmt = F.col("fmt")
-    tag, channels, rate, align, bits = by.le(fmt, 0, 2), by.le(fmt, 2, 2), by.le(fmt, 4, 4), by.le(fmt, 12, 2), by.le(fmt, 14, 2)
-    wide = tag == 0xFFFE
-    real = F.when(wide, by.le(fmt, 24, 2)).otherwise(tag)
-    stated_mask = F.when(wide, by.le(fmt, 20, 4)).otherwise(0)
-    mask = F.when(headers.layout_valid(stated_mask, channels), stated_mask).otherwise(0)
-    coding = F.coalesce(_pick(real, CODED), F.lit("pcm"))
-    form = F.when(coding != "pcm", "s16").when(real == 1, _pick(bits, {8: "u8", 16: "s16", 24: "s24", 32: "s32"})).when(real == 3, _pick(bits, FLOATS))
-    size = F.when((F.col("size") == 0xFFFFFFFF) & F.col("ds64").isNotNull(), by.le64(F.col("ds64"), 8)).otherwise(F.col("size"))
-    length = F.greatest(F.least(size, F.col("n") - F.col("at")), F.lit(0))
-    width = _pick(form, {"u8": 1, "s16": 2, "s24": 3, "s32": 4, "f32": 4, "f64": 8}, "bigint")
-    frames, geometry = F.floor(length / F.when(channels > 0, width * channels)), F.lit("OK")
-    for name in CODED.values():
-        block = headers.coded_geometry(name, align, channels, by.le(fmt, 18, 2) if name in ("ima-wav", "ms-adpcm") else None)
-        whole = F.floor(length / block["block_bytes"])
-        counted = whole * block["block_frames"] + headers.tail_frames(name, length % block["block_bytes"], block["block_bytes"], channels)
-        fact = by.le(F.col("fact"), 0, 4)
-        counted = F.when((fact <= counted) & (counted - fact < block["block_frames"]), fact).otherwise(counted)
-        frames, geometry = F.when(coding == name, counted).otherwise(frames), F.when(coding == name, block["result"]).otherwise(geometry)
-    coef = by.le(fmt, 20, 2)
+    # step by step: each step's columns are computed once, and no expression holds those before it
+    fmt, c = F.col("fmt"), F.col("channels")
+    got = got.withColumns({"tag": by.le(fmt, 0, 2), "channels": by.le(fmt, 2, 2), "rate": by.le(fmt, 4, 4), "align": by.le(fmt, 12, 2), "bits": by.le(fmt, 14, 2), "extra": by.le(fmt, 18, 2), "coef": by.le(fmt, 20, 2), "stated": by.le(fmt, 20, 4), "inner": by.le(fmt, 24, 2), "guid": F.hex(by.part(fmt, 26, 14)), "fmt_bytes": F.length(fmt), "fact": by.le(F.col("fact"), 0, 4), "long": by.le64(F.col("ds64"), 8)})
+    wide = F.col("tag") == 0xFFFE
+    length = F.least(F.when((F.col("size") == 0xFFFFFFFF) & F.col("long").isNotNull(), F.col("long")).otherwise(F.col("size")), F.col("n") - F.col("at"))
+    got = got.withColumns({"real": F.when(wide, F.col("inner")).otherwise(F.col("tag")), "mask": F.when(wide & headers.layout_valid(F.col("stated"), c), F.col("stated")).otherwise(0), "length": F.greatest(length, F.lit(0))})
+    got = got.withColumn("coding", F.coalesce(_pick(F.col("real"), CODED), F.lit("pcm")))
+    pcm = F.when(F.col("real") == 1, _pick(F.col("bits"), {8: "u8", 16: "s16", 24: "s24", 32: "s32"})).when(F.col("real") == 3, _pick(F.col("bits"), FLOATS))
+    got = got.withColumn("format", F.when(F.col("coding") != "pcm", "s16").otherwise(pcm))
+    got = got.withColumn("width", _pick(F.col("format"), {"u8": 1, "s16": 2, "s24": 3, "s32": 4, "f32": 4, "f64": 8}, "bigint"))
+    blocks = {name: headers.coded_geometry(name, F.col("align"), c, F.col("extra") if name in ("ima-wav", "ms-adpcm") else None) for name in CODED.values()}
+    got = got.withColumns({k: F.coalesce(*[F.when(F.col("coding") == name, g[k]) for name, g in blocks.items()]).alias(k) for k in ("block_bytes", "block_frames")} | {"geometry": F.coalesce(*[F.when(F.col("coding") == name, g["result"]) for name, g in blocks.items()], F.lit("OK"))})
+    rest = F.col("length") % F.col("block_bytes")
+    tails = F.coalesce(*[F.when(F.col("coding") == name, headers.tail_frames(name, rest, F.col("block_bytes"), c)) for name in CODED.values()])
+    got = got.withColumn("counted", F.floor(F.col("length") / F.col("block_bytes")) * F.col("block_frames") + tails)
+    less = (F.col("fact") <= F.col("counted")) & (F.col("counted") - F.col("fact") < F.col("block_frames"))
+    frame = F.when(c > 0, F.col("width") * c)
+    got = got.withColumn("frames", F.when(F.col("coding") == "pcm", F.floor(F.col("length") / frame)).when(less, F.col("fact")).otherwise(F.col("counted")))
+    ms = F.col("coding") == "ms-adpcm"
     result = (
         F.when(F.col("chunks") >= MOST_CHUNKS, "LIMIT")
-        .when((F.col("fmt_size") < 16) | (F.length(fmt) < F.least(F.col("fmt_size"), F.lit(40))), "CORRUPT")
-        .when((channels == 0) | (rate == 0), "CORRUPT")
-        .when((channels > MOST_CHANNELS) | (rate > MOST_RATE), "LIMIT")
-        .when(wide & (F.length(fmt) < 40), "CORRUPT")
-        .when(wide & (F.hex(by.part(fmt, 26, 14)) != GUID), "UNSUPPORTED")
-        .when(coding.isin("ima-wav", "ms-adpcm") & (F.length(fmt) < 20), "CORRUPT")
-        .when((coding == "ms-adpcm") & (F.length(fmt) < 22), "CORRUPT")
-        .when((coding == "ms-adpcm") & ((coef == 0) | (coef > 256)), "UNSUPPORTED")
-        .when((coding == "ms-adpcm") & (F.length(fmt) < 22 + 4 * coef), "CORRUPT")
-        .when(fmt.isNotNull() & form.isNull(), "UNSUPPORTED")
+        .when((F.col("fmt_size") < 16) | (F.col("fmt_bytes") < F.least(F.col("fmt_size"), F.lit(40))), "CORRUPT")
+        .when((c == 0) | (F.col("rate") == 0), "CORRUPT")
+        .when((c > MOST_CHANNELS) | (F.col("rate") > MOST_RATE), "LIMIT")
+        .when(wide & (F.col("fmt_bytes") < 40), "CORRUPT")
+        .when(wide & (F.col("guid") != GUID), "UNSUPPORTED")
+        .when(F.col("coding").isin("ima-wav", "ms-adpcm") & (F.col("fmt_bytes") < 20), "CORRUPT")
+        .when(ms & (F.col("fmt_bytes") < 22), "CORRUPT")
+        .when(ms & ((F.col("coef") == 0) | (F.col("coef") > 256)), "UNSUPPORTED")
+        .when(ms & (F.col("fmt_bytes") < 22 + 4 * F.col("coef")), "CORRUPT")
+        .when(fmt.isNotNull() & F.col("format").isNull(), "UNSUPPORTED")
         .when(fmt.isNull() | F.col("at").isNull(), "CORRUPT")
-        .otherwise(geometry)
+        .otherwise(F.col("geometry"))
     )
-    stored = F.when(coding == "pcm", frames * width * channels).otherwise(length)
-    return _finished(got, keys, result, {"format": form, "coding": coding, "channels": channels, "mask": mask, "sample_rate": rate, "frames": frames.cast("bigint"), "data_offset": F.col("at"), "data_length": stored.cast("bigint")})
+    stored = F.when(F.col("coding") == "pcm", F.col("frames") * frame).otherwise(F.col("length"))
+    return _finished(got, keys, result, {"format": F.col("format"), "coding": F.col("coding"), "channels": c, "mask": F.col("mask"), "sample_rate": F.col("rate"), "frames": F.col("frames").cast("bigint"), "data_offset": F.col("at"), "data_length": stored.cast("bigint")})
 
 
 def aiff_scan(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
@@ -93,30 +92,28 @@ def aiff_scan(files: DataFrame, keys: list[str], content: str = "content") -> Da
     own = files.where((F.hex(by.part(c, 0, 4)) == "464F524D") & F.hex(by.part(c, 8, 4)).isin("41494646", "41494643"))
     chunks = src.chunk_rows(own.select(*keys, F.length(c).alias("__n"), F.hex(by.part(c, 11, 1)).alias("__kind"), c.alias("content")))
     got = chunks.groupBy(*keys).agg(F.max("__n").alias("n"), F.max("__kind").alias("kind"), F.count("*").alias("chunks"), _last("COMM", "data").alias("comm"), _last("COMM", "size").alias("comm_size"), _last("SSND", "data").alias("ssnd"), _last("SSND", "offset").alias("at"), _last("SSND", "size").alias("size"))
-    comm = F.col("comm")
-    channels, bits, rate = by.be(comm, 0, 2), by.be(comm, 6, 2), by.extended(comm, 8)
+    comm, c = F.col("comm"), F.col("channels")
     packing = F.when((F.col("kind") == "43") & (F.length(comm) >= 22), by.part(comm, 18, 4).cast("string")).otherwise("NONE")
-    coding = F.when(packing.isin("ulaw", "ULAW"), "ulaw").when(packing.isin("alaw", "ALAW"), "alaw").when(packing == "ima4", "ima-qt").otherwise("pcm")
-    floating = packing.isin("fl32", "FL32", "fl64", "FL64")
-    form = F.when(coding != "pcm", "s16").when(floating, _pick(bits, FLOATS)).otherwise(_pick(F.floor((bits + 7) / 8), {1: "s8", 2: "s16", 3: "s24", 4: "s32"}))
-    width = _pick(form, {"s8": 1, "s16": 2, "s24": 3, "s32": 4, "f32": 4, "f64": 8}, "bigint")
-    skip = by.be(F.col("ssnd"), 0, 4)
-    at = F.col("at") + 8 + skip
-    length = F.greatest(F.least(F.col("size") - 8 - skip, F.col("n") - at), F.lit(0))
-    own_channels = F.when(channels > 0, channels)
-    frames = F.when(coding == "ima-qt", F.floor(length / (34 * own_channels)) * 64).when(coding != "pcm", F.floor(length / own_channels)).otherwise(F.floor(length / (width * own_channels)))
-    known = F.least(frames, F.when(coding == "ima-qt", by.be(comm, 2, 4) * 64).otherwise(by.be(comm, 2, 4)))
+    got = got.withColumns({"channels": by.be(comm, 0, 2), "stated": by.be(comm, 2, 4), "bits": by.be(comm, 6, 2), "rate": by.extended(comm, 8), "packing": packing, "skip": by.be(F.col("ssnd"), 0, 4), "comm_bytes": F.length(comm), "ssnd_bytes": F.length(F.col("ssnd"))})
+    p = F.col("packing")
+    got = got.withColumns({"coding": F.when(p.isin("ulaw", "ULAW"), "ulaw").when(p.isin("alaw", "ALAW"), "alaw").when(p == "ima4", "ima-qt").otherwise("pcm"), "start": F.col("at") + 8 + F.col("skip")})
+    whole = _pick(F.floor((F.col("bits") + 7) / 8), {1: "s8", 2: "s16", 3: "s24", 4: "s32"})
+    got = got.withColumns({"format": F.when(F.col("coding") != "pcm", "s16").when(p.isin("fl32", "FL32", "fl64", "FL64"), _pick(F.col("bits"), FLOATS)).otherwise(whole), "length": F.greatest(F.least(F.col("size") - 8 - F.col("skip"), F.col("n") - F.col("start")), F.lit(0))})
+    got = got.withColumn("width", F.when(F.col("coding") != "pcm", 1).otherwise(_pick(F.col("format"), {"s8": 1, "s16": 2, "s24": 3, "s32": 4, "f32": 4, "f64": 8}, "bigint")))
+    packets = F.col("coding") == "ima-qt"  # 34 bytes a channel, 64 frames
+    frame = F.when(c > 0, F.when(packets, 34).otherwise(F.col("width")) * c)
+    frames = F.least(F.floor(F.col("length") / frame), F.col("stated")) * F.when(packets, 64).otherwise(1)
     result = (
         F.when(F.col("chunks") >= MOST_CHUNKS, "LIMIT")
-        .when((F.col("comm_size") < 18) | (F.length(comm) < F.least(F.col("comm_size"), F.lit(22))), "CORRUPT")
-        .when(~packing.isin("NONE", "sowt", "twos", "fl32", "FL32", "fl64", "FL64", "ulaw", "ULAW", "alaw", "ALAW", "ima4"), "UNSUPPORTED")
-        .when(F.length(F.col("ssnd")) < 8, "CORRUPT")
-        .when(comm.isNull() | F.col("ssnd").isNull() | (channels == 0) | ~(rate > 0), "CORRUPT")
-        .when((channels > MOST_CHANNELS) | (rate > MOST_RATE), "LIMIT")
-        .when(form.isNull(), "UNSUPPORTED")
+        .when((F.col("comm_size") < 18) | (F.col("comm_bytes") < F.least(F.col("comm_size"), F.lit(22))), "CORRUPT")
+        .when(~p.isin("NONE", "sowt", "twos", "fl32", "FL32", "fl64", "FL64", "ulaw", "ULAW", "alaw", "ALAW", "ima4"), "UNSUPPORTED")
+        .when(F.col("ssnd_bytes") < 8, "CORRUPT")
+        .when(comm.isNull() | F.col("ssnd").isNull() | (c == 0) | ~(F.col("rate") > 0), "CORRUPT")
+        .when((c > MOST_CHANNELS) | (F.col("rate") > MOST_RATE), "LIMIT")
+        .when(F.col("format").isNull(), "UNSUPPORTED")
         .otherwise("OK")
     )
-    return _finished(got, keys, result, {"format": form, "coding": coding, "channels": channels, "sample_rate": F.floor(rate + 0.5).cast("bigint"), "frames": known.cast("bigint"), "data_offset": at, "data_length": length.cast("bigint"), "little_endian": packing == "sowt"})
+    return _finished(got, keys, result, {"format": F.col("format"), "coding": F.col("coding"), "channels": c, "sample_rate": F.floor(F.col("rate") + 0.5).cast("bigint"), "frames": frames.cast("bigint"), "data_offset": F.col("start"), "data_length": F.col("length").cast("bigint"), "little_endian": p == "sowt"})
 
 
 def pcm_samples(rows: DataFrame, data: str, fmt: str, channels: Column, big: bool = False) -> DataFrame:
@@ -149,8 +146,8 @@ def sample_bytes(values: Column, width: int, big: bool = False) -> Column:
 
 
 def _chunk(name: str, data: Column, big: bool = False) -> Column:
-    pad = F.when(F.length(data) % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
-    return F.concat(F.lit(name.encode()), (by.be_bytes if big else by.le_bytes)(F.length(data), 4), data, pad)
+    pad = lambda d: F.when(F.length(d) % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
+    return by.let(data, lambda d: F.concat(F.lit(name.encode()), (by.be_bytes if big else by.le_bytes)(F.length(d), 4), d, pad(d)))
 
 
 def wav_bytes(fmt: str, channels: Column, rate: Column, data: Column, mask: Column | None = None, more: Column | None = None) -> Column:
@@ -165,7 +162,7 @@ def wav_bytes(fmt: str, channels: Column, rate: Column, data: Column, mask: Colu
     head = F.concat(by.le_bytes(F.when(wide, 0xFFFE).otherwise(tag), 2), by.le_bytes(channels, 2), by.le_bytes(rate, 4), by.le_bytes(rate * frame, 4), by.le_bytes(frame, 2), by.le_bytes(F.lit(bits), 2))
     tail = F.concat(by.le_bytes(F.lit(22), 2), by.le_bytes(F.lit(bits), 2), by.le_bytes(mask, 4), by.le_bytes(F.lit(tag), 2), F.unhex(F.lit(GUID)))
     body = F.concat(F.lit(b"WAVE"), _chunk("fmt ", F.when(wide, F.concat(head, tail)).otherwise(head)), _chunk("data", data), *([more] if more is not None else []))
-    return F.concat(F.lit(b"RIFF"), by.le_bytes(F.length(body), 4), body)
+    return by.let(body, lambda b: F.concat(F.lit(b"RIFF"), by.le_bytes(F.length(b), 4), b))
 
 
 def aiff_bytes(fmt: str, channels: Column, rate: Column, frames: Column, data: Column) -> Column:
@@ -175,7 +172,7 @@ def aiff_bytes(fmt: str, channels: Column, rate: Column, frames: Column, data: C
         return F.lit(None).cast("binary")
     comm = F.concat(by.be_bytes(channels, 2), by.be_bytes(frames, 4), by.be_bytes(F.lit(bits), 2), by.extended_bytes(rate))
     body = F.concat(F.lit(b"AIFF"), _chunk("COMM", comm, True), _chunk("SSND", F.concat(by.be_bytes(F.lit(0), 8), data), True))
-    return F.concat(F.lit(b"FORM"), by.be_bytes(F.length(body), 4), body)
+    return by.let(body, lambda b: F.concat(F.lit(b"FORM"), by.be_bytes(F.length(b), 4), b))
 
 
 # FLAC
@@ -199,7 +196,8 @@ def flac_scan(files: DataFrame, keys: list[str], content: str = "content") -> Da
     be marked last, and type 127 is CORRUPT."""
     blocks = src.flac_block_rows(files.select(*keys, F.col(content).alias("content")))
     got = blocks.groupBy(*keys).agg(F.max(F.when((F.col("at") == 0) & (F.col("type") == 0), F.col("data"))).alias("info"), F.count_if(F.col("type") == 0).alias("infos"), F.count_if(F.col("type") == 127).alias("bad"), F.count_if(F.length("data") < F.col("size")).alias("cut"), F.max("last").alias("ended"), F.max(F.when(F.col("last"), F.col("offset") + F.col("size"))).alias("audio"))
-    f = streaminfo(F.col("info"))
+    got = got.withColumn("f", F.struct(*[v.alias(k) for k, v in streaminfo(F.col("info")).items()]))
+    f = {k: F.col("f")[k] for k in ("result", "least_block", "most_block", "least_frame", "most_frame", "sample_rate", "channels", "depth", "frames", "md5")}
     result = F.when(F.col("info").isNull() | (F.col("infos") != 1) | (F.col("bad") > 0) | (F.col("cut") > 0) | ~F.col("ended"), "CORRUPT").otherwise(f["result"])
     return _finished(got, keys, result, {**{k: v for k, v in f.items() if k != "result"}, "audio_offset": F.col("audio")})
 
@@ -330,14 +328,14 @@ def mpeg_scan(files: DataFrame, keys: list[str], content: str = "content") -> Da
     rows = src.mpeg_frame_rows(files.select(*keys, F.col(content).alias("content")))
     first = F.col("frame") == 0
     got = rows.groupBy(*keys).agg(F.count("*").alias("walked"), F.sum("samples").alias("total"), *[F.max(F.when(first, F.col(c))).alias(c) for c in ("data", "offset", "samples")])
-    h = headers.mpeg_header(*[by.u8(F.col("data"), k) for k in range(4)])
-    tag = xing_tag(F.col("data"), h["side_info"])
-    counted = F.col("total") - F.when(tag["tag"].isNotNull(), F.col("samples")).otherwise(0)
-    stated = tag["frames"] * F.col("samples")
-    plausible = F.coalesce((tag["frames"] > 0) & (tag["frames"] <= 16 * F.col("walked") + 16), F.lit(False))
-    frames = F.when(plausible, stated).otherwise(counted)
-    trims = F.coalesce(tag["delay"] + tag["padding"] < frames, F.lit(False))
-    return got.select(*keys, *[h[k].alias(k) for k in ("version", "layer", "channels", "sample_rate")], F.col("offset").alias("first_offset"), "walked", F.when(plausible, "stated").otherwise("counted").alias("source"), frames.cast("bigint").alias("frames"), F.when(trims, tag["delay"]).alias("delay"), F.when(trims, tag["padding"]).alias("padding"))
+    got = got.withColumns({f"b{k}": by.u8(F.col("data"), k) for k in range(4)})
+    got = headers.with_mpeg_header(got.withColumnRenamed("samples", "of_first"), "b0", "b1", "b2", "b3")
+    got = got.withColumn("tag", F.struct(*[v.alias(k) for k, v in xing_tag(F.col("data"), F.col("side_info")).items()]))
+    tag = F.col("tag")
+    got = got.withColumns({"counted": F.col("total") - F.when(tag["tag"].isNotNull(), F.col("of_first")).otherwise(0), "plausible": F.coalesce((tag["frames"] > 0) & (tag["frames"] <= 16 * F.col("walked") + 16), F.lit(False))})
+    got = got.withColumn("frames", F.when(F.col("plausible"), tag["frames"] * F.col("of_first")).otherwise(F.col("counted")).cast("bigint"))
+    trims = F.coalesce(tag["delay"] + tag["padding"] < F.col("frames"), F.lit(False))
+    return got.select(*keys, "version", "layer", "channels", "sample_rate", F.col("offset").alias("first_offset"), "walked", F.when(F.col("plausible"), "stated").otherwise("counted").alias("source"), "frames", F.when(trims, tag["delay"]).alias("delay"), F.when(trims, tag["padding"]).alias("padding"))
 
 
 def mpeg_seek(targets: DataFrame, rows: DataFrame, keys: list[str], frame: str = "target", back: int = 6) -> DataFrame:

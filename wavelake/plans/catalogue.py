@@ -370,9 +370,7 @@ MPEG_SQL = f"""(SELECT *, whole AND size <= 2880 AND (size = 0 OR size >= 4 + CA
     + f" FROM {MPEG_SQL}",
 )
 def mpeg_header_parse(spark, d):
-    fields = headers.mpeg_header(*[F.col(f"b{i}") for i in range(4)])
-    fields = {k: v for k, v in fields.items() if k not in ("side_info", "padding")}
-    return t.header_rows(spark, d).select("event_id", *[c.alias(n) for n, c in fields.items()])
+    return headers.with_mpeg_header(t.header_rows(spark, d), "b0", "b1", "b2", "b3").drop("b0", "b1", "b2", "b3", "side_info", "padding")
 
 
 @query(

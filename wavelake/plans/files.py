@@ -27,7 +27,7 @@ def parts(spark, d):
 
 
 def _cut(content: Column) -> Column:
-    return F.when(F.col("p_partkey") % 10 == 0, F.substring(content, F.lit(1), F.length(content) - 5)).otherwise(content)
+    return by.let(content, lambda c: F.when(F.col("p_partkey") % 10 == 0, F.substring(c, F.lit(1), F.length(c) - 5)).otherwise(c))
 
 
 def rate() -> Column:
@@ -61,7 +61,7 @@ def aiff_scan(spark, d):
     c, n = F.col("p_size") % 3 + 1, F.greatest("p_size", F.lit(3))
     own = F.when(rate() > 0, by.extended_bytes(F.greatest(rate(), F.lit(1)))).otherwise(zeros(F.lit(10)))
     content = containers.aiff_bytes("s24", c, F.lit(44100), n, zeros(n * 3 * c))
-    content = F.concat(F.substring(content, F.lit(1), F.lit(28)), own, F.substring(content, F.lit(39), F.length(content)))
+    content = by.let(content, lambda b: F.concat(F.substring(b, F.lit(1), F.lit(28)), own, F.substring(b, F.lit(39), F.length(b))))
     return containers.aiff_scan(parts(spark, d).select("p_partkey", _cut(content).alias("content")), ["p_partkey"])
 
 
