@@ -10,6 +10,10 @@ from ..functions.lookups import IMA_MOVES, IMA_STEPS, MS_FACTORS, MS_PAIRS
 from .ranges import with_previous
 
 
+#: The largest MS step whose product with the largest factor 32 bits hold.
+MOST_DELTA = ((1 << 31) - 1) // max(MS_FACTORS)
+
+
 def initial_index(spark: SparkSession, samples: DataFrame) -> DataFrame:
     """(track, mean, index): the step nearest the mean absolute difference of neighbours, the lowest of equal ones.
     The step table has 89 rows and is joined to one row a track."""
@@ -78,7 +82,7 @@ def ima_qt_block(blocks: DataFrame, block: str = "block", channels: str = "chann
 
 def ms_block(blocks: DataFrame, block: str = "block", channels: str = "channels") -> DataFrame:
     """MS ADPCM: the second stored sample comes first in time, then the first; nibbles are the interleaved samples, high
-    one first. A predictor number past the seven pairs, or a block shorter than its preambles, gives none."""
+    one first. A step size stays where 32 bits hold its product with any factor. A predictor number past the seven pairs, or a block shorter than its preambles, gives none."""
     data, c = F.col(block), F.col(channels)
     each = blocks.where(F.length(data) >= 7 * c).withColumn("ch", F.explode(F.sequence(F.lit(0), (c - 1).cast("int"))))
     ch = F.col("ch")
@@ -98,7 +102,7 @@ def ms_block(blocks: DataFrame, block: str = "block", channels: str = "channels"
         total = s["s1"] * pair["a"] + s["s2"] * pair["b"]
         guess = F.when(total < 0, F.ceil(total / 256)).otherwise(F.floor(total / 256))  # towards zero
         x = F.least(F.greatest(guess + told * s["d"], F.lit(-32768)), F.lit(32767)).cast("bigint")
-        d = F.greatest(F.floor(F.element_at(factors, n + 1) * s["d"] / 256), F.lit(16)).cast("bigint")
+        d = F.least(F.greatest(F.floor(F.element_at(factors, n + 1) * s["d"] / 256), F.lit(16)), F.lit(MOST_DELTA)).cast("bigint")
         return F.struct(d.alias("d"), x.alias("s1"), s["s1"].alias("s2"), F.concat(s["out"], F.array(x)).alias("out"))
 
     return _samples(each, F.aggregate(nibbles, zero, step)["out"], blocks.columns)

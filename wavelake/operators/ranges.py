@@ -29,7 +29,8 @@ def running_sum(df: DataFrame, key: str, at: str, value: Column, name: str, incl
 
 def with_previous(df: DataFrame, key: str, at: str, value: str, n: int, span: int = SPAN) -> DataFrame:
     """df with __p1 to __pn: the value at the n positions before, 0 before the first. Positions count up by one. The last
-    n rows of a range are sent to the next one as well."""
+    n rows of a range, which has n at least, are sent to the next one as well."""
+    span = max(span, n)
     own = df.withColumn("__range", in_range(at, span))
     ahead = F.when(F.col(at) % span >= span - n, F.array(F.col("__range"), F.col("__range") + 1)).otherwise(F.array("__range"))
     both = own.withColumn("__to", F.explode(ahead))
