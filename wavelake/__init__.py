@@ -1 +1 @@
-"""A PySpark-native analytics engine for audio collections and sample streams."""
+"""A PySpark-native analytics engine for sound collections and sample streams."""

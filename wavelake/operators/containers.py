@@ -192,14 +192,14 @@ def streaminfo(data: Column) -> dict[str, Column]:
 
 
 def flac_scan(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """(keys, result, fields of STREAMINFO, audio_offset) of FLAC files. STREAMINFO must come first and once, a block must
+    """(keys, result, fields of STREAMINFO, frames_offset) of FLAC files. STREAMINFO must come first and once, a block must
     be marked last, and type 127 is CORRUPT."""
     blocks = src.flac_block_rows(files.select(*keys, F.col(content).alias("content")))
     got = blocks.groupBy(*keys).agg(F.max(F.when((F.col("at") == 0) & (F.col("type") == 0), F.col("data"))).alias("info"), F.count_if(F.col("type") == 0).alias("infos"), F.count_if(F.col("type") == 127).alias("bad"), F.count_if(F.length("data") < F.col("size")).alias("cut"), F.max("last").alias("ended"), F.max(F.when(F.col("last"), F.col("offset") + F.col("size"))).alias("audio"))
     got = got.withColumn("f", F.struct(*[v.alias(k) for k, v in streaminfo(F.col("info")).items()]))
     f = {k: F.col("f")[k] for k in ("result", "least_block", "most_block", "least_frame", "most_frame", "sample_rate", "channels", "depth", "frames", "md5")}
     result = F.when(F.col("info").isNull() | (F.col("infos") != 1) | (F.col("bad") > 0) | (F.col("cut") > 0) | ~F.col("ended"), "CORRUPT").otherwise(f["result"])
-    return _finished(got, keys, result, {**{k: v for k, v in f.items() if k != "result"}, "audio_offset": F.col("audio")})
+    return _finished(got, keys, result, {**{k: v for k, v in f.items() if k != "result"}, "frames_offset": F.col("audio")})
 
 
 def seek_points(blocks: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
