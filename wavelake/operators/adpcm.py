@@ -48,6 +48,20 @@ def ima_run(nibbles: Column, predictor: Column, index: Column) -> Column:
     return F.aggregate(nibbles, zero, step)["out"]
 
 
+def observable_entries(nibbles: Column, index: Column) -> Column:
+    """The step indices, in order, that an array of nibbles meets with a magnitude other than 0, where a wrong step would
+    be heard in full. Null nibbles give null."""
+    moves = F.array(*map(F.lit, IMA_MOVES))
+    zero = F.struct(index.cast("int").alias("i"), F.array().cast("array<int>").alias("seen"))
+
+    def step(s, nib):
+        size = nib.bitwiseAND(7)
+        i = F.least(F.greatest(s["i"] + F.element_at(moves, size + 1), F.lit(0)), F.lit(88))
+        return F.struct(i.alias("i"), F.when(size > 0, F.array_union(s["seen"], F.array(s["i"]))).otherwise(s["seen"]).alias("seen"))
+
+    return F.array_sort(F.aggregate(nibbles, zero, step)["seen"])
+
+
 def _low_first(data: Column, at: Column) -> Column:
     """The two nibbles of the byte at a place, low one first."""
     b = u8(data, at).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import bytes as by
-from ..functions import samples
+from ..functions import samples, signals
 from ..operators import adpcm, containers, seek, tagbytes
 from ..sources import files as src
 from ..sources import tables as t
@@ -256,3 +256,40 @@ def opus_packet_split(spark, d):
     toc = by.be_bytes(20 * 8 + kind, 1)
     body = F.when(kind == 0, zeros(n)).when(kind == 1, zeros(2 * n)).otherwise(F.concat(by.be_bytes(n, 1), zeros(n + 7)))
     return src.opus_frame_rows(t.read(spark, d, "events").select("event_id", F.concat(toc, body).alias("data")))
+
+
+# Signals, the hearing scale, excess frames
+
+
+@query("erb_scale", "SELECT p_partkey, round(24.7::DOUBLE * (4.37::DOUBLE * p_partkey / 1000 + 1), 6) AS width FROM part")
+def erb_scale(spark, d):
+    return parts(spark, d).select("p_partkey", F.round(signals.erb(F.col("p_partkey").cast("double")), 6).alias("width"))
+
+
+@query(
+    "erb_centres",
+    """SELECT p_partkey, k, round((pow(10::DOUBLE, a + (b - a) / 31 * k) - 1) * 1000 / 4.37::DOUBLE, 5) AS centre FROM (
+    SELECT p_partkey, log10(4.37::DOUBLE * 50 / 1000 + 1) AS a, log10(4.37::DOUBLE * (4000 + p_partkey % 12000) / 1000 + 1) AS b FROM part), range(32) r(k)""",
+)
+def erb_centres(spark, d):
+    high = (4000 + F.col("p_partkey") % 12000).cast("double")
+    got = parts(spark, d).select("p_partkey", F.posexplode(signals.erb_centres(32, F.lit(50.0), high)).alias("k", "centre"))
+    return got.select("p_partkey", F.col("k").cast("bigint").alias("k"), F.round("centre", 5).alias("centre"))
+
+
+@query("excess_class", "SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'OK' WHEN event_id % 2 = 0 THEN 'NO_PADDING' WHEN event_id % 7 < 3 THEN 'FEWER' WHEN event_id % 7 >= 5 THEN 'BLOCK' ELSE 'OK' END AS result FROM events")
+def excess_class(spark, d):
+    """Even tracks are PCM, odd ones have blocks of two frames; others found -3 to 3 frames more."""
+    e = F.col("event_id")
+    return t.read(spark, d, "events").select("event_id", signals.excess(F.when(e % 2 == 0, "pcm").otherwise("ima-wav"), e % 7 - 3, F.lit(2)).alias("result"))
+
+
+def add_signal(kind: str, sql: str):
+    @query(f"signal_{kind}", f"SELECT event_id, round({sql}, 6) AS v FROM (SELECT event_id, event_id / 8000::DOUBLE AS t FROM events)")
+    def run(spark, d):
+        return t.read(spark, d, "events").select("event_id", F.round(signals.signal(kind, F.col("event_id"), F.lit(0), 8000), 6).alias("v"))
+
+
+add_signal("square", "0.7::DOUBLE * (2 * floor(2 * (50 * t - floor(50 * t))) - 1)")
+add_signal("ramp", "2 * (20 * t - floor(20 * t)) - 1")
+add_signal("tone", "0.6::DOUBLE * sin(2 * pi() * 440 * t) + 0.25::DOUBLE * sin(2 * pi() * 660 * t)")
