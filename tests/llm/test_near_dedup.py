@@ -82,3 +82,29 @@ def test_sketch_fills_every_bin_and_estimates():
     s = fast_sketch(np.concatenate([a, b, x[:1]]), np.repeat([0, 1, 2], [900, 900, 1]), 3, 100)
     assert (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.15
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_hidden_pairs_match_brute_force(spark, monkeypatch, percent):
+    """Every similar pair of different labels is found once, with one label on most sets and shingles cut into slices."""
+    monkeypatch.setattr(near_dedup, "PAIRS_A_SLICE", 3)
+    r = random.Random(percent)
+    base = r.sample(range(10**6), 40)
+    sets = {}
+    for i in range(50):
+        own = set(base[: r.randrange(28, 41)])
+        own = own - set(r.sample(sorted(own), r.randrange(4))) | {10**6 + 100 * i + k for k in range(r.randrange(4))}
+        sets[i] = (sorted(own), "main" if i % 3 else f"l{i % 5}")
+    key = {i: b"%03d" % i for i in sets}
+    table = spark.createDataFrame([(key[i], s) for i, (s, _) in sets.items()], "digest binary, shingles array<bigint>")
+    labels = spark.createDataFrame([(key[i], label.encode()) for i, (_, label) in sets.items()], "digest binary, label binary")
+    got = [(bytes(p.a), bytes(p.b)) for p in near_dedup._hidden_pairs(table, labels, percent).collect()]
+
+    def similar(x, y):
+        common = len(set(x) & set(y))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    want = {(key[i], key[j]) for i in sets for j in sets if i < j and sets[i][1] != sets[j][1] and similar(sets[i][0], sets[j][0])}
+    assert len(want) > 20 and len(got) == len(set(got)) and want <= set(got)
+    of = {key[i]: label for i, (_, label) in sets.items()}
+    assert all(of[a] != of[b] for a, b in got)

@@ -7,6 +7,7 @@
 3. Buckets whose members then lie in more than one component may still hide links. Their classes go through an
    exact join: shingles are put in order of rarity, and two classes of different components are compared only
    if a rare shingle of both stands where the number needed in common can still be reached. No cap is needed.
+   The largest component on a shingle is compared with the rest alone, never within itself.
 4. Every comparison is the exact intersection of full sets.
 
 A pair of similarity s shares no band of 25 with 4 rows each with probability (1 - s^4)^25: 8e-9 at 0.85.
@@ -14,6 +15,7 @@ A pair of similarity s shares no band of 25 with 4 rows each with probability (1
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,19 +85,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _hidden_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of the sets that lie in different components and can still be similar enough, by an exact
-    prefix join: shingles rarest first, and only as far into each set as the first shared one must lie."""
+    prefix join: shingles rarest first, and only as far into each set as the first shared one must lie.
+
+    On each shingle only the sets outside its largest component are compared with the others, so the copies of a
+    large group never meet each other, and only sets of neighbouring size classes meet. A shingle of many sets is cut
+    into slices, so that no key is hot."""
     need = 100 + percent  # similar enough: need * common >= percent * (na + nb)
     each = sets.join(labels, "digest").select("digest", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     rare = each.groupBy("t").agg(F.count("*").alias("df"))
     ordered = each.join(rare, "t").groupBy("digest", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     prefix = written(ordered.select("digest", "label", "n", F.posexplode(F.slice("ts", 1, reach)).alias("at", "e")).where("e.df > 1").select("digest", "label", "n", "at", F.col("e.t").alias("t")))
-    mixed = prefix.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
-    prefix = written(prefix.join(broadcast_if_small(mixed), "t", "left_semi"))
-    a, b = (prefix.select("t", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "at")]) for x in "ab")
+    labels_of = prefix.groupBy("t", "label").agg(F.count("*").alias("c"))
+    mixed = labels_of.groupBy("t").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("df"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = written(mixed.select("t", "main", F.ceil(F.col("df") / PAIRS_A_SLICE).cast("int").alias("slices")))
+    # sets whose sizes are near enough lie in the same or in neighbouring classes; 1.01 covers rounding
+    width = 1.01 * math.log(100 / min(percent, 99))
+    prefix = written(prefix.join(broadcast_if_small(mixed), "t").withColumn("class", F.floor(F.log("n") / width)))
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("t", "slice", "class", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "at")])
+
+    a = side(prefix.where("label <> main").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))), "a")
+    b = prefix.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int")).withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)))
+    b = side(b, "b").drop("main")
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    fits = (F.col("label_a") != F.col("label_b")) & (need * left >= percent * (F.col("n_a") + F.col("n_b"))) & (F.struct("n_a", "digest_a") < F.struct("n_b", "digest_b"))
-    return a.join(b, "t").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+    once = (F.col("label_b") == F.col("main")) | (F.struct("n_a", "digest_a") < F.struct("n_b", "digest_b"))
+    fits = (F.col("label_a") != F.col("label_b")) & (need * left >= percent * (F.col("n_a") + F.col("n_b"))) & once
+    pair = F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")
+    return a.join(b, ["t", "slice", "class"]).where(fits).select(*pair).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
