@@ -88,8 +88,8 @@ def _hidden_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     prefix join: shingles rarest first, and only as far into each set as the first shared one must lie.
 
     On each shingle only the sets outside its largest component are compared with the others, so the copies of a
-    large group never meet each other, and only sets of neighbouring size classes meet. A shingle of many sets is cut
-    into slices, so that no key is hot."""
+    large group never meet each other. A shingle of many sets is cut into slices, so that no key is hot, and there only
+    sets of neighbouring size classes meet."""
     need = 100 + percent  # similar enough: need * common >= percent * (na + nb)
     each = sets.join(labels, "digest").select("digest", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     rare = each.groupBy("t").agg(F.count("*").alias("df"))
@@ -99,15 +99,16 @@ def _hidden_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     labels_of = prefix.groupBy("t", "label").agg(F.count("*").alias("c"))
     mixed = labels_of.groupBy("t").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("df"), F.count("*").alias("labels")).where("labels > 1")
     mixed = written(mixed.select("t", "main", F.ceil(F.col("df") / PAIRS_A_SLICE).cast("int").alias("slices")))
-    # sets whose sizes are near enough lie in the same or in neighbouring classes; 1.01 covers rounding
+    # on a shingle in slices, sets whose sizes are near enough lie in the same or in neighbouring classes; 1.01 covers rounding
     width = 1.01 * math.log(100 / min(percent, 99))
-    prefix = written(prefix.join(broadcast_if_small(mixed), "t").withColumn("class", F.floor(F.log("n") / width)))
+    prefix = written(prefix.join(broadcast_if_small(mixed), "t").withColumn("class", F.when(F.col("slices") > 1, F.floor(F.log("n") / width)).otherwise(-1)))
 
     def side(rows: DataFrame, x: str) -> DataFrame:
         return rows.select("t", "slice", "class", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "at")])
 
     a = side(prefix.where("label <> main").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))), "a")
-    b = prefix.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int")).withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)))
+    b = prefix.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int"))
+    b = b.withColumn("class", F.explode(F.when(F.col("slices") > 1, F.sequence(F.col("class") - 1, F.col("class") + 1)).otherwise(F.array(F.lit(-1).cast("bigint")))))
     b = side(b, "b").drop("main")
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     once = (F.col("label_b") == F.col("main")) | (F.struct("n_a", "digest_a") < F.struct("n_b", "digest_b"))
