@@ -43,11 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, *partition_by: str, row_group_bytes: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation.
+    row_group_bytes: for rows of long arrays, which readers hold a row group at a time."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    writer = df.write.partitionBy(*partition_by)
+    (writer.option("parquet.block.size", row_group_bytes) if row_group_bytes else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table has no file to tell its schema
 
 
