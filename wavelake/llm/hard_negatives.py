@@ -203,8 +203,9 @@ def search(anchors: DataFrame, index: DataFrame, pairs: DataFrame, space: Space,
     asked = anchors.select(F.col("block").alias("anchors"), F.col("ids").alias("q_ids"), F.col("labels").alias("q_labels"), F.col("v").alias("q_v"), *(["windows"] if windows else []))
     if windows:
         each = anchors.select(F.col("block").alias("anchors"), F.explode("windows").alias("w")).select("anchors", "w.*")
+        whole_score = F.col("score").cast("double")  # near enough for a bound, and it can't overflow
         edge = lambda s: F.sqrt(F.greatest(F.col("norm") + space.most - 2.0 * s, F.lit(0.0)))
-        each = written(each.where("score >= 0").select("anchors", "pos", "win", edge(F.ceil(F.col("score") * low / 100)).alias("outer"), edge(F.floor(F.col("score") * high / 100)).alias("inner")))
+        each = written(each.where("score >= 0").select("anchors", "pos", "win", edge(F.ceil(whole_score * low / 100)).alias("outer"), edge(F.floor(whole_score * high / 100)).alias("inner")))
         pairs = pairs.join(each.groupBy("anchors").agg(F.min("inner").alias("inner")), "anchors").where(F.col("most") + space.slack >= F.col("inner")).drop("inner")
     else:
         each = anchors.select(F.col("block").alias("anchors"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).select("anchors", "pos", F.lit(0).alias("win"), F.lit(float("inf")).alias("outer"))
