@@ -29,7 +29,9 @@ from .common import fresh, lean, pieces, row_key, small_batches, written
 
 BUCKETS = 10_000
 #: Bytes of a row group of the matrix; a reader holds one at a time.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
+#: About how many characters of text one block of the matrix holds.
+BLOCK_CHARS = 400_000
 #: Longest words (and a space) that the tables of shifts know.
 SHIFTS = 64
 #: A-Z to a-z, and every ASCII byte that is no letter or digit to a space; other bytes are parts of words.
@@ -75,7 +77,7 @@ class WordCrcs(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """(words, 3)"""
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
             self.crcs, self.known = [], self.known[:0]
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -113,7 +115,7 @@ def matrix(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> Data
         whole = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, t))
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for first, end in pieces(texts):
+            for first, end in pieces(texts, BLOCK_CHARS):
                 n_words, indptr, bucket, count = counted(texts[first:end], cache, shifts, buckets)
                 own = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
