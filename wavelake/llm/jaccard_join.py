@@ -3,9 +3,9 @@
 1. Texts of one set of word shingles are one class. Shingles are put in one order, rarer ones first: by how many there
    are in the shingle's hash bucket, and by the shingle itself. Any order gives the same links.
 2. Two sets that have t shingles in common have l of them within the first n - t + l of both, for every l up to t. Each
-   class takes its own l: a longer prefix meets more sets but asks for l common shingles before two are compared in
-   full. The cost of each l is estimated from the bucket counts, and the cheapest is taken. A pair must have as many
-   shingles in common within its prefixes as the smaller l of the two.
+   class takes its own l: a longer prefix meets more sets but asks for more common shingles before two are compared in
+   full. The cost of each l is estimated from the bucket counts, and the cheapest is taken. How many shingles a pair
+   must have in common within its prefixes grows with both l, and is more the nearer their sizes are.
 3. First every class is compared with one hub of each shingle of its prefix, so that large groups fall into components
    with a comparison a member. Then the pairs of different components that share enough of their prefixes are compared.
    On each shingle the largest component meets the others alone, never itself; frequent shingles are cut into slices,
@@ -30,7 +30,7 @@ from .shingles import WordHashes, shingle_sets
 
 WIDTH = 4
 #: Hash buckets of the shingle counts: a fixed size, one row a bucket and task.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Most l, and what a full comparison costs for each shingle of a set beside looking up one shingle.
 MOST_MATCHES, VERIFY = 4, 0.25
 #: Members of a shingle's slice, and pairs that one copy of a set serves.
@@ -135,6 +135,15 @@ def near_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def shared_needed(n_a: str, l_a: str, n_b: str, l_b: str, percent: int) -> Column:
+    """How many shingles two similar sets have in common within their prefixes at least. What they have in common lies in
+    both prefixes or behind the one that ends first, and there are no more shingles than that set has behind it:
+    ceil(percent * n / 100) - l, or none. For sets of one size that is far more than l."""
+    least = F.ceil((F.col(n_a) + F.col(n_b)) * percent / (100 + percent))
+    behind = lambda n, l: F.greatest(F.ceil(F.col(n) * percent / 100) - F.col(l), F.lit(0))  # noqa: E731, E741
+    return F.greatest(least - F.greatest(behind(n_a, l_a), behind(n_b, l_b)), F.lit(1))
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Every set is sent once for each SLICE of the pairs that ask
     for it, whichever side it is on, so no key is hot."""
@@ -152,7 +161,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def crossing_pairs(open_: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of different labels that share as many shingles (t) of their prefixes as the smaller l of both.
+    """The pairs (a, b) of different labels that share as many shingles (t) of their prefixes as similar ones must.
     open_: (t, digest, n, l); labels: (digest, label)."""
     own = open_.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     by_label = own.groupBy("t", "label").agg(F.count("*").alias("c"))
@@ -171,8 +180,8 @@ def crossing_pairs(open_: DataFrame, labels: DataFrame, percent: int) -> DataFra
     b = side(b, "b")
     once = (F.col("label_b") == F.col("main")) | (F.col("digest_a") < F.col("digest_b"))
     met = a.join(b, ["t", "slice", "class"]).where((F.col("label_a") != F.col("label_b")) & near_sizes("n_a", "n_b", percent) & once)
-    met = met.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b"), F.least("l_a", "l_b").alias("l"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("l").alias("l")).where("shared >= l").select("a", "b")
+    met = met.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b"), shared_needed("n_a", "l_a", "n_b", "l_b", percent).alias("need"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
 
 
 def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -202,13 +211,23 @@ def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = open_.join(broadcast_if_small(written(hubs)), ["t", "part"]).where((F.col("digest") != F.col("hub.digest")) & near_sizes("n", "hub.n", percent))
     pairs = pairs.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
 
-    members = written(classes.join(open_.select("digest").distinct(), "digest", "left_semi").select(F.col("a_row").alias("row")))
-    sets = written(docs.join(broadcast_if_small(members), "row", "left_semi").select("text").mapInArrow(lean(_sets), "digest binary, shingles array<bigint>").dropDuplicates(["digest"]))
-    links = written(similar(pairs, sets, percent))
+    repeats = not rows.groupBy("row").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The full sets of those that pairs name, from the text of one row each."""
+        ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+        members = broadcast_if_small(written(classes.join(ends, "digest", "left_semi").select(F.col("a_row").alias("row"))))
+        sets = docs.join(members, "row", "left_semi").select("text").mapInArrow(lean(_sets), "digest binary, shingles array<bigint>")
+        return written(sets.dropDuplicates(["digest"]) if repeats else sets)
+
+    pairs = written(pairs)
+    links = written(similar(pairs, sets_of(pairs), percent))
     labels = components(links)
-    more = written(similar(crossing_pairs(open_.select("t", "digest", "n", "l"), labels.select(F.col("node").alias("digest"), "label"), percent), sets, percent))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    pairs = written(crossing_pairs(open_.select("t", "digest", "n", "l"), labels.select(F.col("node").alias("digest"), "label"), percent))
+    if not pairs.isEmpty():
+        more = written(similar(pairs, sets_of(pairs), percent))
+        if not more.isEmpty():
+            labels = components(links.union(more))
 
     linked = labels.join(classes.select(F.col("digest").alias("node"), "first_id"), "node")
     lowest = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
