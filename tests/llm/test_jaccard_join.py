@@ -82,8 +82,11 @@ def test_prefixes_of_similar_sets_share_enough():
             if len(b) == 0 or 100 * both < percent * (len(a) + len(b) - both):
                 continue
             x, owner = np.concatenate([np.unique(a), np.unique(b)]), np.repeat([0, 1], [len(a), len(b)])
-            t, of, wanted = jaccard_join.prefixes(x, owner, 2, percent, counts)
+            t, of, at, wanted = jaccard_join.prefixes(x, owner, 2, percent, counts)
             assert len(np.intersect1d(t[of == 0], t[of == 1])) >= min(wanted)
+            spare = int(min(wanted)) - -(-(len(a) + len(b)) * percent // (100 + percent))
+            early = [t[(of == k) & (at < n + spare)] for k, n in ((0, len(a)), (1, len(b)))]
+            assert len(np.intersect1d(*early)) >= min(wanted)
 
 
 def test_longer_prefixes_where_many_would_be_compared():

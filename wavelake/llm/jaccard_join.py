@@ -4,8 +4,8 @@
    are in the shingle's hash bucket, and by the shingle itself. Any order gives the same links.
 2. Two sets that have t shingles in common have l of them within the first n - t + l of both, for every l up to t. Each
    class takes its own l: a longer prefix meets more sets but asks for more common shingles before two are compared in
-   full. The cost of each l is estimated from the bucket counts, and the cheapest is taken. How many shingles a pair
-   must have in common within its prefixes grows with both l, and is more the nearer their sizes are.
+   full. The cost of each l is estimated from the bucket counts, and the cheapest is taken. A pair must share as many
+   shingles as the smaller l of both, at places that its two sizes leave for them.
 3. First every class is compared with one hub of each shingle of its prefix, so that large groups fall into components
    with a comparison a member. Then the pairs of different components that share enough of their prefixes are compared.
    On each shingle the largest component meets the others alone, never itself; frequent shingles are cut into slices,
@@ -77,11 +77,11 @@ def matches_wanted(need: np.ndarray, cost: np.ndarray, n: np.ndarray) -> np.ndar
     return np.argmin(full, axis=1) + 1
 
 
-def prefixes(x: np.ndarray, owner: np.ndarray, n_sets: int, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, owner, l of the owner) of the prefixes of sets given as values x with owner."""
+def prefixes(x: np.ndarray, owner: np.ndarray, n_sets: int, percent: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, owner, place, l of each owner) of the prefixes of sets given as values x, ascending for each owner."""
     n = np.bincount(owner, minlength=n_sets)
     count = counts[bucket_of(x)]
-    order = np.lexsort((x, count, owner))
+    order = np.argsort(owner * (count.max(initial=0) + 1) + count, kind="stable")  # of equal counts, x ascends already
     x, count = x[order], count[order]
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     at = np.arange(len(x)) - start[owner]
@@ -91,12 +91,13 @@ def prefixes(x: np.ndarray, owner: np.ndarray, n_sets: int, percent: int, counts
     cost = np.stack([run[start + np.minimum(n - need + l, n)] - run[start] for l in range(1, MOST_MATCHES + 1)], axis=1) if n_sets else np.zeros((0, MOST_MATCHES))
     wanted = matches_wanted(need, cost, n)
     taken = at < (n - need + wanted)[owner]
-    return x[taken], owner[taken], wanted
+    return x[taken], owner[taken], at[taken], wanted
 
 
 def _made_prefixes(percent: int, counts: np.ndarray):
-    """(t, part, digest, nl) of each set's prefix, once a task for each set. part: -1, or the slice of a shingle that so
-    many sets may have that its members must not meet in one task. nl: size and l in one number."""
+    """(t, part, digest, nl, at) of each set's prefix, once a task for each set. part: -1, or the slice of a shingle that so
+    many sets may have that its members must not meet in one task. nl: size and l in one number. at: the
+    shingle's place in the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHashes(), set()
@@ -112,12 +113,12 @@ def _made_prefixes(percent: int, counts: np.ndarray):
                 if len(seen) > 300_000:
                     seen.clear()
                 mine = new[owner]
-                t, of, wanted = prefixes(x[mine], owner[mine], end - first, percent, counts)
+                t, of, at, wanted = prefixes(x[mine], owner[mine], end - first, percent, counts)
                 heat = 1 + counts[bucket_of(t)] // HOT
                 low = np.array([int.from_bytes(d[:4], "little") for d in digests], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t.view(np.int64)), pa.array(np.where(heat > 1, low[of] % heat, -1), pa.int32()), pa.array(digests, pa.binary()).take(pa.array(of)), pa.array(np.diff(ends)[of] * (MOST_MATCHES + 1) + wanted[of])],
-                    ["t", "part", "digest", "nl"],
+                    [pa.array(t.view(np.int64)), pa.array(np.where(heat > 1, low[of] % heat, -1), pa.int32()), pa.array(digests, pa.binary()).take(pa.array(of)), pa.array(np.diff(ends)[of] * (MOST_MATCHES + 1) + wanted[of]), pa.array(at, pa.int32())],
+                    ["t", "part", "digest", "nl", "at"],
                 )
 
     return run
@@ -135,18 +136,22 @@ def near_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def shared_needed(n_a: str, l_a: str, n_b: str, l_b: str, percent: int) -> Column:
-    """How many shingles two similar sets have in common within their prefixes at least. What they have in common lies in
-    both prefixes or behind the one that ends first, and there are no more shingles than that set has behind it:
-    ceil(percent * n / 100) - l, or none. For sets of one size that is far more than l."""
-    least = F.ceil((F.col(n_a) + F.col(n_b)) * percent / (100 + percent))
-    behind = lambda n, l: F.greatest(F.ceil(F.col(n) * percent / 100) - F.col(l), F.lit(0))  # noqa: E731, E741
-    return F.greatest(least - F.greatest(behind(n_a, l_a), behind(n_b, l_b)), F.lit(1))
+def least_common(n_a: Column, n_b: Column, percent: int) -> Column:
+    """How many shingles similar sets of these sizes have in common at least."""
+    return F.ceil((n_a + n_b) * percent / (100 + percent))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Every set is sent once for each SLICE of the pairs that ask
-    for it, whichever side it is on, so no key is hot."""
+def early_enough(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether a common shingle at these places is one of the first l that sets of these sizes must have in common, l the
+    smaller of both: at places below n - t + l in each, t the least they have in common in all."""
+    spare = F.least(a["l"], b["l"]) - least_common(a["n"], b["n"], percent)
+    return (a["at"] < a["n"] + spare) & (b["at"] < b["n"] + spare)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, short: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Every set is sent once for each SLICE of the pairs that ask for it,
+    whichever side it is on, so no key is hot. short: sets are lists of shortened shingles, which may repeat; then a pair
+    stays where as many of a's as needed occur in b."""
     pairs = written(pairs.select("a", "b"))
     for side in "ab":
         asked = pairs.groupBy(side).agg(F.ceil(F.count("*") / SLICE).cast("int").alias(f"of_{side}")).where(f"of_{side} > 1")
@@ -156,13 +161,25 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         own = sets.select(F.col("digest").alias(side), F.col("shingles").alias(f"s{side}")).join(broadcast_if_small(slices), side)
         own = own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
         pairs = pairs.withColumn("slice", F.pmod(F.xxhash64(other), F.col(f"of_{side}")).cast("int")).join(own, [side, "slice"]).drop("slice", f"of_{side}")
+    if short:  # of a's shingles, those whose short form b has, however often it occurs
+        once = F.array_distinct("sb")
+        rare = F.size(F.array_except(F.col("sa"), once))  # different short forms that b lacks: each stands for one or more
+        common = F.size("sa") - rare
+        return pairs.where((100 * common >= percent * (F.size("sa") + F.size("sb") - common))).select("a", "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return pairs.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. First they are compared by 16 bits of each shingle, a quarter
+    of what has to move: that finds as many in common or more, and so loses none. What is left is compared in full."""
+    maybe = written(compared(pairs, sets.select("digest", F.transform("shingles", lambda x: (x.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")).alias("shingles")), percent, short=True))
+    return compared(maybe, sets, percent)
+
+
 def crossing_pairs(open_: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of different labels that share as many shingles (t) of their prefixes as similar ones must.
-    open_: (t, digest, n, l); labels: (digest, label)."""
+    open_: (t, digest, n, l, at); labels: (digest, label)."""
     own = open_.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     by_label = own.groupBy("t", "label").agg(F.count("*").alias("c"))
     mixed = by_label.groupBy("t").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("df"), F.count("*").alias("labels")).where("labels > 1")
@@ -172,16 +189,17 @@ def crossing_pairs(open_: DataFrame, labels: DataFrame, percent: int) -> DataFra
     own = written(own.join(broadcast_if_small(mixed), "t").withColumn("class", F.when(F.col("slices") > 1, F.floor(F.log("n") / width)).otherwise(-1)))
 
     def side(rows: DataFrame, x: str) -> DataFrame:
-        return rows.select("t", "slice", "class", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "l")], *(["main"] if x == "b" else []))
+        return rows.select("t", "slice", "class", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "l", "at")], *(["main"] if x == "b" else []))
 
     a = side(own.where("label <> main").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))), "a")
     b = own.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int"))
     b = b.withColumn("class", F.explode(F.when(F.col("slices") > 1, F.sequence(F.col("class") - 1, F.col("class") + 1)).otherwise(F.array(F.lit(-1).cast("bigint")))))
     b = side(b, "b")
     once = (F.col("label_b") == F.col("main")) | (F.col("digest_a") < F.col("digest_b"))
-    met = a.join(b, ["t", "slice", "class"]).where((F.col("label_a") != F.col("label_b")) & near_sizes("n_a", "n_b", percent) & once)
-    met = met.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b"), shared_needed("n_a", "l_a", "n_b", "l_b", percent).alias("need"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
+    of_a, of_b = ({c: F.col(f"{c}_{x}") for c in ("n", "l", "at")} for x in "ab")
+    met = a.join(b, ["t", "slice", "class"]).where((F.col("label_a") != F.col("label_b")) & near_sizes("n_a", "n_b", percent) & once & early_enough(of_a, of_b, percent))
+    met = met.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b"), F.least("l_a", "l_b").alias("l"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("l").alias("l")).where("shared >= l").select("a", "b")
 
 
 def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -202,13 +220,13 @@ def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = made.where("counts IS NULL").select("row", "doc_id", "n", "digest")
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("a_row")))
 
-    each = docs.select("text").mapInArrow(lean(_made_prefixes(percent, counts)), "t bigint, part int, digest binary, nl bigint").repartition("t", "part")
-    each = each.groupBy("t", "part", "digest").agg(F.max("nl").alias("nl")).withColumn("members", F.count("*").over(Window.partitionBy("t", "part")))
-    open_ = written(each.where("members > 1 OR part >= 0").select("t", "part", "members", "digest", F.floor(F.col("nl") / (MOST_MATCHES + 1)).alias("n"), (F.col("nl") % (MOST_MATCHES + 1)).alias("l")))
+    each = docs.select("text").mapInArrow(lean(_made_prefixes(percent, counts)), "t bigint, part int, digest binary, nl bigint, at int").repartition("t", "part")
+    each = each.groupBy("t", "part", "digest").agg(F.max("nl").alias("nl"), F.max("at").alias("at")).withColumn("members", F.count("*").over(Window.partitionBy("t", "part")))
+    open_ = written(each.where("members > 1 OR part >= 0").select("t", "part", "members", "digest", "at", F.floor(F.col("nl") / (MOST_MATCHES + 1)).alias("n"), (F.col("nl") % (MOST_MATCHES + 1)).alias("l")))
 
     met = open_.groupBy("digest").agg(F.sum("members").alias("met"))
-    hubs = open_.join(met, "digest").groupBy("t", "part").agg(F.max_by(F.struct("digest", "n"), F.struct("met", "digest")).alias("hub"))
-    pairs = open_.join(broadcast_if_small(written(hubs)), ["t", "part"]).where((F.col("digest") != F.col("hub.digest")) & near_sizes("n", "hub.n", percent))
+    hubs = open_.join(met, "digest").groupBy("t", "part").agg(F.max_by(F.struct("digest", "n", "l", "at"), F.struct("met", "digest")).alias("hub"))
+    pairs = open_.join(broadcast_if_small(written(hubs)), ["t", "part"]).where((F.col("digest") != F.col("hub.digest")) & near_sizes("n", "hub.n", percent) & early_enough(*({c: F.col(x + c) for c in ("n", "l", "at")} for x in ("", "hub.")), percent))
     pairs = pairs.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
 
     repeats = not rows.groupBy("row").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
@@ -223,7 +241,7 @@ def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = written(pairs)
     links = written(similar(pairs, sets_of(pairs), percent))
     labels = components(links)
-    pairs = written(crossing_pairs(open_.select("t", "digest", "n", "l"), labels.select(F.col("node").alias("digest"), "label"), percent))
+    pairs = written(crossing_pairs(open_.select("t", "digest", "n", "l", "at"), labels.select(F.col("node").alias("digest"), "label"), percent))
     if not pairs.isEmpty():
         more = written(similar(pairs, sets_of(pairs), percent))
         if not more.isEmpty():
