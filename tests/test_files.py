@@ -44,7 +44,7 @@ def test_wav_scan_and_open(spark, tmp_path):
         "e": (wav(fmt(17, 1, 8000, 256, 4) + ima, b"\0" * 600, chunk(b"fact", struct.pack("<I", 1100))), ("OK", "s16", "ima-wav", 1, 8000, 1100)),
         "f": (wav(fmt(17, 1, 8000, 256, 4) + struct.pack("<HH", 2, 500), b"\0" * 600), ("CORRUPT", None, None, None, None, None)),
         "g": (wav(fmt(7, 2, 8000, 2, 8), b"\0" * 9), ("OK", "s16", "ulaw", 2, 8000, 4)),
-        "h": (b"RIFF\0\0\0\0WAVE", None),
+        "h": (b"RIFF\0\0\0\0WAVE", ("CORRUPT", None, None, None, None, None)),
         "i": (None, None),
         "j": (b"", None),
     }

@@ -94,21 +94,30 @@ def ima_qt_block(blocks: DataFrame, block: str = "block", channels: str = "chann
     return _samples(each, out, blocks.columns)
 
 
-def ms_block(blocks: DataFrame, block: str = "block", channels: str = "channels") -> DataFrame:
+def ms_pairs(fmt: Column) -> Column:
+    """The predictor pairs that a WAV format chunk of MS ADPCM states, as ms_block() takes them."""
+    value = lambda i, k: signed(le(fmt, 22 + 4 * i + k, 2), 16)
+    n = le(fmt, 20, 2).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(value(i, 0).alias("a"), value(i, 2).alias("b"))))
+
+
+def ms_block(blocks: DataFrame, block: str = "block", channels: str = "channels", pairs: str | None = None) -> DataFrame:
     """MS ADPCM: the second stored sample comes first in time, then the first; nibbles are the interleaved samples, high
-    one first. A step size stays where 32 bits hold its product with any factor. A predictor number past the seven pairs, or a block shorter than its preambles, gives none."""
+    one first. A step size stays where 32 bits hold its product with any factor. A predictor number past the pairs, or a block shorter than its preambles, gives none. pairs: a column
+    of the file's own pairs (ms_pairs()); where there is none, the usual seven."""
     data, c = F.col(block), F.col(channels)
     each = blocks.where(F.length(data) >= 7 * c).withColumn("ch", F.explode(F.sequence(F.lit(0), (c - 1).cast("int"))))
     ch = F.col("ch")
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in MS_PAIRS])
+    usual = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in MS_PAIRS])
+    every_pair = F.coalesce(F.col(pairs), usual) if pairs else usual
     factors = F.array(*map(F.lit, MS_FACTORS))
     every = F.transform(F.sequence(F.lit(0), (c - 1).cast("int")), lambda k: u8(data, k))
-    each = each.where(F.forall(every, lambda w: w < len(MS_PAIRS)))
+    each = each.where(F.forall(every, lambda w: w < F.size(every_pair)))
     half = lambda k: signed(le(data, c + (2 * k) * c + 2 * ch, 2), 16)
     frames = F.floor((F.length(data) - 7 * c) * 2 / c).cast("int")
     nibble = lambda f: F.when((f * c + ch) % 2 == 0, F.shiftright(u8(data, 7 * c + F.floor((f * c + ch) / 2)).cast("int"), 4)).otherwise(u8(data, 7 * c + F.floor((f * c + ch) / 2)).cast("int").bitwiseAND(15))
     nibbles = F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames - 1), nibble)).otherwise(F.array().cast("array<int>"))
-    pair = F.element_at(pairs, u8(data, ch).cast("int") + 1)
+    pair = F.element_at(every_pair, u8(data, ch).cast("int") + 1)
     zero = F.struct(half(0).alias("d"), half(1).alias("s1"), half(2).alias("s2"), F.array(half(2), half(1)).alias("out"))
 
     def step(s, n):

@@ -1,7 +1,9 @@
 """Tracks of sound files from their bytes: container scans, sample bytes, and the bytes of new files.
 
 A scan gives a row for each file of its format with result (OK, CORRUPT, UNSUPPORTED or LIMIT) and, where that is OK, the
-fields of its track. Files of other formats give no row; repeated files give a row each if a column tells them apart."""
+fields of its track. Files of other formats give no row; repeated files give a row each if a column tells them apart.
+content names the column of a file's bytes; None: files are (path, length), of any size, and scans read no more of them
+than they must. Keys may be null."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as by
 from ..functions import headers
+from ..functions.lookups import MPEG_BITRATES
 from ..sources import files as src
 
 #: Most channels, frames a second, and chunks of a file.
@@ -34,19 +37,29 @@ def _pick(value: Column, table: dict, kind: str = "string") -> Column:
     return out
 
 
+def _with_all_files(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """elements with a row for each file besides, of place -1 and with no element's fields: no file goes missing for
+    having none."""
+    own = [c for c in files.columns if c != "content"]
+    rest = [F.lit(-1 if f.name == "at" else None).cast(f.dataType).alias(f.name) for f in elements.schema.fields if f.name not in own]
+    return elements.unionByName(files.select(*[F.col(f"`{c}`") for c in own], *rest))
+
+
 def _finished(got: DataFrame, keys: list[str], result: Column, fields: dict[str, Column]) -> DataFrame:
     got = got.withColumn("result", F.coalesce(result, F.lit("CORRUPT")))
     return got.select(*keys, "result", *[F.when(F.col("result") == "OK", c).alias(k) for k, c in fields.items()])
 
 
-def wav_scan(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+def wav_scan(files: DataFrame, keys: list[str], content: str | None = "content") -> DataFrame:
     """(keys, result, format, coding, channels, mask, sample_rate, frames, data_offset, data_length) of WAV files. keys name
     a file. Data that run past the end are cut to what is there; the frames of coded data come from their blocks, the last
-    one's own included, unless a fact chunk says less within one block."""
-    c = F.col(content)
-    own = files.where(F.hex(by.part(c, 0, 4)).isin("52494646", "52463634", "42573634") & (F.hex(by.part(c, 8, 4)) == "57415645"))
-    chunks = src.chunk_rows(own.select(*keys, F.length(c).alias("__n"), c.alias("content")))
-    got = chunks.groupBy(*keys).agg(F.max("__n").alias("n"), F.count("*").alias("chunks"), _last("fmt ", "data").alias("fmt"), _last("fmt ", "size").alias("fmt_size"), _last("data", "offset").alias("at"), _last("data", "size").alias("size"), F.min(F.when((F.col("id") == "fmt "), F.col("size"))).alias("least"), _last("fact", "data").alias("fact"), _last("ds64", "data").alias("ds64"))
+    one's own included, unless a fact chunk says less within one block. In the long forms (RF64, BW64) a size of 2^32 - 1
+    stands for that of the ds64 chunk, and is CORRUPT without one. A file without chunks is CORRUPT."""
+    head = F.col("__head")
+    own = src.with_head(files, keys, content).where(F.hex(by.part(head, 0, 4)).isin("52494646", "52463634", "42573634") & (F.hex(by.part(head, 8, 4)) == "57415645"))
+    own = own.withColumn("__long", F.hex(by.part(head, 0, 4)) != "52494646").drop("__head")
+    chunks = _with_all_files(src.chunk_rows(own, content and "content"), own)
+    got = chunks.groupBy(*keys).agg(F.max("__n").alias("n"), F.max("__long").alias("rf64"), F.count_if(F.col("at") >= 0).alias("chunks"), _last("fmt ", "data").alias("fmt"), _last("fmt ", "size").alias("fmt_size"), _last("data", "offset").alias("at"), _last("data", "size").alias("size"), F.min(F.when((F.col("id") == "fmt "), F.col("size"))).alias("least"), _last("fact", "data").alias("fact"), _last("ds64", "data").alias("ds64"))
     # step by step: each step's columns are computed once, and no expression holds those before it
     fmt, c = F.col("fmt"), F.col("channels")
     got = got.withColumns({"tag": by.le(fmt, 0, 2), "channels": by.le(fmt, 2, 2), "rate": by.le(fmt, 4, 4), "align": by.le(fmt, 12, 2), "bits": by.le(fmt, 14, 2), "extra": by.le(fmt, 18, 2), "coef": by.le(fmt, 20, 2), "stated": by.le(fmt, 20, 4), "inner": by.le(fmt, 24, 2), "guid": F.hex(by.part(fmt, 26, 14)), "fmt_bytes": F.length(fmt), "fact": by.le(F.col("fact"), 0, 4), "long": by.le64(F.col("ds64"), 8)})
@@ -75,23 +88,25 @@ def wav_scan(files: DataFrame, keys: list[str], content: str = "content") -> Dat
         .when(wide & (F.col("guid") != GUID), "UNSUPPORTED")
         .when(F.col("coding").isin("ima-wav", "ms-adpcm") & (F.col("fmt_bytes") < 20), "CORRUPT")
         .when(ms & (F.col("fmt_bytes") < 22), "CORRUPT")
-        .when(ms & ((F.col("coef") == 0) | (F.col("coef") > 256)), "UNSUPPORTED")
+        .when(ms & ((F.col("coef") == 0) | (F.col("coef") > 32)), "UNSUPPORTED")
         .when(ms & (F.col("fmt_bytes") < 22 + 4 * F.col("coef")), "CORRUPT")
         .when(fmt.isNotNull() & F.col("format").isNull(), "UNSUPPORTED")
         .when(fmt.isNull() | F.col("at").isNull(), "CORRUPT")
+        .when(F.col("rf64") & (F.col("size") == 0xFFFFFFFF) & F.col("long").isNull(), "CORRUPT")
         .otherwise(F.col("geometry"))
     )
     stored = F.when(F.col("coding") == "pcm", F.col("frames") * frame).otherwise(F.col("length"))
     return _finished(got, keys, result, {"format": F.col("format"), "coding": F.col("coding"), "channels": c, "mask": F.col("mask"), "sample_rate": F.col("rate"), "frames": F.col("frames").cast("bigint"), "data_offset": F.col("at"), "data_length": stored.cast("bigint")})
 
 
-def aiff_scan(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+def aiff_scan(files: DataFrame, keys: list[str], content: str | None = "content") -> DataFrame:
     """The same of AIFF and AIFF-C files, with little_endian. The bytes that are there say how many frames there are; of
     those stated, no more count than the bytes hold."""
-    c = F.col(content)
-    own = files.where((F.hex(by.part(c, 0, 4)) == "464F524D") & F.hex(by.part(c, 8, 4)).isin("41494646", "41494643"))
-    chunks = src.chunk_rows(own.select(*keys, F.length(c).alias("__n"), F.hex(by.part(c, 11, 1)).alias("__kind"), c.alias("content")))
-    got = chunks.groupBy(*keys).agg(F.max("__n").alias("n"), F.max("__kind").alias("kind"), F.count("*").alias("chunks"), _last("COMM", "data").alias("comm"), _last("COMM", "size").alias("comm_size"), _last("SSND", "data").alias("ssnd"), _last("SSND", "offset").alias("at"), _last("SSND", "size").alias("size"))
+    head = F.col("__head")
+    own = src.with_head(files, keys, content).where((F.hex(by.part(head, 0, 4)) == "464F524D") & F.hex(by.part(head, 8, 4)).isin("41494646", "41494643"))
+    own = own.withColumn("__kind", F.hex(by.part(head, 11, 1))).drop("__head")
+    chunks = _with_all_files(src.chunk_rows(own, content and "content"), own)
+    got = chunks.groupBy(*keys).agg(F.max("__n").alias("n"), F.max("__kind").alias("kind"), F.count_if(F.col("at") >= 0).alias("chunks"), _last("COMM", "data").alias("comm"), _last("COMM", "size").alias("comm_size"), _last("SSND", "data").alias("ssnd"), _last("SSND", "offset").alias("at"), _last("SSND", "size").alias("size"))
     comm, c = F.col("comm"), F.col("channels")
     packing = F.when((F.col("kind") == "43") & (F.length(comm) >= 22), by.part(comm, 18, 4).cast("string")).otherwise("NONE")
     got = got.withColumns({"channels": by.be(comm, 0, 2), "stated": by.be(comm, 2, 4), "bits": by.be(comm, 6, 2), "rate": by.extended(comm, 8), "packing": packing, "skip": by.be(F.col("ssnd"), 0, 4), "comm_bytes": F.length(comm), "ssnd_bytes": F.length(F.col("ssnd"))})
@@ -191,15 +206,16 @@ def streaminfo(data: Column) -> dict[str, Column]:
     return {"result": result, **{k: F.when(result == "OK", v) for k, v in fields.items()}}
 
 
-def flac_scan(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+def flac_scan(files: DataFrame, keys: list[str], content: str | None = "content") -> DataFrame:
     """(keys, result, fields of STREAMINFO, frames_offset) of FLAC files. STREAMINFO must come first and once, a block must
-    be marked last, and type 127 is CORRUPT."""
-    blocks = src.flac_block_rows(files.select(*keys, F.col(content).alias("content")))
-    got = blocks.groupBy(*keys).agg(F.max(F.when((F.col("at") == 0) & (F.col("type") == 0), F.col("data"))).alias("info"), F.count_if(F.col("type") == 0).alias("infos"), F.count_if(F.col("type") == 127).alias("bad"), F.count_if(F.length("data") < F.col("size")).alias("cut"), F.max("last").alias("ended"), F.max(F.when(F.col("last"), F.col("offset") + F.col("size"))).alias("audio"))
+    be marked last, cue sheets, pictures and comments must hold just what their lengths say, and type 127 is CORRUPT."""
+    own = src.with_head(files, keys, content, 4).where(F.hex("__head") == "664C6143").drop("__head")
+    blocks = _with_all_files(src.flac_block_rows(own, content and "content"), own).withColumn("picture", F.when(F.col("type") == 6, picture(F.col("data"))["data"]))
+    got = blocks.groupBy(*keys).agg(F.max(F.when((F.col("at") == 0) & (F.col("type") == 0), F.col("data"))).alias("info"), F.count_if(F.col("type") == 0).alias("infos"), F.count_if(F.col("type") == 127).alias("bad"), F.count_if(F.length("data") < F.col("size")).alias("cut"), F.count_if((F.col("type") == 5) & ~cuesheet_ok(F.col("data")) | (F.col("type") == 6) & F.col("picture").isNull() | (F.col("type") == 4) & ~comments_ok(F.col("data"))).alias("broken"), F.max("last").alias("ended"), F.max(F.when(F.col("last"), F.col("offset") + F.col("size"))).alias("sound_at"))
     got = got.withColumn("f", F.struct(*[v.alias(k) for k, v in streaminfo(F.col("info")).items()]))
     f = {k: F.col("f")[k] for k in ("result", "least_block", "most_block", "least_frame", "most_frame", "sample_rate", "channels", "depth", "frames", "md5")}
-    result = F.when(F.col("info").isNull() | (F.col("infos") != 1) | (F.col("bad") > 0) | (F.col("cut") > 0) | ~F.col("ended"), "CORRUPT").otherwise(f["result"])
-    return _finished(got, keys, result, {**{k: v for k, v in f.items() if k != "result"}, "frames_offset": F.col("audio")})
+    result = F.when(F.col("info").isNull() | (F.col("infos") != 1) | (F.col("bad") > 0) | (F.col("cut") > 0) | (F.col("broken") > 0) | ~F.coalesce(F.col("ended"), F.lit(False)), "CORRUPT").otherwise(f["result"])
+    return _finished(got, keys, result, {**{k: v for k, v in f.items() if k != "result"}, "frames_offset": F.col("sound_at")})
 
 
 def seek_points(blocks: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
@@ -246,6 +262,11 @@ def cuesheet_ok(data: Column) -> Column:
     return F.coalesce((tracks > 0) & (end == F.length(data)), F.lit(False))
 
 
+def comments_ok(data: Column) -> Column:
+    """Whether the vendor text of a comment block and the number behind it lie within the block."""
+    return F.coalesce(by.le(data, 0, 4) + 8 <= F.length(data), F.lit(False))
+
+
 # Ogg
 
 
@@ -279,32 +300,46 @@ def vorbis_head(data: Column) -> dict[str, Column]:
     return {"result": result, **{k: F.when(result == "OK", v) for k, v in fields.items()}}
 
 
-def ogg_scan(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+def ogg_scan(files: DataFrame, keys: list[str], content: str | None = "content") -> DataFrame:
     """(keys, serial, codec, result, channels, sample_rate, pre_skip, frames) of the Opus and Vorbis streams of Ogg files.
-    frames: the last stated granule, for Opus less its pre-skip; null where none is stated."""
-    own = files.select(*keys, F.col(content).alias("content"))
-    heads = src.ogg_packet_rows(own, head=1).drop("granule", "packet")
-    last = src.ogg_page_rows(own).groupBy(*keys, "serial").agg(F.max(F.when(F.col("granule") != -1, F.struct("offset", "granule")))["granule"].alias("granule"))
+    frames: the last stated granule, for Opus less its pre-skip; null where none is stated. A stream without its tag
+    packet, or for Vorbis without its comment and setup packets, is CORRUPT."""
+    own = files.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{content}`").alias("content")) if content else files
+    packets = src.ogg_packet_rows(own, content and "content", head=3)
+    second, third = (F.max(F.when(F.col("packet") == k, F.col("data"))) for k in (1, 2))
+    heads = packets.groupBy(*keys, "serial").agg(F.max(F.when(F.col("packet") == 0, F.col("data"))).alias("data"), by.part(second, 0, 8).alias("second"), by.part(third, 0, 8).alias("third"))
+    last = src.ogg_page_rows(own, content and "content").groupBy(*keys, "serial").agg(F.max(F.when(F.col("granule") != -1, F.struct("offset", "granule")))["granule"].alias("granule"))
     d = F.col("data")
     opus, vorbis = opus_head(d), vorbis_head(d)
     codec = F.when(by.part(d, 0, 8).cast("string") == "OpusHead", "opus").when(F.hex(by.part(d, 0, 7)) == "01766F72626973", "vorbis")
-    got = heads.withColumn("codec", codec).where("codec IS NOT NULL").join(last, [*keys, "serial"])
+    got = heads.withColumn("codec", codec).where("codec IS NOT NULL")
+    both = [*keys, "serial"]
+    last = last.select(*[F.col(f"`{k}`").alias(f"__of{i}") for i, k in enumerate(both)], "granule")
+    same = F.lit(True)
+    for i, k in enumerate(both):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__of{i}"))
+    got = got.join(last, same).drop(*[f"__of{i}" for i in range(len(both))])
     is_opus = F.col("codec") == "opus"
     pick = lambda a, b: F.when(is_opus, a).otherwise(b)
     fields = {"channels": pick(opus["channels"], vorbis["channels"]), "sample_rate": pick(F.lit(48000), vorbis["sample_rate"]), "pre_skip": pick(opus["pre_skip"], F.lit(0)), "frames": pick(headers.opus_frames(F.col("granule"), opus["pre_skip"]), F.col("granule"))}
-    return _finished(got, [*keys, "serial", "codec"], pick(opus["result"], vorbis["result"]), fields)
+    tags = F.coalesce(F.col("second").cast("string") == "OpusTags", F.lit(False))
+    setup = F.coalesce((F.hex(by.part(F.col("second"), 0, 7)) == "03766F72626973") & (F.hex(by.part(F.col("third"), 0, 7)) == "05766F72626973"), F.lit(False))
+    result = pick(F.when(tags | (opus["result"] != "OK"), opus["result"]), F.when(setup | (vorbis["result"] != "OK"), vorbis["result"]))
+    return _finished(got, [*keys, "serial", "codec"], result, fields)
 
 
 # MPEG
 
 
 def xing_tag(frame: Column, side: Column) -> dict[str, Column]:
-    """frames, bytes, delay and padding that the tag in a stream's first frame states (Xing or Info behind the side
-    information, or VBRI at 36); null where it states none. The decoder's 529 frames go from padding to delay."""
-    at = 4 + side
-    name = by.part(frame, at, 4).cast("string")
-    xing = F.coalesce(name.isin("Xing", "Info"), F.lit(False))
+    """frames, bytes, delay and padding that the tag in a stream's first frame states (VBRI at 36, or else Xing or Info
+    behind the side information, with a checksum also two bytes further on); null where it states none. The decoder's 529
+    frames go from padding to delay."""
     vbri = F.coalesce(by.part(frame, 36, 4).cast("string") == "VBRI", F.lit(False))
+    there = lambda k: F.coalesce(by.part(frame, k, 4).cast("string").isin("Xing", "Info"), F.lit(False))
+    at = 4 + side + F.when(there(4 + side) | (by.u8(frame, 1) % 2 == 1), 0).otherwise(2)
+    name = by.part(frame, at, 4).cast("string")
+    xing = there(at) & ~vbri
     flags = by.be(frame, at + 4, 4)
     has = lambda k: flags.bitwiseAND(k) != 0
     size_at = at + 8 + F.when(has(1), 4).otherwise(0)
@@ -321,18 +356,21 @@ def xing_tag(frame: Column, side: Column) -> dict[str, Column]:
     }
 
 
-def mpeg_scan(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+def mpeg_scan(files: DataFrame, keys: list[str], content: str | None = "content") -> DataFrame:
     """(keys, version, layer, channels, sample_rate, first_offset, walked, source, frames, delay, padding) of MPEG files:
-    the frames (samples of a channel) as a tag states them, else counted over all frames of the file. A frame that holds a
-    tag is none of the sound. Files without a frame give no row."""
-    rows = src.mpeg_frame_rows(files.select(*keys, F.col(content).alias("content")))
+    the frames (samples of a channel) as a tag states them, if the file's bytes can hold as many of the shortest frames,
+    else counted over all frames of the file. A frame that holds a tag is none of the sound. Files without a frame give no row."""
+    own = files.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{content}`").alias("content")) if content else files
+    rows = src.mpeg_frame_rows(own, content and "content")
     first = F.col("frame") == 0
-    got = rows.groupBy(*keys).agg(F.count("*").alias("walked"), F.sum("samples").alias("total"), *[F.max(F.when(first, F.col(c))).alias(c) for c in ("data", "offset", "samples")])
+    got = rows.groupBy(*keys).agg(F.max("sound_end").alias("end"), F.count("*").alias("walked"), F.sum("samples").alias("total"), *[F.max(F.when(first, F.col(c))).alias(c) for c in ("data", "offset", "samples")])
     got = got.withColumns({f"b{k}": by.u8(F.col("data"), k) for k in range(4)})
     got = headers.with_mpeg_header(got.withColumnRenamed("samples", "of_first"), "b0", "b1", "b2", "b3")
     got = got.withColumn("tag", F.struct(*[v.alias(k) for k, v in xing_tag(F.col("data"), F.col("side_info")).items()]))
     tag = F.col("tag")
-    got = got.withColumns({"counted": F.col("total") - F.when(tag["tag"].isNotNull(), F.col("of_first")).otherwise(0), "plausible": F.coalesce((tag["frames"] > 0) & (tag["frames"] <= 16 * F.col("walked") + 16), F.lit(False))})
+    least = F.coalesce(*[F.when(((F.col("version") == 1) == F.lit(v == 1)) & (F.col("layer") == layer), F.lit(MPEG_BITRATES[v, layer][1] * 1000)) for v in (1, 2) for layer in (1, 2, 3)])
+    shortest = F.when(F.col("layer") == 1, F.floor(12 * least / F.col("sample_rate")) * 4).otherwise(F.floor(F.floor(F.col("of_first") / 8) * least / F.col("sample_rate")))
+    got = got.withColumns({"counted": F.col("total") - F.when(tag["tag"].isNotNull(), F.col("of_first")).otherwise(0), "plausible": F.coalesce((tag["frames"] > 0) & (tag["frames"] <= F.floor((F.col("end") - F.col("offset")) / shortest)), F.lit(False))})
     got = got.withColumn("frames", F.when(F.col("plausible"), tag["frames"] * F.col("of_first")).otherwise(F.col("counted")).cast("bigint"))
     trims = F.coalesce(tag["delay"] + tag["padding"] < F.col("frames"), F.lit(False))
     return got.select(*keys, "version", "layer", "channels", "sample_rate", F.col("offset").alias("first_offset"), "walked", F.when(F.col("plausible"), "stated").otherwise("counted").alias("source"), "frames", F.when(trims, tag["delay"]).alias("delay"), F.when(trims, tag["padding"]).alias("padding"))

@@ -24,11 +24,12 @@ def id3v1(data: Column) -> dict[str, Column]:
 
 def genre_text(value: Column) -> Column:
     """A genre as text: numbers in brackets go where text follows them, and a number alone, bracketed or not, is looked
-    up. Numbers that no genre has stay as they are."""
+    up, however many zeros stand before it. Numbers that no genre has stay, without brackets."""
     rest = F.trim(F.regexp_replace(value, r"^(\(\d+\))+", ""))
     last = F.regexp_extract(value, r"^(?:\(\d+\))*\((\d+)\)$", 1)
-    number = F.when(rest.rlike(r"^\d{1,3}$"), rest).when((rest == "") & (last != "") & (F.length(last) <= 3), last)
-    return F.coalesce(F.get(F.array(*map(F.lit, GENRES)), number.cast("int")), F.nullif(rest, F.lit("")), value)
+    left = F.when(rest == "", F.nullif(last, F.lit(""))).otherwise(rest)
+    number = F.when(left.rlike(r"^0*\d{1,3}$"), F.regexp_replace(left, r"^0+(?=\d)", ""))
+    return F.coalesce(F.get(F.array(*map(F.lit, GENRES)), number.cast("int")), left, value)
 
 
 def id3v2(spark: SparkSession, files: DataFrame, content: str = "content") -> DataFrame:

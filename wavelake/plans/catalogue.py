@@ -432,7 +432,7 @@ def add_tag_map(scheme: str):
 
     @query(
         f"tag_map_{scheme}",
-        f"SELECT event_id, event_type AS value, key, nullif(tag, '') AS tag, tag = '' AS custom FROM (SELECT *, event_id % {len(pairs)} AS i FROM events) JOIN {sql_values([(i, k, v) for i, (k, v) in enumerate(pairs)], 'at', 'key', 'tag')} ON at = i",
+        f"SELECT event_id, event_type AS value, key, nullif(tag, '') AS tag, tag = '' AS custom FROM (SELECT *, event_id % {len(pairs)} AS i FROM events) JOIN {sql_values([(i, k, v) for i, (k, v) in enumerate(pairs)], 'place', 'key', 'tag')} ON place = i",
     )
     def mapped(spark, d):
         own = F.get(F.array(*[F.lit(k) for k, _ in pairs]), (F.col("event_id") % len(pairs)).cast("int"))

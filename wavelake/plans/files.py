@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as by
 from ..functions import samples, signals
-from ..operators import adpcm, containers, seek, tagbytes
+from ..operators import adpcm, containers, documents, seek, tagbytes
 from ..sources import files as src
 from ..sources import tables as t
 from .catalogue import query
@@ -147,10 +147,10 @@ add_tags("riff_info_parse", ["INAM", "IPUB", "IXYZ", "ITRK"], [*zip("1234", ("ti
 add_tags("id3v2_parse", ["TIT2", "TPUB", "COMM", "TRCK"], [*zip("1234", ("title", "organization", "comment", "tracknumber"), (*_FIELDS[:3], "CAST(p_size AS VARCHAR)")), ("5", "tracktotal", "'99'")], tagbytes.id3v24_bytes, lambda spark, df: tagbytes.id3v2(spark, df, "data"))
 
 
-@query("genre_normalise", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Rock' WHEN 1 THEN 'Rock' WHEN 2 THEN 'Own' WHEN 3 THEN '250' WHEN 4 THEN 'Trance' ELSE p_name END AS genre FROM part")
+@query("genre_normalise", "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'Rock' WHEN 1 THEN 'Rock' WHEN 2 THEN 'Own' WHEN 3 THEN '250' WHEN 4 THEN 'Trance' WHEN 5 THEN '250' WHEN 6 THEN '250' WHEN 7 THEN 'Rock' ELSE p_name END AS genre FROM part")
 def genre_normalise(spark, d):
-    texts = F.array(F.lit("17"), F.lit("(17)"), F.lit("(17)(4)Own"), F.lit("250"), F.lit("(4)(31)"), F.col("p_name"))
-    return parts(spark, d).select("p_partkey", tagbytes.genre_text(F.element_at(texts, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("genre"))
+    texts = F.array(F.lit("17"), F.lit("(17)"), F.lit("(17)(4)Own"), F.lit("250"), F.lit("(4)(31)"), F.lit("(250)"), F.lit("(17)(250)"), F.lit("0017"), F.col("p_name"))
+    return parts(spark, d).select("p_partkey", tagbytes.genre_text(F.element_at(texts, (F.col("p_partkey") % 9 + 1).cast("int"))).alias("genre"))
 
 
 # FLAC
@@ -293,3 +293,35 @@ def add_signal(kind: str, sql: str):
 add_signal("square", "0.7::DOUBLE * (2 * floor(2 * (50 * t - floor(50 * t))) - 1)")
 add_signal("ramp", "2 * (20 * t - floor(20 * t)) - 1")
 add_signal("tone", "0.6::DOUBLE * sin(2 * pi() * 440 * t) + 0.25::DOUBLE * sin(2 * pi() * 660 * t)")
+
+
+# Files of every kind at once
+
+
+def mixed_files(spark, d):
+    """A file for each part, of one of six kinds by its key: WAV, AIFF, FLAC, Opus, text, and a WAV of nothing but its head."""
+    k = F.col("p_partkey").cast("bigint")
+    data = containers.sample_bytes(F.array(F.col("p_size").cast("bigint"), -F.col("p_size").cast("bigint")), 2)
+    info = F.concat(by.be_bytes(F.lit(16), 2), by.be_bytes(F.lit(4096), 2), zeros(F.lit(6)), by.be_bytes(F.lit((8000 << 12) + (1 << 9) + (15 << 4)), 4), by.be_bytes(k, 4), zeros(F.lit(16)))
+    comment = tagbytes.vorbis_comment_bytes("maker", entries(("TITLE", F.col("p_name"))))
+    flac = F.concat(F.lit(b"fLaC"), F.unhex(F.lit("00000022")), info, F.unhex(F.lit("84")), by.be_bytes(F.length(comment), 3), comment)
+    more = F.concat(F.lit(b"LIST"), by.let(tagbytes.riff_info_bytes(entries(("INAM", F.col("p_name")))), lambda x: F.concat(by.le_bytes(F.length(x), 4), x)))
+    kinds = [containers.wav_bytes("s16", F.lit(1), F.lit(8000), data, more=more), containers.aiff_bytes("s16", F.lit(2), F.lit(44100), F.lit(1), data), flac, F.expr("substring(content, 6)"), F.lit(b"no sound at all"), F.lit(b"RIFF\0\0\0\0WAVE")]
+    return parts(spark, d).join(ogg_files(spark, d), "p_partkey").select("p_partkey", F.element_at(F.array(*kinds), (k % 6 + 1).cast("int")).alias("content"))
+
+
+@query(
+    "load_files",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'wav' WHEN 1 THEN 'aiff' WHEN 2 THEN 'flac' WHEN 3 THEN 'opus' WHEN 5 THEN 'wav' END AS codec,
+    CASE p_partkey % 6 WHEN 4 THEN 'UNKNOWN' WHEN 5 THEN 'CORRUPT' ELSE 'OK' END AS result, CASE WHEN p_partkey % 6 < 3 THEN 's16' END AS format,
+    CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN p_partkey % 2 + 1 END AS channels,
+    CASE p_partkey % 6 WHEN 0 THEN 8000 WHEN 1 THEN 44100 WHEN 2 THEN 8000 WHEN 3 THEN 48000 END AS sample_rate,
+    CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN p_partkey WHEN 3 THEN greatest(p_partkey * 7 - 312, 0) END AS frames FROM part""",
+)
+def load_files(spark, d):
+    return documents.load(mixed_files(spark, d), ["p_partkey"]).select("p_partkey", "codec", "result", "format", "channels", "sample_rate", "frames")
+
+
+@query("load_tags", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'riff' ELSE 'vorbis' END AS scheme, 'title' AS tag, p_name AS value FROM part WHERE p_partkey % 6 IN (0, 2)")
+def load_tags(spark, d):
+    return documents.load_tags(spark, mixed_files(spark, d), ["p_partkey"]).select("p_partkey", "scheme", "tag", "value")

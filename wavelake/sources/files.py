@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.lookups import MPEG_BITRATES, MPEG_RATES
+from .byte_ranges import FileBytes, read_ranges
 
 #: Chunks of samples, of which only the first bytes are carried along; their places tell where the samples are.
 SAMPLE_CHUNKS = (b"data", b"SSND")
 HEAD = 16
+#: About how many bytes of found elements go on together.
+MOST_BYTES = 4_000_000
 
 
 def open_files(spark: SparkSession, path: str) -> DataFrame:
@@ -26,8 +29,9 @@ def open_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def walked(files: DataFrame, fields: str, walk: Callable[[bytes], Iterator[tuple]], content: str = "content") -> DataFrame:
-    """A row for each tuple that walk finds in a file's bytes, with the file's other columns."""
+def walked(files: DataFrame, fields: str, walk: Callable[[bytes], Iterator[tuple]], content: str | None = "content") -> DataFrame:
+    """A row for each tuple that walk finds in a file's bytes, with the file's other columns. content: the column of the
+    bytes; None: files are (path, length), and are read through a window."""
     kept = [c for c in files.columns if c != content]
     empty = files.sparkSession.createDataFrame([], fields)
     schema = files.select(*[F.col(f"`{c}`") for c in kept]).schema
@@ -37,32 +41,67 @@ def walked(files: DataFrame, fields: str, walk: Callable[[bytes], Iterator[tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in enumerate(batch.column("__content")):
-                found = list(walk(data.as_py())) if data.is_valid else []
-                if found:
-                    own = batch.slice(i, 1).take(pa.array([0] * len(found)))
-                    yield pa.RecordBatch.from_arrays([*[own.column(c) for c in kept], *[pa.array(v, f.type) for v, f in zip(zip(*found), kinds)]], [*kept, *kinds.names])
-
-    return files.select(*[F.col(f"`{c}`") for c in kept], F.col(content).cast("binary").alias("__content")).mapInArrow(run, schema)
-
-
-def chunk_rows(files: DataFrame, content: str = "content") -> DataFrame:
+            at: list[int] = []
+            found: list[tuple] = []
+            size = 0
+
+            def rows() -> pa.RecordBatch:
+                own = batch.take(pa.array(at, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*[own.column(c) for c in kept], *[pa.array(v, f.type) for v, f in zip(zip(*found), kinds)]], [*kept, *kinds.names])  # noqa: B023
+
+            contents = batch.column("__content") if content else zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())
+            batch = batch.select(kept)
+            for i, data in enumerate(contents):
+                data = data.as_py() if content else FileBytes(*data)
+                for row in walk(data) if data is not None else ():
+                    at.append(i)
+                    found.append(row)
+                    size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+                    if size > MOST_BYTES:
+                        yield rows()
+                        at, found, size = [], [], 0
+                if not content:
+                    data.close()
+            if found:
+                yield rows()
+
+    own = [F.col(content).cast("binary").alias("__content")] if content else []
+    return files.select(*[F.col(f"`{c}`") for c in kept], *own).mapInArrow(run, schema)
+
+
+def with_head(files: DataFrame, keys: list[str], content: str | None = "content", n: int = 12) -> DataFrame:
+    """The keys of files with __n, a file's length, __head, its first n bytes, and what walked() reads it by: content, or
+    path and length, of which only n bytes are read."""
+    if content:
+        c = F.col(f"`{content}`")
+        return files.select(*[F.col(f"`{k}`") for k in keys], F.length(c).cast("bigint").alias("__n"), F.substring(c, 1, n).alias("__head"), c.alias("content"))
+    own = files.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*keys, "path", "length"])], F.lit(0).alias("__from"), F.lit(n).alias("__to"))
+    return read_ranges(own, start="__from", stop="__to", data="__head").withColumn("__n", F.col("length")).drop("__from", "__to")
+
+
+def chunk_rows(files: DataFrame, content: str | None = "content") -> DataFrame:
     """(at, id, offset, size, data): the chunks of a RIFF or IFF file in order, from byte 12. offset is where a chunk's
-    bytes start and size what its header states; both pad to even. Fewer than eight bytes at the end are ignored."""
+    bytes start and size what its header states; both pad to even. Fewer than eight bytes at the end are ignored. What
+    lies behind the data of a long form is found by the size in its ds64 chunk."""
 
     def walk(b: bytes):
         order = "big" if b[:4] == b"FORM" else "little"
-        at, n = 12, 0
+        at, n, long = 12, 0, None
         while at + 8 <= len(b):
             size = int.from_bytes(b[at + 4 : at + 8], order)
             own = HEAD if b[at : at + 4] in SAMPLE_CHUNKS else size
-            yield n, b[at : at + 4].decode("latin-1"), at + 8, size, b[at + 8 : at + 8 + own]
+            data = b[at + 8 : at + 8 + own]
+            yield n, b[at : at + 4].decode("latin-1"), at + 8, size, data
+            if b[at : at + 4] == b"ds64" and len(data) >= 16:
+                long = int.from_bytes(data[8:16], "little")
+            if b[at : at + 4] == b"data" and size == 0xFFFFFFFF and long is not None and b[:4] != b"RIFF":
+                size = long
             at, n = at + 8 + size + (size & 1), n + 1
 
     return walked(files, "at int, id string, offset bigint, size bigint, data binary", walk, content)
 
 
-def flac_block_rows(files: DataFrame, content: str = "content") -> DataFrame:
+def flac_block_rows(files: DataFrame, content: str | None = "content") -> DataFrame:
     """(at, type, last, offset, size, data): the metadata blocks of a FLAC file, up to the one marked last."""
 
     def walk(b: bytes):
@@ -123,7 +162,7 @@ def ogg_stream(serial: int, packets: list[tuple[bytes, int]]) -> bytes:
     return b"".join(out)
 
 
-def ogg_page_rows(files: DataFrame, content: str = "content") -> DataFrame:
+def ogg_page_rows(files: DataFrame, content: str | None = "content") -> DataFrame:
     """(offset, next_offset, serial, number, granule, flags, segments, bytes): the pages with a right checksum."""
 
     def walk(b: bytes):
@@ -133,7 +172,7 @@ def ogg_page_rows(files: DataFrame, content: str = "content") -> DataFrame:
     return walked(files, "offset bigint, next_offset bigint, serial bigint, number bigint, granule bigint, flags int, segments int, bytes bigint", walk, content)
 
 
-def ogg_packet_rows(files: DataFrame, content: str = "content", head: int | None = None) -> DataFrame:
+def ogg_packet_rows(files: DataFrame, content: str | None = "content", head: int | None = None) -> DataFrame:
     """(serial, packet, granule, data): the packets of each logical stream, numbered from 0, put together over pages. The
     granule is that of the page where a packet ends, if it is the last that ends there, else -1. A continued piece whose
     start is missing is dropped. head: carry no more packets of a stream than this."""
@@ -228,19 +267,21 @@ def mpeg_confidence(b: bytes | None) -> int:
     return 25 if found[1] < 2 else 100 if found[0] == span else 75
 
 
-def mpeg_frame_rows(files: DataFrame, content: str = "content") -> DataFrame:
-    """(frame, offset, size, samples, rate, bitrate, data): the frames of an MPEG file one behind the other, from the
-    first one on; data of the first frame alone, for its tag. The walk ends where no frame of its kind follows."""
+def mpeg_frame_rows(files: DataFrame, content: str | None = "content") -> DataFrame:
+    """(frame, offset, size, samples, rate, bitrate, data, sound_end): the frames of an MPEG file one behind the other,
+    from the first one on; data of the first frame alone, for its tag. The walk ends where no frame of its kind follows.
+    sound_end: the file's end, or where its ID3v1 trailer starts."""
 
     def walk(b: bytes):
+        end = len(b) - (128 if len(b) >= 128 and b[len(b) - 128 : len(b) - 125] == b"TAG" else 0)
         found = first_frame(b, id3v2_span(b))
         at, n = (found[0], 0) if found else (len(b), 0)
         kind = mpeg_frame(b, at)
         while (f := mpeg_frame(b, at)) and f[0] and f[4] == kind[4] and at + f[0] <= len(b):
-            yield n, at, f[0], f[1], f[2], f[3], b[at : at + f[0]] if n == 0 else b[at : at + 4]
+            yield n, at, f[0], f[1], f[2], f[3], b[at : at + f[0]] if n == 0 else b[at : at + 4], end
             at, n = at + f[0], n + 1
 
-    return walked(files, "frame bigint, offset bigint, size bigint, samples bigint, rate bigint, bitrate bigint, data binary", walk, content)
+    return walked(files, "frame bigint, offset bigint, size bigint, samples bigint, rate bigint, bitrate bigint, data binary, sound_end bigint", walk, content)
 
 
 # Tags
@@ -270,7 +311,7 @@ def split_text(encoding: int, data: bytes) -> tuple[bytes, bytes]:
     return (data, b"") if at < 0 else (data[:at], data[at + 1 :])
 
 
-def id3_frame_rows(files: DataFrame, content: str = "content") -> DataFrame:
+def id3_frame_rows(files: DataFrame, content: str | None = "content") -> DataFrame:
     """(at, id, description, value, mime, kind, data): the frames of an ID3v2.2, 2.3 or 2.4 tag at the start of the bytes.
     A text frame gives a row for each of its values; COMM, USLT and TXXX carry their description; APIC its type, kind and
     picture. Compressed or encrypted frames, and those of other ids, are carried as they are (data, no value)."""
