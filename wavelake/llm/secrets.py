@@ -7,6 +7,7 @@ context that costs at least ``least_cost`` is a secret; "password: summer2019" i
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import math
 import re
@@ -20,13 +21,15 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Credential contexts beyond the base pattern; the value is what stands after the separator.
-#: The keyword may go on as an identifier (password_hash, secretKey), and an auth scheme may stand before the value.
-CONTEXT = re.compile(
+#: Credential contexts beyond the base pattern: a keyword, which may go on as an identifier (password_hash, secretKey), then
+#: a separator behind the identifier's end, and a value, before which an auth scheme may stand.
+KEYWORD = re.compile(
     r"""((?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|(?:private|access|encryption|signing|[_-])[_-]?key|bearer))"""
-    r"""(?:[_-][A-Za-z0-9_-]*|(?:(?<=[a-z])[A-Z]|\d)[A-Za-z0-9_-]*|(?i:s))?["']?\s*(?:[:=]{1,2}>?|->|\sis\s)\s*["']?(?:(?i:bearer|basic|token)\s+["']?)?([^\s"'<>,;]{6,})""",
+    r"""(?=[_-]|(?<=[a-z])[A-Z]|\d|(?i:s)?(?:->|(?![A-Za-z0-9_-])))""",
     re.A,
 )
+IDENTIFIER = re.compile(r"[A-Za-z0-9_-]*", re.A)
+VALUE = re.compile(r"""["']?\s*(?:[:=]{1,2}>?|->|\sis\s)\s*["']?(?:(?i:bearer|basic|token)\s+["']?)?([^\s"'<>,;]{6,})""", re.A)
 #: An auth scheme with no separator: the value is what follows, unless it's a plain word.
 SCHEME = re.compile(r"""(?<![A-Za-z0-9])((?i:bearer|basic|token))\s+["']?([^\s"'<>,;]{6,})""", re.A)
 PLAIN = re.compile(r"[^A-Za-z0-9]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[^A-Za-z0-9]+(?:[A-Z]?[a-z]+|[A-Z]+))*[^A-Za-z0-9]*")
@@ -124,20 +127,46 @@ def guess_cost(value: str, words: Dictionary = FIXED) -> float:
     return best[n]
 
 
+def contexts(text: str, accept) -> list[tuple[int, int]]:
+    """Places of the values behind a keyword's identifier that accept() takes. All keywords of an identifier have the same
+    value, so an identifier is looked at once, however many it holds. Behind a value that isn't taken, the search goes on
+    at the identifier's end, as the value may hold a keyword of its own."""
+    out, at = [], 0
+    while m := KEYWORD.search(text, at):
+        at = IDENTIFIER.match(text, m.end()).end()
+        arrow = text[at - 1 : at + 1] == "->"  # its dash has the look of an identifier's
+        found = VALUE.match(text, at - 1 if arrow else at)
+        if found and accept(found[1]):
+            out.append(found.span(1))
+            at = found.end()
+    return out
+
+
 def costly(text: str, least_cost: float, words: Dictionary = FIXED) -> dict[tuple[int, int], float]:
-    """Places and costs of the values in a credential context that cost enough. Behind a value that doesn't, the search
-    goes on at the end of its keyword, as the value may hold the keyword of another."""
-    out = {}
-    for pattern in (CONTEXT, SCHEME):
-        at = 0
-        while m := pattern.search(text, at):
-            at = m.end(1)
-            if pattern is SCHEME and PLAIN.fullmatch(m[2]):
-                continue
-            if (cost := guess_cost(m[2], words)) >= least_cost:
-                at = m.end()
-                if not any(a < m.end(2) and m.start(2) < b for a, b in out):
-                    out[m.span(2)] = round(cost, 3)
+    """Places and costs of the values in a credential context that cost enough, in time that grows with the text. Of a
+    context and an auth scheme whose values overlap, the context counts."""
+    out: dict[tuple[int, int], float] = {}
+
+    costs: dict[str, float] = {}
+
+    def enough(value: str) -> bool:
+        if value not in costs:
+            costs[value] = guess_cost(value, words)
+        return costs[value] >= least_cost
+
+    taken = contexts(text, enough)
+    starts = [a for a, _ in taken]
+    for span in taken:
+        out[span] = round(costs[text[slice(*span)]], 3)
+    at = 0
+    while m := SCHEME.search(text, at):
+        at = m.end(1)
+        if PLAIN.fullmatch(m[2]) or not enough(m[2]):
+            continue
+        at = m.end()
+        k = bisect.bisect_left(starts, m.end(2))  # values before this one start before the match ends; the last ends last
+        if not (k and taken[k - 1][1] > m.start(2)):
+            out[m.span(2)] = round(costs[m[2]], 3)
     return out
 
 
