@@ -98,3 +98,18 @@ def latin1(data: Column) -> Column:
 def latin1_or_utf8(data: Column) -> Column:
     """UTF-8 where the bytes are that, else a byte a character."""
     return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.decode(data, "ISO-8859-1"))
+
+
+def crc(data: Column, bits: int, polynomial: int) -> Column:
+    """The checksum of few bytes from 0, most significant bit first, a bit at a time; 0 for none."""
+    top, mask = 1 << (bits - 1), (1 << bits) - 1
+
+    def step(c: Column, at: Column) -> Column:
+        own = F.conv(F.hex(F.substring(data, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.floor(own / F.pow(F.lit(2.0), 7 - at % 8)).cast("int") % 2
+        odd = (c >= top).cast("int") != bit
+        moved = (c * 2).bitwiseAND(mask)
+        return F.when(odd, moved.bitwiseXOR(F.lit(polynomial))).otherwise(moved).cast("int")
+
+    places = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) * 8 - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(0), step)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bytes as by
 from ..sources import files as src
 from ..sources.byte_ranges import pieces, read_ranges
+from ..sources.shared import stored
 from . import containers, probe, tagbytes, tags
 
 #: What of a file its codec is told by; MPEG frames are searched in it behind a tag.
@@ -19,9 +20,10 @@ TRACK = {"serial": "bigint", "result": "string", "format": "string", "coding": "
 
 
 def _named(files: DataFrame, keys: list[str], content: str | None) -> DataFrame:
-    """files with codec: null where no codec claims the bytes."""
+    """files with codec: null where no codec claims the bytes. Written once, in a folder for each codec, so that a scan
+    reads the files of its own codec alone and nothing is probed again; of files by path only the paths are written."""
     heads = src.with_head(files, keys, content, HEAD)
-    return probe.identify(heads, "__head").drop("__head", "__n", "confidence")
+    return stored(probe.identify(heads, "__head").drop("__head", "__n", "confidence"), "codec")
 
 
 def load(files: DataFrame, keys: list[str], content: str | None = "content") -> DataFrame:
