@@ -5,6 +5,7 @@ import pytest
 
 from wavelake.operators import flac
 from wavelake.sources import flac_frames as src
+from wavelake.sources import flac_subframes as sub
 
 
 def slow_crc(data, bits, poly):
@@ -105,3 +106,103 @@ def test_seek_lands_on_the_frame(spark):
     for r in got:
         offset, _, first, size = max(p for p in places if p[2] <= r["sample"])
         assert (r["offset"], r["skip"], r["found"]) == (offset, r["sample"] - first, r["sample"] < first + size)
+
+
+def rice(values, split, plan, order, method=0):
+    """The bits of a residual; plan: for each partition k, or (width,) of plain numbers."""
+    out, each = f"{method:02b}{split:04b}", (len(values) + order) >> split
+    cuts = [0, *[each * (p + 1) - order for p in range(1 << split)]]
+    for p, k in enumerate(plan):
+        own = values[cuts[p] : cuts[p + 1]]
+        if isinstance(k, tuple):
+            out += "1" * (4 + method) + f"{k[0]:05b}" + "".join(f"{v % (1 << k[0]):0{k[0]}b}" for v in own if k[0])
+        else:
+            out += f"{k:0{4 + method}b}"
+            for v in own:
+                z = 2 * v if v >= 0 else -2 * v - 1
+                out += "0" * (z >> k) + "1" + (f"{z % (1 << k):0{k}b}" if k else "")
+    return out
+
+
+def predicted(x, order, coefficients, shift):
+    return [x[i] - (sum(c * x[i - 1 - j] for j, c in enumerate(coefficients)) >> shift) for i in range(order, len(x))]
+
+
+FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
+
+
+def subframe(x, depth, kind, split=0, plan=None, wasted=0, coefficients=None, shift=0, method=0):
+    x, width = [v >> wasted for v in x], depth - wasted
+    plain = lambda vs, n: "".join(f"{v % (1 << n):0{n}b}" for v in vs)
+    head = lambda code: f"0{code:06b}" + (f"1{'0' * (wasted - 1)}1" if wasted else "0")
+    if kind == "constant":
+        return head(0) + plain(x[:1], width)
+    if kind == "verbatim":
+        return head(1) + plain(x, width)
+    lpc = coefficients is not None
+    own = coefficients if lpc else FIXED[kind]
+    n = len(own)
+    middle = f"{11:04b}{shift:05b}" + plain(own, 12) if lpc else ""
+    left = predicted(x, n, own, shift)
+    return head(31 + n if lpc else 8 + n) + plain(x[:n], width) + middle + rice(left, split, plan or [6] * (1 << split), n, method)
+
+
+def packed(bits):
+    bits += "0" * (-len(bits) % 8)
+    return int(bits or "0", 2).to_bytes(len(bits) // 8, "big")
+
+
+def cases():
+    rng = np.random.default_rng(7)
+    wave = [int(v) for v in 900 * np.sin(np.arange(512) / 9) + rng.integers(-20, 20, 512)]
+    other = [int(v) for v in 700 * np.cos(np.arange(512) / 7) + rng.integers(-20, 20, 512)]
+    for order in range(5):
+        yield 0, [wave], [subframe(wave, 16, order, split=order, plan=[5 + p % 3 for p in range(1 << order)])]
+    for split in range(9):
+        yield 0, [wave], [subframe(wave, 16, 1, split=split, method=split % 2)]
+    for n in (1, 2, 8, 12, 13, 32):
+        own = [int(v) for v in rng.integers(-300, 300, n)]
+        yield 0, [wave], [subframe(wave, 16, None, coefficients=own, shift=9, plan=[9])]
+    flat = [-32768] * 512
+    yield 0, [flat], [subframe(flat, 16, "constant")]
+    yield 0, [flat], [subframe(flat, 16, 1, plan=[(0,)])]
+    yield 0, [wave], [subframe(wave, 16, "verbatim")]
+    yield 0, [wave], [subframe(wave, 16, 2, split=2, plan=[4, (13,), 0, (14,)])]
+    coarse = [v << 3 for v in wave]
+    yield 0, [coarse], [subframe(coarse, 16, 2, wasted=3)]
+    yield 0, [coarse], [subframe(coarse, 16, "verbatim", wasted=3)]
+    yield 2, [wave, other, flat], [subframe(wave, 16, 2), subframe(other, 16, 3), subframe(flat, 16, "constant")]
+    side = [a - b for a, b in zip(wave, other)]
+    mid = [(a + b) >> 1 for a, b in zip(wave, other)]
+    yield 8, [wave, other], [subframe(wave, 16, 2), subframe(side, 17, 2)]
+    yield 9, [wave, other], [subframe(side, 17, 2), subframe(other, 16, "verbatim")]
+    yield 10, [wave, other], [subframe(mid, 16, 4), subframe(side, 17, "verbatim")]
+
+
+def test_subframes_come_back(spark):
+    rows, want = [], {}
+    for i, (assignment, channels, bits) in enumerate(cases()):
+        head = bytes([0xFF, 0xF8, 0x70, assignment << 4 | 8, 0]) + (511).to_bytes(2, "big")
+        head += bytes([slow_crc(head, 8, 7)])
+        f = head + packed("".join(bits))
+        rows.append((i, b"fLaC" + f + slow_crc(f, 16, 0x8005).to_bytes(2, "big")))
+        want |= {(i, n, ch): v for ch, x in enumerate(channels) for n, v in enumerate(x)}
+    files = spark.createDataFrame(rows, "k int, content binary")
+    frames = flac.frame_data(files, flac.frame_index(files, "k"), "k")
+    parts = flac.subframes(frames, "k").cache()
+    assert parts.where("result <> 'OK'").count() == 0
+    assert {len(r.partitions) for r in parts.where("partitions IS NOT NULL").collect()} == {1 << n for n in range(9)}
+    got = {(r.k, r.frame, r.ch): r.v for r in flac.frame_samples(flac.channel_samples(parts), "k").collect()}
+    assert got == want
+
+
+def test_broken_frames_say_so():
+    results = lambda bits, **more: [r[1] for r in sub.subframes(packed(bits) + bytes(2), **{"block": 16, "assignment": 0, "depth": 16, "header": 0, **more})]
+    good = subframe(list(range(16)), 16, 1)
+    assert results(good) == ["OK"] and results("1" + good[1:]) == ["CORRUPT"]
+    assert results("0" + f"{2:06b}" + good[7:]) == ["UNSUPPORTED"] and results("0" + f"{13:06b}" + good[7:]) == ["UNSUPPORTED"]
+    assert results(good[:40]) == ["CORRUPT"] and results(good + "0" * 16) == ["CORRUPT"] and results("") == ["CORRUPT"]
+    assert results(good[:24] + "10" + good[26:]) == ["UNSUPPORTED"]  # a coding of the residual to come
+    assert results(good[:26] + "0101" + good[30:]) == ["CORRUPT"]  # 16 samples are not 32 partitions
+    assert results("0" * 7 + "1" + "0" * 15 + "1" + "1") == ["CORRUPT"]  # all bits wasted
+    assert results(good, assignment=1) == ["OK", "CORRUPT"]

@@ -1,13 +1,19 @@
-"""FLAC frames as rows: an index of confirmed frames made range by range, and landing on the frame of a sample."""
+"""FLAC frames as rows: an index of confirmed frames made range by range, landing on the frame of a sample, the subframes
+of frames, the samples of subframes, and channels put back from the four stereo assignments."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources import flac_frames as src
+from ..sources import flac_subframes as sub
 from ..sources.byte_ranges import pieces, read_ranges
 from ..sources.files import walked
 from .ranges import last_before
@@ -66,3 +72,74 @@ def seek_frame(targets: DataFrame, frames: DataFrame, key: str, sample: str = "s
     got = last_before(targets, points, key, sample, ["__offset", "__size"])
     skip = F.col(sample) - F.col("point")
     return got.withColumns({"offset": F.col("__offset"), "skip": skip, "found": F.coalesce(skip < F.col("__size"), F.lit(False))}).drop("point", "__offset", "__size")
+
+
+def frame_data(files: DataFrame, frames: DataFrame, key: str, content: str | None = "content") -> DataFrame:
+    """frames of frame_index() with data, their bytes. Of files by path each task reads the bytes of its own frames."""
+    if content:
+        c = files.select(key, F.col(f"`{content}`").alias("__all"))
+        return frames.join(c, key).select(*frames.columns, F.substring("__all", (F.col("offset") + 1).cast("int"), F.col("length").cast("int")).alias("data"))
+    own = frames.join(files.select(key, "path"), key).withColumns({"__start": F.col("offset"), "__stop": F.col("offset") + F.col("length")})
+    return read_ranges(own, start="__start", stop="__stop").select(*frames.columns, "data")
+
+
+def _each(df: DataFrame, needs: list[str], fields: str, step) -> DataFrame:
+    """df with the fields of each row that step gives for the values of needs; step gives many or none."""
+    kept = df.columns
+    new = df.sparkSession.createDataFrame([], fields).schema
+    schema = StructType([*df.schema.fields, *new.fields])
+    kinds = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, size = [], [], 0
+            for i in range(batch.num_rows):
+                for row in step(*[batch.column(c)[i].as_py() for c in needs]):
+                    at.append(i)
+                    found.append(row)
+                    size += sum(len(v) for v in row if hasattr(v, "__len__"))
+                if found and (size > 500_000 or i + 1 == batch.num_rows):
+                    own = batch.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(v, f.type) for v, f in zip(zip(*found), kinds)]], [*kept, *kinds.names])
+                    at, found, size = [], [], 0
+
+    return df.mapInArrow(run, schema)
+
+
+def subframes(frames: DataFrame, key: str, depth=None) -> DataFrame:
+    """(key, offset, first_sample, block_size, assignment, depth, channel, result, kind, order, wasted, shift, coefficients,
+    warm, partitions, residuals): each channel of frames with data. warm: the first samples, all of a verbatim channel, or
+    the constant. partitions: k of each Rice partition, or null and the width of its plain numbers, and how many. result
+    is OK, CORRUPT or UNSUPPORTED; the latter without fields, and no later channel of that frame follows. depth: what to
+    take where a frame states none; frames without any, and null data, give no rows."""
+    own = frames.withColumn("depth", F.coalesce("depth", F.lit(None).cast("int") if depth is None else depth).cast("int"))
+    own = own.where("depth IS NOT NULL AND data IS NOT NULL").select(key, "offset", "first_sample", "block_size", "assignment", "depth", "header", "data")
+    return _each(own, ["data", "block_size", "assignment", "depth", "header"], sub.FIELDS, sub.subframes).drop("header", "data")
+
+
+def channel_samples(parts: DataFrame) -> DataFrame:
+    """Rows of subframes() whose result is OK, with x, the array of the channel's samples as the frame carries them, in place
+    of what they are made from."""
+    made = ["kind", "order", "wasted", "shift", "coefficients", "warm", "partitions", "residuals"]
+    needs = ["kind", "block_size", "order", "wasted", "shift", "coefficients", "warm", "residuals"]
+    got = _each(parts.where("result = 'OK'"), needs, "x array<bigint>", lambda *v: [(sub.rebuilt(*v),)])
+    return got.drop("result", *made)
+
+
+def frame_samples(channels: DataFrame, key: str) -> DataFrame:
+    """(key, frame, ch, v): samples from rows of channel_samples(), numbered from the start of the track; left, right, mid and
+    side are told apart by the frame's assignment. A frame that lacks a channel gives no samples. A group holds the
+    channels of one frame, eight at most."""
+    got = channels.groupBy(key, "offset", "first_sample", "assignment").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "x"))), lambda c: c["x"]).alias("x"))
+    count = F.when(F.col("assignment") < 8, F.col("assignment") + 1).otherwise(2)
+    a, b = F.get("x", 0), F.get("x", 1)
+    two = lambda use: F.zip_with(a, b, use)
+    total = lambda m, s: m * 2 + s.bitwiseAND(F.lit(1))
+    both = (
+        F.when(F.col("assignment") == 8, F.array(a, two(lambda left, side: left - side)))
+        .when(F.col("assignment") == 9, F.array(two(lambda side, right: side + right), b))
+        .when(F.col("assignment") == 10, F.array(two(lambda m, s: F.shiftright(total(m, s) + s, 1)), two(lambda m, s: F.shiftright(total(m, s) - s, 1))))
+        .otherwise(F.col("x"))
+    )
+    each = got.where(F.size("x") == count).select(key, "first_sample", F.posexplode(both).alias("ch", "own"))
+    return each.select(key, "first_sample", "ch", F.posexplode("own").alias("at", "v")).select(key, (F.col("first_sample") + F.col("at")).alias("frame"), "ch", "v")

@@ -362,3 +362,22 @@ def seek_flac(spark, d):
     files = flac_files(spark, d)
     targets = files.select("p_partkey", (F.col("p_size") % 24).alias("sample"))
     return flac.seek_frame(targets, flac.frame_index(files, "p_partkey"), "p_partkey").select("p_partkey", "sample", "offset", "skip", "found")
+
+
+@query(
+    "flac_samples",
+    """SELECT p_partkey, 4 * i + j AS frame, ch, p_size + j - 5 * ch AS v FROM part, range(5) a(i), range(4) b(j), range(2) c(ch)
+    WHERE i <= p_partkey % 4 + 1""",
+)
+def flac_samples(spark, d):
+    """Frames of left, by the fixed predictor of order 1 and Rice codes of k = 0, and side, which is constant."""
+    rest = "00" + "0000" + "0000" + "001" * 3 + "0" * 8 + f"{5:017b}" + "0000"
+    kind, rest = F.unhex(F.lit("12")), F.unhex(F.lit(f"{int(rest, 2):012X}"))
+
+    def frame(i: Column) -> Column:
+        head = by.let(F.concat(F.unhex(F.lit("FFF86088")), by.be_bytes(i, 1), F.unhex(F.lit("03"))), lambda h: F.concat(h, by.be_bytes(by.crc(h, 8, 0x07), 1)))
+        return by.let(F.concat(head, kind, by.be_bytes(F.col("p_size"), 2), rest), lambda b: F.concat(b, by.be_bytes(by.crc(b, 16, 0x8005), 2)))
+
+    files = parts(spark, d).select("p_partkey", by.joined(F.transform(F.sequence(F.lit(0), (F.col("p_partkey") % 4 + 1).cast("int")), frame)).alias("content"))
+    frames = flac.frame_data(files, flac.frame_index(files, "p_partkey"), "p_partkey")
+    return flac.frame_samples(flac.channel_samples(flac.subframes(frames, "p_partkey")), "p_partkey")
