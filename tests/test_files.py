@@ -6,6 +6,7 @@ import random
 import struct
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,26 @@ def test_unknown_and_refused(spark):
     null = F.lit(None).cast("bigint")
     got = one.select(headers.duration(F.lit(10), F.lit(0), F.lit(0), F.lit(0)).alias("a"), headers.duration(null, F.lit(0), F.lit(0), F.lit(8000)).alias("b"), headers.layout_valid(F.lit(0), F.lit(0)).alias("c"), headers.coded_frames("ms-adpcm", F.lit(3), F.lit(2)).alias("d"), headers.track_result(F.lit(44100), F.lit(3), F.lit(2), F.lit(None).cast("string")).alias("e")).first()
     assert tuple(got) == (-1.0, -1.0, False, None, "INVALID")
+
+
+def test_dither_of_ranges_is_that_of_the_buffer(spark):
+    rng = np.random.default_rng(5)
+    v = [float(x) for x in rng.uniform(-1.1, 1.1, 5000)]
+    state, want = 77, []
+    for x in v:
+        x *= 1 << 15
+        for _ in range(2):
+            state ^= state >> 12
+            state = state ^ state << 25 & (1 << 64) - 1
+            state ^= state >> 27
+            x += (state * 0x2545F4914F6CDD1D % (1 << 64) >> 11) / 2.0**53 - 0.5
+        x = math.floor(x + 0.5) if x >= 0 else math.ceil(x - 0.5)
+        want.append(min(max(x, -32768), 32767))
+    for step in (7, 999, 5000):
+        df = spark.createDataFrame([(at, v[at : at + step]) for at in range(0, len(v), step)], "at bigint, v array<double>")
+        got = samples.dithered(df, "v", "s16", F.lit(77), first=F.col("at")).collect()
+        assert [x for r in sorted(got) for x in r.v] == want
+    odd = spark.createDataFrame([(1, [0.0, None, float("nan"), 0.0]), (2, None), (3, [])], "k int, v array<double>")
+    got = {r.k: r.v for r in samples.dithered(odd, "v", "s16", F.lit(9)).collect()}
+    full = samples.dithered(spark.createDataFrame([(1, [0.0] * 4)], "k int, v array<double>"), "v", "s16", F.lit(9)).head().v
+    assert got == {1: [full[0], None, None, full[3]], 2: [], 3: []}

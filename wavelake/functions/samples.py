@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,38 +72,72 @@ def unzigzag(z: Column) -> Column:
     return F.when(z % 2 == 0, F.expr("0") + F.shiftright(z, 1)).otherwise(-F.shiftright(z, 1) - 1).cast("bigint")
 
 
-def dithered(buffers: DataFrame, values: str, fmt: str, seed: Column, kind: str = "triangular") -> DataFrame:
-    """buffers, one a row, with their fractions as whole numbers of fmt: a draw (rectangular) or the sum of two
-    (triangular) is added to each value before it is rounded, half away from zero, and clamped. The draws of a buffer come
-    one after the other from its seed (0: a fixed one), so a buffer is the unit of work; none adds nothing."""
-    scale = SCALE[fmt]
-    schema = buffers.withColumn(values, F.array().cast("array<bigint>")).schema
-    mask = (1 << 64) - 1
+MASK64 = (1 << 64) - 1
 
-    def draw(state: int) -> tuple[int, int]:
-        state ^= state >> 12
-        state ^= state << 25 & mask
-        state ^= state >> 27
-        return state, (state * 0x2545F4914F6CDD1D & mask) >> 11
 
-    def run(batches):
-        import math
+def _next(v: np.ndarray) -> np.ndarray:
+    """The generator's step, of all states at once."""
+    v = v ^ (v >> np.uint64(12))
+    v = v ^ (v << np.uint64(25))
+    return v ^ (v >> np.uint64(27))
+
+
+def _jump(tables: np.ndarray, v: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(v), np.uint64)
+    for b in range(8):
+        out ^= tables[b][(v >> np.uint64(8 * b)).astype(np.int64) & 255]
+    return out
+
 
-        import pyarrow as pa
+@cache
+def _tables(j: int) -> np.ndarray:
+    """What 2 ** j steps make of each value of each byte of a state: steps are linear over bits, so bytes are XORed."""
+    units = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    images = _jump(_tables(j - 1), _jump(_tables(j - 1), units)) if j else _next(units)
+    bit = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    return np.stack([np.bitwise_xor.reduce(np.where(bit == 1, images[8 * b : 8 * b + 8], np.uint64(0)), axis=1) for b in range(8)])
 
+
+def draws(seed: int, first: int, n: int) -> np.ndarray:
+    """n draws of -0.5 up to 0.5 behind the first ones of a seed (0: a fixed one): the state jumps over those, and then each
+    stretch of states gives the next one of the same length."""
+    state = np.array([(seed & MASK64) or 0x9E3779B97F4A7C15], np.uint64)
+    for j in range(first.bit_length()):
+        if first >> j & 1:
+            state = _jump(_tables(j), state)
+    out = np.empty(n, np.uint64)
+    out[:1] = _next(state)[:n]
+    done, j = 1, 0
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = _jump(_tables(j), out[:more])
+        done, j = done + more, j + 1
+    return ((out * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(11)).astype(np.float64) / 2.0**53 - 0.5
+
+
+def dithered(buffers: DataFrame, values: str, fmt: str, seed: Column, kind: str = "triangular", first: Column | None = None) -> DataFrame:
+    """buffers, one a row, with their fractions as whole numbers of fmt: a draw (rectangular) or the sum of two
+    (triangular) is added to each value before it is rounded, half away from zero, and clamped; none adds nothing. The
+    draws of a buffer come one after the other from its seed (0: a fixed one). first: how many values of the buffer come
+    before a row's own, so that a long buffer may be rows of ranges, which give the same numbers in any tasks. Null and
+    NaN values take their draws and give null; a null array gives an empty one."""
+    scale, each = SCALE[fmt], {"none": 0, "rectangular": 1, "triangular": 2}[kind]
+    schema = buffers.withColumn(values, F.array().cast("array<bigint>")).schema
+
+    def run(batches):
         for batch in batches:
             out = []
-            for own, start in zip(batch.column(values).to_pylist(), batch.column("__seed").to_pylist()):
-                state, row = (start & mask) or 0x9E3779B97F4A7C15, []
-                for v in own or []:
-                    x = v * scale
-                    for _ in range({"none": 0, "rectangular": 1, "triangular": 2}[kind]):
-                        state, u = draw(state)
-                        x += u / 2.0**53 - 0.5
-                    x = math.floor(x + 0.5) if x >= 0 else math.ceil(x - 0.5)
-                    row.append(min(max(x, -scale), scale - 1) + (128 if fmt == "u8" else 0))
-                out.append(row)
-            columns = [pa.array(out, pa.list_(pa.int64())) if c == values else batch.column(c) for c in schema.names]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return buffers.withColumn("__seed", seed.cast("bigint")).mapInArrow(run, schema)
+            for i, (start, before) in enumerate(zip(batch.column("__seed").to_pylist(), batch.column("__first").to_pylist())):
+                own = batch.column(values)[i].values
+                v = np.zeros(0) if own is None else own.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                x = v * scale
+                u = draws(start or 0, each * (before or 0), each * len(v)).reshape(len(v), each)
+                for k in range(each):
+                    x = x + u[:, k]
+                x = np.clip(np.where(x >= 0, np.floor(x + 0.5), np.ceil(x - 0.5)), -scale, scale - 1)
+                none = np.isnan(x)
+                out.append(pa.array(np.where(none, 0, x).astype(np.int64) + (128 if fmt == "u8" else 0), mask=none))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32), pa.concat_arrays(out or [pa.array([], pa.int64())]))
+            yield pa.RecordBatch.from_arrays([lists if c == values else batch.column(c) for c in schema.names], schema.names)
+
+    return buffers.withColumns({"__seed": seed.cast("bigint"), "__first": (F.lit(0) if first is None else first).cast("bigint")}).mapInArrow(run, schema)
