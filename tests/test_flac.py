@@ -206,3 +206,45 @@ def test_broken_frames_say_so():
     assert results(good[:26] + "0101" + good[30:]) == ["CORRUPT"]  # 16 samples are not 32 partitions
     assert results("0" * 7 + "1" + "0" * 15 + "1" + "1") == ["CORRUPT"]  # all bits wasted
     assert results(good, assignment=1) == ["OK", "CORRUPT"]
+
+
+def slow_plan(r, order, most=8):
+    """The bits, order, method and partitions of a block by the rule said partition by partition."""
+    best, n = None, len(r)
+    for o in range(most + 1):
+        each = n >> o
+        if n % (1 << o) or each <= order:
+            continue
+        for method, (size, limit) in enumerate(((4, 14), (5, 30))):
+            bits, own = 6, []
+            for p in range(1 << o):
+                part = r[max(p * each, order) : (p + 1) * each]
+                z = [2 * v if v >= 0 else -2 * v - 1 for v in part]
+                guess = min((sum(z) // len(z)).bit_length(), limit)
+                cost, k = min((sum((v >> k) + 1 + k for v in z), k) for k in range(max(guess - 2, 0), min(guess + 2, limit) + 1))
+                width = 1 + max(v >> 1 for v in z).bit_length() if any(z) else 0
+                plain = 5 + len(z) * width
+                own.append((None, width) if width <= 32 and plain < cost else (k, None))
+                bits += size + min(cost, plain if width <= 32 else cost)
+            if best is None or bits < best[0]:
+                best = (bits, o, method, own)
+    return best
+
+
+def test_residual_plans_are_the_cheapest(spark):
+    from wavelake.operators import predict
+
+    rng = np.random.default_rng(11)
+    kinds = [
+        [int(v) for v in rng.integers(-40, 40, 700)],
+        [0] * 300,
+        [int(v) << int(s) for v, s in zip(rng.integers(-3, 4, 1024), np.repeat([0, 6, 2, 20], 256))],
+        [(-1) ** i * (1 << 33) for i in range(64)],
+        [1, 2],
+        [7],
+        [-1] * 512,
+    ]
+    rows = [(t, i, v) for t, r in enumerate(kinds) for i, v in enumerate(r)]
+    got = predict.residual_plan(spark.createDataFrame(rows, "track int, frame bigint, r bigint"), 2, 512).collect()
+    want = {(t, b): slow_plan(r[b * 512 : b * 512 + 512], 2) for t, r in enumerate(kinds) for b in range(-(-len(r) // 512))}
+    assert {(g.track, g.block): (g.bits, g.partition_order, g.method, [tuple(p) for p in g.partitions]) for g in got} == {k: v for k, v in want.items() if v}

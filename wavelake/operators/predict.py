@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import zigzag
@@ -68,3 +68,46 @@ def block_facts(samples: DataFrame) -> DataFrame:
     got = samples.groupBy("track", F.floor(F.col("frame") / BLOCK).alias("block")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.bit_or("x").alias("all"))
     low = F.col("all").bitwiseAND(-F.col("all"))
     return got.select("track", "block", (F.col("lo") == F.col("hi")).alias("constant"), F.when(F.col("all") == 0, 0).otherwise(F.floor(F.log2(low) + 0.5)).cast("bigint").alias("wasted"))
+
+
+#: The two codings of a residual: bits of a parameter, and the greatest one.
+CODINGS = ((4, 14), (5, 30))
+
+
+def residual_plan(residuals: DataFrame, order: int, block: int = 4096, most: int = 8) -> DataFrame:
+    """(track, block, size, method, partition_order, bits, partitions): how each block of residuals (track, frame, r) of a
+    fixed predictor of an order is written with the fewest bits; of equal plans that with the fewer partitions, then the
+    smaller method. partitions has k of each Rice partition, or null and the width of its plain numbers.
+
+    The first ``order`` places of a block are its warm-up, whatever residuals they have. A parameter is searched two up and
+    down from the bits of the mean. The last block may be shorter, and takes only such partition orders as divide it; one
+    no longer than its warm-up has no plan. Sums of the finest partitions are made once, and added up for coarser ones.
+    Null residuals are an error of the input and their partition's sums leave them out."""
+    at = F.col("frame") % block
+    sized = residuals.select("track", F.floor(F.col("frame") / block).alias("block"), at.alias("at"), zigzag(F.col("r")).alias("z"))
+    sized = sized.withColumn("size", F.count("*").over(Window.partitionBy("track", "block")))  # a block, of bounded size
+    fits = [F.when((F.col("size") % (1 << o) == 0) & (F.floor(F.col("size") / (1 << o)) > order), o) for o in reversed(range(most + 1))]
+    fine = sized.withColumn("finest", F.coalesce(*fits)).where(F.col("finest").isNotNull() & (F.col("at") >= order))
+    place = F.floor(F.col("at") / F.floor(F.col("size") / F.pow(F.lit(2.0), F.col("finest"))))
+    names = [f"s{k}" for k in range(CODINGS[-1][1] + 1)]
+    sums = fine.groupBy("track", "block", "size", "finest", place.alias("place")).agg(F.count("*").alias("n"), F.max("z").alias("top"), *[F.sum(F.shiftright("z", k)).alias(c) for k, c in enumerate(names)])
+
+    coarser = sums.withColumn("partition_order", F.explode(F.sequence(F.lit(0), F.col("finest"))))
+    place = F.floor(F.col("place") / F.pow(F.lit(2.0), F.col("finest") - F.col("partition_order")))
+    own = coarser.groupBy("track", "block", "size", "partition_order", place.alias("place")).agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.array(*[F.sum(c) for c in names]).alias("sums"))
+
+    length = lambda v: F.when(v > 0, F.length(F.bin(v))).otherwise(0)
+    own = own.withColumns({"mean": length(F.floor(F.get("sums", 0) / F.col("n"))), "width": F.when(F.col("top") > 0, 1 + length(F.shiftright("top", 1))).otherwise(0)})
+    plans = []
+    for method, (bits, limit) in enumerate(CODINGS):
+        guess = F.least("mean", F.lit(limit))
+        tried = F.transform(F.sequence(F.greatest(guess - 2, F.lit(0)), F.least(guess + 2, F.lit(limit))), lambda k: F.struct((F.get("sums", k) + F.col("n") * (k + 1)).alias("bits"), k.alias("k")))
+        best = F.array_min(tried)
+        plain = 5 + F.col("n") * F.col("width")
+        escapes = (F.col("width") <= 32) & (plain < best["bits"])
+        plans.append(F.struct(F.lit(method).alias("method"), (bits + F.when(escapes, plain).otherwise(best["bits"])).alias("bits"), F.when(~escapes, best["k"]).alias("k"), F.when(escapes, F.col("width")).alias("width")))
+    each = own.select("track", "block", "size", "partition_order", "place", F.explode(F.array(*plans)).alias("p"))
+    whole = each.groupBy("track", "block", "size", "partition_order", "p.method").agg((F.sum("p.bits") + 6).alias("bits"), F.array_sort(F.collect_list(F.struct("place", "p.k", "p.width"))).alias("own"))
+    parts = F.transform("own", lambda x: F.struct(x["k"].alias("k"), x["width"].alias("width"))).alias("partitions")
+    least = whole.groupBy("track", "block", "size").agg(F.min(F.struct("bits", "partition_order", "method", parts)).alias("m"))
+    return least.select("track", "block", "size", "m.method", "m.partition_order", "m.bits", "m.partitions")

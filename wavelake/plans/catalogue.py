@@ -278,6 +278,29 @@ def rice_cost_by_k(spark, d):
     return predict.rice_costs(predict.residual(t.mono_tracks(spark, d), 2))
 
 
+RESIDUAL_PLAN_SQL = f"""WITH d AS (SELECT track, frame // 32 AS block, frame % 32 AS pos, CASE WHEN track % 5 = 0 THEN 0 ELSE r END AS r FROM {sql_residual(2)}),
+n AS (SELECT *, count(*) OVER (PARTITION BY track, block) AS size FROM d),
+z AS (SELECT track, block, size, o, pos // (size // (1 << o)) AS place, CASE WHEN r < 0 THEN -2 * r - 1 ELSE 2 * r END AS z FROM n, range(9) t(o) WHERE size % (1 << o) = 0 AND size // (1 << o) > 2 AND pos >= 2),
+a AS (SELECT track, block, size, o, place, count(*) AS c, max(z) AS top, sum(z) // count(*) AS mean FROM z GROUP BY ALL),
+e AS (SELECT *, CASE WHEN mean = 0 THEN 0 ELSE floor(log2(mean)) + 1 END AS guess, CASE WHEN top = 0 THEN 0 WHEN top < 2 THEN 1 ELSE floor(log2(top // 2)) + 2 END AS width FROM a),
+m AS (SELECT * FROM (VALUES (0, 4, 14), (1, 5, 30)) v(method, size_k, most)),
+k AS (SELECT track, block, size, o, place, method, size_k, c, width, k, sum((z >> k) + 1 + k) AS bits FROM z JOIN e USING (track, block, size, o, place), m, range(31) t(k)
+    WHERE k BETWEEN least(guess, most) - 2 AND least(least(guess, most) + 2, most) GROUP BY ALL),
+b AS (SELECT track, block, size, o, place, method, size_k, c, width, min(bits) AS bits, arg_min(k, bits * 64 + k) AS k FROM k GROUP BY ALL),
+p AS (SELECT track, block, size, o, place, method, size_k + CASE WHEN width <= 32 THEN least(bits, 5 + c * width) ELSE bits END AS bits, CASE WHEN width <= 32 AND 5 + c * width < bits THEN 'e' || CAST(width AS INT) ELSE CAST(k AS VARCHAR) END AS own FROM b),
+w AS (SELECT track, block, size, o, method, sum(bits) + 6 AS bits, string_agg(own, ',' ORDER BY place) AS own FROM p GROUP BY ALL)
+SELECT track, block, size, method, o AS partition_order, CAST(bits AS BIGINT) AS bits, own AS partitions FROM w QUALIFY row_number() OVER (PARTITION BY track, block ORDER BY bits, o, method) = 1"""
+
+
+@query("residual_plan", RESIDUAL_PLAN_SQL)
+def residual_plan(spark, d):
+    """Blocks of 32 samples; the tracks of one in five are silent."""
+    r = predict.residual(t.mono_tracks(spark, d), 2).withColumn("r", F.when(F.col("track") % 5 == 0, 0).otherwise(F.col("r")))
+    got = predict.residual_plan(r, 2, 32)
+    own = F.array_join(F.transform("partitions", lambda p: F.coalesce(p["k"].cast("string"), F.concat(F.lit("e"), p["width"]))), ",")
+    return got.withColumn("partitions", own)
+
+
 @query("best_rice_k", f"SELECT track, block, arg_min(k, bits * 16 + k) AS k, min(bits) AS bits FROM {RICE_SQL} GROUP BY track, block")
 def best_rice_k(spark, d):
     return predict.best_rice(predict.residual(t.mono_tracks(spark, d), 2))
