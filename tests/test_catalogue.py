@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from wavelake.plans import catalogue, files  # noqa: F401
+from wavelake.plans import catalogue, files, hearing  # noqa: F401
 
 from .conftest import SF
 
