@@ -20,6 +20,8 @@ from .ranges import SPAN
 
 #: Lengths of a track are sent to this many parts of it, so that no long track's samples meet in one task.
 PARTS = 32
+#: About as many bytes of results go back to Spark at once.
+PACK = 4 << 20
 
 
 def _items(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.StructArray]]:
@@ -39,15 +41,27 @@ def _mapped(df: DataFrame, key: str, own: list[str], fields: list[tuple[str, str
     key_type = df.schema[key].dataType
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
+    arrow = to_arrow_type(key_type)
+    names = [key, *[name for name, _ in fields]]
+
+    def packed(keys: list, got: list[tuple]) -> pa.RecordBatch:
+        cells = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*got), fields)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, arrow), *cells], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [batch.column(c).to_pylist() for c in own]
+            values = [batch.column(c).to_pylist() for c in [key, *own]]
+            keys, got, size = [], [], 0
             for k, items in _items(batch, "items"):
-                got = list(rows(*[v[k] for v in values], items))
-                if got:
-                    keys = pa.array([batch.column(key)[k].as_py()] * len(got), to_arrow_type(key_type))
-                    cells = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*got), fields)]
-                    yield pa.RecordBatch.from_arrays([keys, *cells], names=[key, *[name for name, _ in fields]])
+                for row in rows(*[v[k] for v in values[1:]], items):
+                    keys.append(values[0][k])
+                    got.append(row)
+                    size += sum(len(c) for c in row if isinstance(c, (bytes, list))) + 8 * len(row)
+                    if size > PACK:
+                        yield packed(keys, got)
+                        keys, got, size = [], [], 0
+            if got:
+                yield packed(keys, got)
 
     schema = f"`{key}` {key_type.simpleString()}, " + ", ".join(f"{name} {kind}" for name, kind in fields)
     return df.select(key, *own, "items").mapInArrow(run, schema)
