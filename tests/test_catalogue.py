@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from wavelake.plans import catalogue, coded, files, hearing  # noqa: F401
+from wavelake.plans import catalogue, coded, files, hearing, positions  # noqa: F401
 
 from .conftest import SF
 
