@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import bytes as by
 from ..functions import samples as fn
-from ..functions.lookups import IMA_MOVES, IMA_STEPS, MS_FACTORS
+from ..functions.lookups import IMA_MOVES, IMA_STEPS, MS_FACTORS, MS_PAIRS
 from .adpcm import MOST_DELTA
 
 STEPS, MOVES, FACTORS = (np.array(x, np.int64) for x in (IMA_STEPS, IMA_MOVES, MS_FACTORS))
@@ -145,3 +146,25 @@ def coded_data(blocks: DataFrame, key: str = "track") -> DataFrame:
     this is for tracks of files that are written whole; longer ones are written block by block."""
     whole = F.array_sort(F.collect_list(F.struct("block", "data")))
     return blocks.groupBy(key).agg(F.sum("frames").alias("frames"), F.concat_ws("", F.transform(whole, lambda b: F.hex(b["data"]))).alias("h")).select(key, "frames", F.unhex("h").alias("data"))
+
+
+#: The format numbers of WAV files.
+WAV_TAGS = {"ms-adpcm": 2, "alaw": 6, "ulaw": 7, "ima-wav": 17}
+
+
+def coded_wav(blocks: DataFrame, coding: str, channels: int, rate: int, block_bytes: int | None = None, key: str = "track") -> DataFrame:
+    """(key, frames, content): blocks of encode_blocks() as WAV files, with the frames that the last block really has in a
+    fact chunk. Null (refused) where the samples don't fit a row (2 GiB)."""
+    if coding not in WAV_TAGS or (coding in ("ima-wav", "ms-adpcm") and channels > 2):
+        raise ValueError(f"WAV files have no {coding} of {channels} channels")
+    size, frames = geometry(coding, channels, block_bytes)
+    law = coding in ("ulaw", "alaw")
+    align, per_second = (channels, rate * channels) if law else (size, rate * size // frames)
+    head = b"".join(v.to_bytes(n, "little") for v, n in ((WAV_TAGS[coding], 2), (channels, 2), (rate, 4), (per_second, 4), (align, 2), (8 if law else 4, 2)))
+    pairs = b"".join(v.to_bytes(2, "little", signed=True) for pair in MS_PAIRS for v in pair)
+    own = {"ima-wav": frames.to_bytes(2, "little"), "ms-adpcm": frames.to_bytes(2, "little") + len(MS_PAIRS).to_bytes(2, "little") + pairs}.get(coding, b"")
+    fmt = head + len(own).to_bytes(2, "little") + own
+    chunk = lambda name, data: name + len(data).to_bytes(4, "little") + data
+    body = F.concat(F.lit(b"WAVE" + chunk(b"fmt ", fmt) + b"fact" + (4).to_bytes(4, "little")), by.le_bytes(F.col("frames"), 4), F.lit(b"data"), by.le_bytes(F.length("data"), 4), F.col("data"), F.when(F.length("data") % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
+    content = by.let(body, lambda b: F.concat(F.lit(b"RIFF"), by.le_bytes(F.length(b), 4), b))
+    return coded_data(blocks, key).select(key, "frames", F.when(F.length("data") < (1 << 31) - 256, content).alias("content"))
