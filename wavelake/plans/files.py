@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as by
 from ..functions import samples, signals
-from ..operators import adpcm, containers, documents, flac, seek, tagbytes
+from ..operators import adpcm, containers, documents, flac, ogg_flac, seek, tagbytes
 from ..sources import files as src
 from ..sources import tables as t
+from ..sources.flac_frames import crc8, crc16
 from .catalogue import query
 
 
@@ -364,12 +365,7 @@ def seek_flac(spark, d):
     return flac.seek_frame(targets, flac.frame_index(files, "p_partkey"), "p_partkey").select("p_partkey", "sample", "offset", "skip", "found")
 
 
-@query(
-    "flac_samples",
-    """SELECT p_partkey, 4 * i + j AS frame, ch, p_size + j - 5 * ch AS v FROM part, range(5) a(i), range(4) b(j), range(2) c(ch)
-    WHERE i <= p_partkey % 4 + 1""",
-)
-def flac_samples(spark, d):
+def flac_frames_of_parts(spark, d):
     """Frames of left, by the fixed predictor of order 1 and Rice codes of k = 0, and side, which is constant."""
     rest = "00" + "0000" + "0000" + "001" * 3 + "0" * 8 + f"{5:017b}" + "0000"
     kind, rest = F.unhex(F.lit("12")), F.unhex(F.lit(f"{int(rest, 2):012X}"))
@@ -378,6 +374,52 @@ def flac_samples(spark, d):
         head = by.let(F.concat(F.unhex(F.lit("FFF86088")), by.be_bytes(i, 1), F.unhex(F.lit("03"))), lambda h: F.concat(h, by.be_bytes(by.crc(h, 8, 0x07), 1)))
         return by.let(F.concat(head, kind, by.be_bytes(F.col("p_size"), 2), rest), lambda b: F.concat(b, by.be_bytes(by.crc(b, 16, 0x8005), 2)))
 
-    files = parts(spark, d).select("p_partkey", by.joined(F.transform(F.sequence(F.lit(0), (F.col("p_partkey") % 4 + 1).cast("int")), frame)).alias("content"))
+    return parts(spark, d).select("p_partkey", "p_size", F.transform(F.sequence(F.lit(0), (F.col("p_partkey") % 4 + 1).cast("int")), frame).alias("frames"))
+
+
+@query(
+    "flac_samples",
+    """SELECT p_partkey, 4 * i + j AS frame, ch, p_size + j - 5 * ch AS v FROM part, range(5) a(i), range(4) b(j), range(2) c(ch)
+    WHERE i <= p_partkey % 4 + 1""",
+)
+def flac_samples(spark, d):
+    files = flac_frames_of_parts(spark, d).select("p_partkey", by.joined(F.col("frames")).alias("content"))
     frames = flac.frame_data(files, flac.frame_index(files, "p_partkey"), "p_partkey")
     return flac.frame_samples(flac.channel_samples(flac.subframes(frames, "p_partkey")), "p_partkey")
+
+
+# FLAC in Ogg: the frames of flac_samples(), one a packet, and where a sample lies
+
+
+def ogg_flac_files(spark, d):
+    info = bytes.fromhex("1000100000000000000001F402F0") + bytes(20)  # blocks of 4096, 8000 Hz, 2 channels, 16 bits
+
+    def frame(i: int, size: int) -> bytes:
+        rest = int("00" + "0000" + "0000" + "001" * 3 + "0" * 8 + f"{5:017b}" + "0000", 2).to_bytes(6, "big")
+        head = b"\xff\xf8\x60\x88" + bytes([i, 3])
+        body = head + bytes([crc8(head), 0x12]) + size.to_bytes(2, "big") + rest
+        return body + crc16(body).to_bytes(2, "big")
+
+    @F.pandas_udf("binary")
+    def made(k: pd.Series, n: pd.Series) -> pd.Series:
+        head = b"\x7fFLAC\x01\x00\x00\x01fLaC\x00\x00\x00\x22" + info
+        rest = (b"\x84\x00\x00\x08" + bytes(8), 0)
+        return pd.Series([src.ogg_stream(int(i) % 1000, [(head, 0), rest, *[(frame(f, int(m)), 4 * f + 4) for f in range(int(i) % 4 + 2)]]) for i, m in zip(k, n)])
+
+    return parts(spark, d).select("p_partkey", "p_size", made("p_partkey", "p_size").alias("content"))
+
+
+@query(
+    "ogg_flac_samples",
+    """SELECT p_partkey, p_partkey % 1000 AS serial, 4 * i + j AS frame, ch, p_size + j - 5 * ch AS v FROM part, range(5) a(i), range(4) b(j), range(2) c(ch)
+    WHERE i <= p_partkey % 4 + 1""",
+)
+def ogg_flac_samples(spark, d):
+    got = ogg_flac.frames(ogg_flac.packets(ogg_flac_files(spark, d)), "p_partkey")
+    out = flac.frame_samples(flac.channel_samples(flac.subframes(got, "stream")), "stream")
+    return out.select(F.col("stream.key").alias("p_partkey"), F.col("stream.serial").alias("serial"), "frame", "ch", "v")
+
+
+@query("ogg_flac_scan", "SELECT p_partkey, p_partkey % 1000 AS serial, 'OK' AS result, 8000 AS sample_rate, 2 AS channels, 16 AS depth, 4096 AS most_block FROM part")
+def ogg_flac_scan(spark, d):
+    return ogg_flac.scan(ogg_flac.packets(ogg_flac_files(spark, d)), ["p_partkey"]).select("p_partkey", "serial", "result", "sample_rate", "channels", "depth", "most_block")

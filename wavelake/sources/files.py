@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -172,36 +173,37 @@ def ogg_page_rows(files: DataFrame, content: str | None = "content") -> DataFram
     return walked(files, "offset bigint, next_offset bigint, serial bigint, number bigint, granule bigint, flags int, segments int, bytes bigint", walk, content)
 
 
+def ogg_packets(b: bytes, head: int | None = None):
+    """(serial, packet, granule, data) of a file, as ogg_packet_rows() says it."""
+    parts: dict[int, list[bytes]] = {}
+    count: dict[int, int] = {}
+    for _, _, serial, _, granule, flags, lacing, body in ogg_pages(b):
+        open_ = parts.get(serial)
+        skip = bool(flags & 1) and open_ is None
+        own = open_ if flags & 1 and open_ is not None else []
+        last = max((k for k, v in enumerate(lacing) if v < 255), default=-1)
+        at = 0
+        for k, v in enumerate(lacing):
+            own.append(body[at : at + v])
+            at += v
+            if v < 255:
+                if not skip:
+                    n = count.get(serial, 0)
+                    count[serial] = n + 1
+                    if head is None or n < head:
+                        yield serial, n, granule if k == last else -1, b"".join(own)
+                own, skip = [], False
+        if lacing and lacing[-1] == 255 and not skip:
+            parts[serial] = own
+        else:
+            parts.pop(serial, None)
+
+
 def ogg_packet_rows(files: DataFrame, content: str | None = "content", head: int | None = None) -> DataFrame:
     """(serial, packet, granule, data): the packets of each logical stream, numbered from 0, put together over pages. The
     granule is that of the page where a packet ends, if it is the last that ends there, else -1. A continued piece whose
     start is missing is dropped. head: carry no more packets of a stream than this."""
-
-    def walk(b: bytes):
-        parts: dict[int, list[bytes]] = {}
-        count: dict[int, int] = {}
-        for _, _, serial, _, granule, flags, lacing, body in ogg_pages(b):
-            open_ = parts.get(serial)
-            skip = bool(flags & 1) and open_ is None
-            own = open_ if flags & 1 and open_ is not None else []
-            last = max((k for k, v in enumerate(lacing) if v < 255), default=-1)
-            at = 0
-            for k, v in enumerate(lacing):
-                own.append(body[at : at + v])
-                at += v
-                if v < 255:
-                    if not skip:
-                        n = count.get(serial, 0)
-                        count[serial] = n + 1
-                        if head is None or n < head:
-                            yield serial, n, granule if k == last else -1, b"".join(own)
-                    own, skip = [], False
-            if lacing and lacing[-1] == 255 and not skip:
-                parts[serial] = own
-            else:
-                parts.pop(serial, None)
-
-    return walked(files, "serial bigint, packet bigint, granule bigint, data binary", walk, content)
+    return walked(files, "serial bigint, packet bigint, granule bigint, data binary", partial(ogg_packets, head=head), content)
 
 
 # MPEG frames
