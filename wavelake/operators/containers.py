@@ -305,20 +305,12 @@ def ogg_scan(files: DataFrame, keys: list[str], content: str | None = "content")
     frames: the last stated granule, for Opus less its pre-skip; null where none is stated. A stream without its tag
     packet, or for Vorbis without its comment and setup packets, is CORRUPT."""
     own = files.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{content}`").alias("content")) if content else files
-    packets = src.ogg_packet_rows(own, content and "content", head=3)
-    second, third = (F.max(F.when(F.col("packet") == k, F.col("data"))) for k in (1, 2))
-    heads = packets.groupBy(*keys, "serial").agg(F.max(F.when(F.col("packet") == 0, F.col("data"))).alias("data"), by.part(second, 0, 8).alias("second"), by.part(third, 0, 8).alias("third"))
-    last = src.ogg_page_rows(own, content and "content").groupBy(*keys, "serial").agg(F.max(F.when(F.col("granule") != -1, F.struct("offset", "granule")))["granule"].alias("granule"))
+    last = F.max(F.when(F.col("at").isNotNull(), F.struct("at", "granule")))["granule"]
+    heads = src.ogg_stream_rows(own, content and "content").groupBy(*keys, "serial").agg(F.max("first").alias("data"), F.max("second").alias("second"), F.max("third").alias("third"), last.alias("granule"))
     d = F.col("data")
     opus, vorbis = opus_head(d), vorbis_head(d)
     codec = F.when(by.part(d, 0, 8).cast("string") == "OpusHead", "opus").when(F.hex(by.part(d, 0, 7)) == "01766F72626973", "vorbis")
     got = heads.withColumn("codec", codec).where("codec IS NOT NULL")
-    both = [*keys, "serial"]
-    last = last.select(*[F.col(f"`{k}`").alias(f"__of{i}") for i, k in enumerate(both)], "granule")
-    same = F.lit(True)
-    for i, k in enumerate(both):
-        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__of{i}"))
-    got = got.join(last, same).drop(*[f"__of{i}" for i in range(len(both))])
     is_opus = F.col("codec") == "opus"
     pick = lambda a, b: F.when(is_opus, a).otherwise(b)
     fields = {"channels": pick(opus["channels"], vorbis["channels"]), "sample_rate": pick(F.lit(48000), vorbis["sample_rate"]), "pre_skip": pick(opus["pre_skip"], F.lit(0)), "frames": pick(headers.opus_frames(F.col("granule"), opus["pre_skip"]), F.col("granule"))}
@@ -361,9 +353,8 @@ def mpeg_scan(files: DataFrame, keys: list[str], content: str | None = "content"
     the frames (samples of a channel) as a tag states them, if the file's bytes can hold as many of the shortest frames,
     else counted over all frames of the file. A frame that holds a tag is none of the sound. Files without a frame give no row."""
     own = files.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{content}`").alias("content")) if content else files
-    rows = src.mpeg_frame_rows(own, content and "content")
-    first = F.col("frame") == 0
-    got = rows.groupBy(*keys).agg(F.max("sound_end").alias("end"), F.count("*").alias("walked"), F.sum("samples").alias("total"), *[F.max(F.when(first, F.col(c))).alias(c) for c in ("data", "offset", "samples")])
+    rows = src.mpeg_track_rows(own, content and "content")
+    got = rows.groupBy(*keys).agg(F.max("sound_end").alias("end"), F.sum("walked").alias("walked"), F.sum("total").alias("total"), *[F.max(c).alias(c) for c in ("data", "offset", "samples")])
     got = got.withColumns({f"b{k}": by.u8(F.col("data"), k) for k in range(4)})
     got = headers.with_mpeg_header(got.withColumnRenamed("samples", "of_first"), "b0", "b1", "b2", "b3")
     got = got.withColumn("tag", F.struct(*[v.alias(k) for k, v in xing_tag(F.col("data"), F.col("side_info")).items()]))

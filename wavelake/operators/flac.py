@@ -3,19 +3,15 @@ of frames, the samples of subframes, and channels put back from the four stereo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import partial
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..sources import flac_frames as src
 from ..sources import flac_subframes as sub
 from ..sources.byte_ranges import pieces, read_ranges
-from ..sources.files import walked
+from ..sources.files import each, walked
 from .ranges import last_before
 
 #: Bytes of a range, about a megabyte.
@@ -83,29 +79,6 @@ def frame_data(files: DataFrame, frames: DataFrame, key: str, content: str | Non
     return read_ranges(own, start="__start", stop="__stop").select(*frames.columns, "data")
 
 
-def _each(df: DataFrame, needs: list[str], fields: str, step) -> DataFrame:
-    """df with the fields of each row that step gives for the values of needs; step gives many or none."""
-    kept = df.columns
-    new = df.sparkSession.createDataFrame([], fields).schema
-    schema = StructType([*df.schema.fields, *new.fields])
-    kinds = to_arrow_schema(new)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, found, size = [], [], 0
-            for i in range(batch.num_rows):
-                for row in step(*[batch.column(c)[i].as_py() for c in needs]):
-                    at.append(i)
-                    found.append(row)
-                    size += sum(len(v) for v in row if hasattr(v, "__len__"))
-                if found and (size > 500_000 or i + 1 == batch.num_rows):
-                    own = batch.take(pa.array(at, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(v, f.type) for v, f in zip(zip(*found), kinds)]], [*kept, *kinds.names])
-                    at, found, size = [], [], 0
-
-    return df.mapInArrow(run, schema)
-
-
 def subframes(frames: DataFrame, key: str, depth=None) -> DataFrame:
     """(key, offset, first_sample, block_size, assignment, depth, channel, result, kind, order, wasted, shift, coefficients,
     warm, partitions, residuals): each channel of frames with data. warm: the first samples, all of a verbatim channel, or
@@ -114,7 +87,7 @@ def subframes(frames: DataFrame, key: str, depth=None) -> DataFrame:
     take where a frame states none; frames without any, and null data, give no rows."""
     own = frames.withColumn("depth", F.coalesce("depth", F.lit(None).cast("int") if depth is None else depth).cast("int"))
     own = own.where("depth IS NOT NULL AND data IS NOT NULL").select(key, "offset", "first_sample", "block_size", "assignment", "depth", "header", "data")
-    return _each(own, ["data", "block_size", "assignment", "depth", "header"], sub.FIELDS, sub.subframes).drop("header", "data")
+    return each(own, ["data", "block_size", "assignment", "depth", "header"], sub.FIELDS, sub.subframes).drop("header", "data")
 
 
 def channel_samples(parts: DataFrame) -> DataFrame:
@@ -122,7 +95,7 @@ def channel_samples(parts: DataFrame) -> DataFrame:
     of what they are made from."""
     made = ["kind", "order", "wasted", "shift", "coefficients", "warm", "partitions", "residuals"]
     needs = ["kind", "block_size", "order", "wasted", "shift", "coefficients", "warm", "residuals"]
-    got = _each(parts.where("result = 'OK'"), needs, "x array<bigint>", lambda *v: [(sub.rebuilt(*v),)])
+    got = each(parts.where("result = 'OK'"), needs, "x array<bigint>", lambda *v: [(sub.rebuilt(*v),)])
     return got.drop("result", *made)
 
 

@@ -10,6 +10,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task makes files or tracks from: fewer aren't worth a task, and more are another's.
+FEW, ROWS = 1_000, 5_000
+
+
+def dealt(df: DataFrame, *by: str, rows: int = ROWS) -> DataFrame:
+    """df dealt by columns to the session's shuffle partitions, or to more tasks if each would get more than about ``rows``
+    rows: a table of small rows lies in few splits, and what is made from one of them would be one task's. The count is
+    read from the files' footers."""
+    n, tasks = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(min(tasks, -(-n // FEW)), -(-n // rows), 1), *by)
+
+
 def float_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, frame, v): one track for each embedding."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track"), F.posexplode("embedding").alias("frame", "v"))
