@@ -24,8 +24,9 @@ def frame_index(files: DataFrame, key: str, content: str | None = "content", spa
     the length of a frame's header; rate and depth are null where only STREAMINFO has them.
 
     Each range of a file is searched by itself. A frame ends where the next number of the same mark starts (see
-    sources.flac_frames), or else at the end of the file, so frames meet their successors in a join by number, and no task
-    holds a file. A damaged frame is missing and those behind it are found. Null, empty and other contents have no frames;
+    sources.flac_frames), or else at the end of the file, so frames meet their successors by number. Files are searched
+    once and their headers shuffled once, by file: a task holds about a hundred bytes a frame of a file, on disk if they are
+    many, and never its bytes. A damaged frame is missing and those behind it are found. Null, empty and other contents have no frames;
     of files with bytes behind the last frame that frame is missing. Keys are unique and not null; other columns go."""
     if span % src.ORDER or span <= 0:
         raise ValueError(f"span must be a multiple of {src.ORDER}")
@@ -40,25 +41,25 @@ def frame_index(files: DataFrame, key: str, content: str | None = "content", spa
         ranges = read_ranges(cut.withColumn("stop", F.col("stop") + src.HALO)).select("__key", "__range", "data")
     found = walked(ranges, src.FIELDS, partial(src.candidates, span=span), "data")
 
-    # marks and places from the start of the file on: a number for each range goes to the ranges behind it
-    ends = found.where("number IS NULL").select("__key", "__range", "place", "mark")
-    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("__carried", F.coalesce(F.bit_xor("mark").over(before), F.lit(0)))
-    last = carried.groupBy("__key").agg(F.max(F.struct("__range", (F.col("__range") * span + F.col("place")).alias("end"), F.col("mark").bitwiseXOR(F.col("__carried")).alias("mark"))).alias("__end"))
-    heads = found.where("number IS NOT NULL").join(carried.select("__key", "__range", "__carried"), ["__key", "__range"])
-    heads = heads.select("__key", (F.col("__range") * span + F.col("place")).alias("offset"), F.col("mark").bitwiseXOR(F.col("__carried")).alias("mark"), "variable", "number", "block_size", "sample_rate", "assignment", "depth", "header")
+    # marks and places from the start of the file on: a range's end comes behind its headers, and adds to those behind it
+    own = Window.partitionBy("__key")
+    add = F.when(F.col("number").isNull(), F.col("mark"))
+    carried = F.coalesce(F.bit_xor(add).over(own.orderBy("__range", "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = found.select("*", (F.col("__range") * span + F.col("place")).alias("offset"), carried.alias("__carried")).withColumn("mark", F.col("mark").bitwiseXOR(F.col("__carried")))
+    ended = placed.withColumn("__end", F.max(F.when(F.col("number").isNull(), F.struct("__range", F.col("offset").alias("end"), "mark"))).over(own))
+    heads = ended.where("number IS NOT NULL").drop("__range", "place", "__carried")
 
+    # each header is a successor of its own number, and looks for the next number behind it
     follows = F.col("number") + F.when(F.col("variable"), F.col("block_size")).otherwise(1)
-    nexts = heads.select(F.col("__key").alias("__k"), F.col("mark").alias("__m"), F.col("variable").alias("__v"), F.col("number").alias("__n"), F.col("offset").alias("__next"))
-    same = (F.col("__key") == F.col("__k")) & (F.col("mark") == F.col("__m")) & (F.col("variable") == F.col("__v")) & (follows == F.col("__n")) & (F.col("__next") > F.col("offset"))
-    columns = heads.columns
-    met = heads.join(nexts, same, "left").groupBy(*columns).agg(F.min("__next").alias("__next"))
-    done = met.join(last, "__key").withColumn("stop", F.coalesce("__next", F.when(F.col("__end.mark") == F.col("mark"), F.col("__end.end")))).where("stop IS NOT NULL")
+    roles = F.explode(F.array(F.struct(F.col("number").alias("n"), F.lit(True).alias("there")), F.struct(follows.alias("n"), F.lit(False).alias("there")))).alias("__role")
+    behind = Window.partitionBy("__key", "mark", "variable", "__role.n").orderBy(F.desc("offset")).rowsBetween(Window.unboundedPreceding, -1)
+    met = heads.select("*", roles).withColumn("__next", F.last(F.when(F.col("__role.there"), F.col("offset")), ignorenulls=True).over(behind)).where("NOT __role.there")
+    done = met.withColumn("stop", F.coalesce("__next", F.when(F.col("__end.mark") == F.col("mark"), F.col("__end.end")))).where("stop IS NOT NULL")
 
     # of a fixed size only the last frame may be shorter, so the largest is the size that numbers count in
-    size = done.where("NOT variable").groupBy("__key").agg(F.max("block_size").alias("__size"))
-    placed = done.join(size, "__key", "left").withColumn("first_sample", F.when(F.col("variable"), F.col("number")).otherwise(F.col("number") * F.col("__size")))
-    return placed.select(F.col("__key").alias(key), "offset", (F.col("stop") - F.col("offset")).alias("length"), "number", "variable", "first_sample", "block_size", "sample_rate", "assignment", "depth", "header")
+    size = F.max(F.when(~F.col("variable"), F.col("block_size"))).over(own)
+    sized = done.withColumn("first_sample", F.when(F.col("variable"), F.col("number")).otherwise(F.col("number") * size))
+    return sized.select(F.col("__key").alias(key), "offset", (F.col("stop") - F.col("offset")).alias("length"), "number", "variable", "first_sample", "block_size", "sample_rate", "assignment", "depth", "header")
 
 
 def seek_frame(targets: DataFrame, frames: DataFrame, key: str, sample: str = "sample") -> DataFrame:
@@ -85,9 +86,18 @@ def subframes(frames: DataFrame, key: str, depth=None) -> DataFrame:
     the constant. partitions: k of each Rice partition, or null and the width of its plain numbers, and how many. result
     is OK, CORRUPT or UNSUPPORTED; the latter without fields, and no later channel of that frame follows. depth: what to
     take where a frame states none; frames without any, and null data, give no rows."""
+    return each(_readable(frames, key, depth), ["data", "block_size", "assignment", "depth", "header"], sub.FIELDS, sub.subframes).drop("header", "data")
+
+
+def _readable(frames: DataFrame, key: str, depth) -> DataFrame:
     own = frames.withColumn("depth", F.coalesce("depth", F.lit(None).cast("int") if depth is None else depth).cast("int"))
-    own = own.where("depth IS NOT NULL AND data IS NOT NULL").select(key, "offset", "first_sample", "block_size", "assignment", "depth", "header", "data")
-    return each(own, ["data", "block_size", "assignment", "depth", "header"], sub.FIELDS, sub.subframes).drop("header", "data")
+    return own.where("depth IS NOT NULL AND data IS NOT NULL").select(key, "offset", "first_sample", "block_size", "assignment", "depth", "header", "data")
+
+
+def whole_frame_samples(frames: DataFrame, key: str, depth=None) -> DataFrame:
+    """(key, frame, ch, v): what frame_samples() gives for all channels of frames with data. A frame's channels stay in its
+    row, so nothing is shuffled."""
+    return _heard(each(_readable(frames, key, depth), ["data", "block_size", "assignment", "depth", "header"], "x array<array<bigint>>", sub.channels), key)
 
 
 def channel_samples(parts: DataFrame) -> DataFrame:
@@ -104,6 +114,10 @@ def frame_samples(channels: DataFrame, key: str) -> DataFrame:
     side are told apart by the frame's assignment. A frame that lacks a channel gives no samples. A group holds the
     channels of one frame, eight at most."""
     got = channels.groupBy(key, "offset", "first_sample", "assignment").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "x"))), lambda c: c["x"]).alias("x"))
+    return _heard(got, key)
+
+
+def _heard(got: DataFrame, key: str) -> DataFrame:
     count = F.when(F.col("assignment") < 8, F.col("assignment") + 1).otherwise(2)
     a, b = F.get("x", 0), F.get("x", 1)
     two = lambda use: F.zip_with(a, b, use)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import files as src
@@ -62,7 +62,6 @@ def frames(rows: DataFrame, key: str) -> DataFrame:
     the frames of packets(), as the native index and frame_data() give them. stream is (key, serial), and offset is the
     packet's number."""
     own = rows.where("type IS NULL").withColumn("stream", F.struct(F.col(f"`{key}`").alias("key"), "serial"))
-    size = own.where("NOT variable").groupBy("stream").agg(F.max("block_size").alias("__size"))  # all but the last have it
-    first = F.when(F.col("variable"), F.col("number")).otherwise(F.col("number") * F.col("__size"))
-    placed = own.join(size, "stream", "left").withColumn("first_sample", first)
+    size = F.max(F.when(~F.col("variable"), F.col("block_size"))).over(Window.partitionBy("stream"))  # all but the last have it
+    placed = own.withColumn("first_sample", F.when(F.col("variable"), F.col("number")).otherwise(F.col("number") * size))
     return placed.select("stream", F.col("packet").alias("offset"), F.col("size").alias("length"), "number", "variable", "first_sample", "block_size", "sample_rate", "assignment", "depth", "header", "data")

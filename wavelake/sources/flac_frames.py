@@ -38,6 +38,22 @@ POWERS = _powers()
 #: What a byte b that leaves the register does: b * x ** 16.
 LEAVING = np.array([reduce(xor, [int(POWERS[16 + i]) for i in range(8) if b >> i & 1], 0) for b in range(256)], np.uint16)
 
+# the same as plain numbers, for bytes that are few
+_POWERS, _LEAVING = POWERS.tolist(), LEAVING.tolist()
+CRC8 = [reduce(lambda c, _: (c << 1 & 0xFF) ^ (7 if c & 0x80 else 0), range(8), b) for b in range(256)]
+#: Up to how many bytes going through them one by one is faster than row by row.
+SHORT = 1024
+
+
+def moved_one(value: int, place: int) -> int:
+    """value times x ** (-8 * place)."""
+    at, out = -8 * place, 0
+    while value:
+        if value & 1:
+            out ^= _POWERS[at % ORDER]
+        value, at = value >> 1, at + 1
+    return out
+
 
 def moved(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Each value times x ** (-8 * its place)."""
@@ -51,16 +67,14 @@ def moved(values: np.ndarray, places: np.ndarray) -> np.ndarray:
 def crc16(data: bytes) -> int:
     c = 0
     for b in data:
-        c = (c << 8 & 0xFFFF) ^ int(LEAVING[c >> 8 ^ b])
+        c = (c << 8 & 0xFFFF) ^ _LEAVING[c >> 8 ^ b]
     return c
 
 
 def crc8(data: bytes) -> int:
     c = 0
     for b in data:
-        c ^= b
-        for _ in range(8):
-            c = (c << 1 & 0xFF) ^ (7 if c & 0x80 else 0)
+        c = CRC8[c ^ b]
     return c
 
 
@@ -92,7 +106,15 @@ def header(b: bytes) -> tuple | None:
 
 
 def marks(own: bytes, places: list[int]) -> list[int]:
-    """What the bytes before each place add to its mark."""
+    """What the bytes before each place add to its mark. Places ascend."""
+    if len(own) <= SHORT:
+        c, at, out = 0, 0, []
+        for p in places:
+            for b in own[at:p]:
+                c = (c << 8 & 0xFFFF) ^ _LEAVING[c >> 8 ^ b]
+            at = p
+            out.append(moved_one(c, p))
+        return out
     whole = len(own) // ROW
     grid = np.frombuffer(own, np.uint8, whole * ROW).reshape(whole, ROW)
     state = np.zeros(whole, np.uint16)
@@ -102,8 +124,7 @@ def marks(own: bytes, places: list[int]) -> list[int]:
     out = []
     for p in places:
         row = min(p // ROW, whole)
-        rest = moved(np.array([crc16(own[row * ROW : p])], np.uint16), np.array([p]))
-        out.append(int(upto[row] ^ rest[0]))
+        out.append(int(upto[row]) ^ moved_one(crc16(own[row * ROW : p]), p))
     return out
 
 
