@@ -88,9 +88,8 @@ def convert_s16_u8(spark, d):
 
 @query("layout_offsets", f"SELECT track, frame, ch, (frame * 2 + ch) * 2 AS interleaved, (ch * count(*) OVER (PARTITION BY track, ch) + frame) * 2 AS planar FROM {STEREO_SQL}, (VALUES (0), (1)) c(ch)")
 def layout_offsets(spark, d):
-    tracks = t.stereo_tracks(spark, d)
-    s = tracks.select("track", "frame", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ch"))
-    s = s.join(tracks.groupBy("track").agg(F.count("*").alias("frames")), "track")
+    tracks = t.stereo_tracks(spark, d).withColumn("frames", F.count("*").over(Window.partitionBy("track")))
+    s = tracks.select("track", "frame", "frames", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("ch"))
     at = lambda planar: headers.layout_offset(F.col("frame"), F.col("ch"), F.lit(2), F.col("frames"), 2, planar)
     return s.select("track", "frame", "ch", at(False).alias("interleaved"), at(True).alias("planar"))
 

@@ -12,6 +12,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows that one task makes files or tracks from: fewer aren't worth a task, and more are another's.
 FEW, ROWS = 1_000, 5_000
+#: Rows that one task numbers in tracks.
+TRACK_ROWS = 500_000
 
 
 def dealt(df: DataFrame, *by: str, rows: int = ROWS) -> DataFrame:
@@ -35,7 +37,7 @@ def mono_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, frame, x): 16-bit samples from events, one track for each user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     x = F.least(F.lit(32767), F.floor(F.col("value") * 100 + 0.5)).cast("bigint")
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), (F.row_number().over(w) - 1).cast("bigint").alias("frame"), x.alias("x"))
+    return dealt(read(spark, sf_dir, "events"), "user_id", rows=TRACK_ROWS).select(F.col("user_id").alias("track"), (F.row_number().over(w) - 1).cast("bigint").alias("frame"), x.alias("x"))
 
 
 MONO_SQL = "(SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, least(32767, CAST(floor(value * 100 + 0.5) AS BIGINT)) AS x FROM events)"
@@ -44,7 +46,7 @@ MONO_SQL = "(SELECT user_id AS track, row_number() OVER (PARTITION BY user_id OR
 def stereo_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, frame, l, r): 16-bit stereo from lineitem, one track for each supplier."""
     q = F.col("l_quantity").cast("int")
-    d = read(spark, sf_dir, "lineitem").select(
+    d = dealt(read(spark, sf_dir, "lineitem"), "l_suppkey", rows=TRACK_ROWS).select(
         F.col("l_suppkey").alias("track"), "l_orderkey", "l_linenumber", (q * 600 - 15000).cast("bigint").alias("l"), (F.floor(F.col("l_discount") * 100 + 0.5) * 1000 + q * 500 - 15000).cast("bigint").alias("r")
     )
     w = Window.partitionBy("track").orderBy("l_orderkey", "l_linenumber", "l", "r")
