@@ -41,19 +41,20 @@ def with_previous(df: DataFrame, key: str, at: str, value: str, n: int, span: in
 
 def last_before(targets: DataFrame, points: DataFrame, key: str, at: str, payload: list[str], span: int = SPAN) -> DataFrame:
     """targets with point (the position of the last of points at or before them) and its payload columns; null before
-    the first. All columns of targets stay. Of points at one position any may count."""
+    the first. All columns of targets stay. Of points at one position any may count. However many targets a key has at one
+    position, that position is looked up once, so that a range holds no more than its positions."""
     held = F.struct(F.col(at).alias("point"), *payload)
-    p = points.select(key, at, in_range(at, span), held.alias("__held"))
+    p = points.groupBy(key, at).agg(F.max(held).alias("__held")).withColumn("__range", in_range(at, span))
     last = p.groupBy(key, "__range").agg(F.max("__held").alias("__last"))
-    marks = targets.select(key, in_range(at, span)).distinct().withColumn("__last", F.lit(None).cast(last.schema["__last"].dataType))
+    places = targets.select(key, at).distinct().withColumn("__range", in_range(at, span))
+    none = F.lit(None).cast(last.schema["__last"].dataType)
+    marks = places.select(key, "__range").distinct().withColumn("__last", none)
     ranges = last.unionByName(marks).groupBy(key, "__range").agg(F.max("__last").alias("__last"))
     before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = ranges.select(key, "__range", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
-    row = F.struct(*[F.col(f"`{c}`") for c in targets.columns])
-    t = targets.select(key, at, in_range(at, span), F.lit(1).alias("__kind"), row.alias("__row"))
-    t = t.withColumn("__held", F.lit(None).cast(last.schema["__last"].dataType))
-    both = t.unionByName(p.withColumn("__kind", F.lit(0)).withColumn("__row", F.lit(None).cast(t.schema["__row"].dataType)))
+    both = places.withColumns({"__held": none, "__kind": F.lit(1)}).unionByName(p.withColumn("__kind", F.lit(0)))
     w = Window.partitionBy(key, "__range").orderBy(at, "__kind").rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("__near", F.last("__held", ignorenulls=True).over(w)).where("__kind = 1").join(carried, [key, "__range"], "left")
-    got = F.coalesce("__near", "__carried")
-    return near.select("__row.*", got["point"].alias("point"), *[got[c].alias(c) for c in payload])
+    got = near.select(F.col(key).alias("__of"), F.col(at).alias("__at"), F.coalesce("__near", "__carried").alias("__got"))
+    out = targets.join(got, F.col(f"`{key}`").eqNullSafe(F.col("__of")) & F.col(f"`{at}`").eqNullSafe(F.col("__at")))
+    return out.select(*[F.col(f"`{c}`") for c in targets.columns], F.col("__got")["point"].alias("point"), *[F.col("__got")[c].alias(c) for c in payload])

@@ -30,6 +30,10 @@ def bisect(targets: DataFrame, pages: DataFrame, key: str, granule: str = "granu
     """For each target granule the offset of the page after the last page whose granule isn't above it; before the
     first such page, the first page with a granule. pages: (key, offset, next_offset, granule), -1: not stated."""
     stated = pages.where(F.col(granule).isNotNull() & (F.col(granule) != -1))
-    first = stated.groupBy(key).agg(F.min("offset").alias("__first"))
-    got = last_before(targets, stated.select(key, granule, "next_offset"), key, granule, ["next_offset"])
-    return got.join(first, key, "left").withColumn("landing", F.coalesce("next_offset", "__first")).drop("__first", "next_offset", "point")
+    # the first page is the answer of a place before all granules, so that targets need no second join by key
+    lowest = F.lit(-(1 << 63)).cast("bigint")
+    first = stated.groupBy(key).agg(F.min("offset").alias("next_offset")).select(key, lowest.alias("__place"), "next_offset")
+    points = stated.select(key, F.col(granule).cast("bigint").alias("__place"), "next_offset").unionByName(first)
+    own = targets.withColumn("__place", F.coalesce(F.col(granule).cast("bigint"), lowest))
+    got = last_before(own, points, key, "__place", ["next_offset"])
+    return got.withColumnRenamed("next_offset", "landing").drop("point", "__place")
