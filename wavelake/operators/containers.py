@@ -221,14 +221,8 @@ def flac_scan(files: DataFrame, keys: list[str], content: str | None = "content"
 def seek_points(blocks: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
     """(keys, sample, offset, frames) of SEEKTABLE blocks: placeholders are passed over, a table that doesn't ascend or isn't
     of whole points is dropped as a whole."""
-    b = F.col(data)
-    long = lambda at: F.shiftleft(by.be(b, at, 4), 32).bitwiseOR(by.be(b, at + 4, 4))
-    n = F.floor(F.length(b) / 18).cast("int")
-    point = lambda i: F.struct(long(i * 18).alias("sample"), long(i * 18 + 8).alias("offset"), by.be(b, i * 18 + 16, 2).alias("frames"))
-    points = F.filter(F.transform(F.sequence(F.lit(0), n - 1), point), lambda p: p["sample"] != -1)
-    got = blocks.where((F.length(b) % 18 == 0) & (n > 0)).select(*keys, points.alias("p"))
-    ascends = F.forall(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda i: (F.size("p") < 2) | (F.get("p", i)["sample"] > F.get("p", i - 1)["sample"]))
-    return got.where(ascends).select(*keys, F.explode("p").alias("p")).select(*keys, "p.*")
+    rows = src.seek_point_rows(blocks.select(*keys, F.col(data).alias("__data")), "__data")
+    return rows.select(*keys, "sample", "offset", "frames")
 
 
 def picture(data: Column) -> dict[str, Column]:
@@ -369,9 +363,10 @@ def mpeg_scan(files: DataFrame, keys: list[str], content: str | None = "content"
 
 def mpeg_seek(targets: DataFrame, rows: DataFrame, keys: list[str], frame: str = "target", back: int = 6) -> DataFrame:
     """targets (keys, frame wanted) with start_frame and offset where decoding starts, ``back`` frames before the one that
-    holds the target, and discard: samples to throw away. A target past the end gives nulls. One join on the frame."""
+    holds the target, and discard: samples to throw away. A target past the end gives nulls. One join on the frame.
+    Rows that come out of files are more than their files' rows let Spark guess, so none are broadcast."""
     samples = rows.groupBy(*keys).agg(F.max("samples").alias("__samples"), F.max("frame").alias("__last"))
     at = F.floor(F.col(frame) / F.col("__samples"))
-    own = targets.join(samples, keys).withColumn("start_frame", F.when(at <= F.col("__last"), F.greatest(at - back, F.lit(0))))
+    own = targets.join(samples.hint("merge"), keys).withColumn("start_frame", F.when(at <= F.col("__last"), F.greatest(at - back, F.lit(0))))
     places = rows.select(*keys, F.col("frame").alias("start_frame"), "offset")
-    return own.join(places, [*keys, "start_frame"], "left").withColumn("discard", F.when(F.col("start_frame").isNotNull(), F.col(frame) - F.col("start_frame") * F.col("__samples"))).drop("__samples", "__last")
+    return own.join(places.hint("merge"), [*keys, "start_frame"], "left").withColumn("discard", F.when(F.col("start_frame").isNotNull(), F.col(frame) - F.col("start_frame") * F.col("__samples"))).drop("__samples", "__last")
