@@ -1,8 +1,10 @@
 """What a task holds doesn't grow with the tables: rows are dealt, walks happen once, and groups are bounded."""
 
+import struct
+
 import duckdb
 
-from wavelake.operators import containers, flac, ogg_flac
+from wavelake.operators import containers, flac, ogg_flac, seek
 from wavelake.plans import catalogue, files
 from wavelake.sources import files as src
 from wavelake.sources import flac_frames
@@ -83,3 +85,39 @@ def test_samples_of_whole_frames_need_no_shuffle(spark):
 def test_frames_in_ogg_are_made_once(spark):
     got = ogg_flac.frames(ogg_flac.packets(files.ogg_flac_files(spark, SF)), "p_partkey")
     assert plan(got).count("MapInArrow") == 2 and "Join" not in plan(got)  # the files, and their packets
+
+
+def test_mixed_files_are_no_join(spark):
+    """Spark guessed the made files as small as their parts, and broadcast them all."""
+    made = files.mixed_files(spark, SF)
+    assert "Join" not in plan(made)
+    assert made.count() == t.read(spark, SF, "part").count()
+
+
+def test_rows_of_mpeg_files_are_never_broadcast(spark):
+    physical = files.mpeg_seek(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in physical and "SortMergeJoin" in physical
+
+
+def test_seek_points_are_read_once(spark):
+    point = lambda *p: struct.pack(">qqH", *p)
+    tables = [point(1, 0, 9) + point(5, 7, 9) + point(-1, 0, 0), point(5, 0, 9) + point(5, 7, 9), point(1, 0, 9)[:-1], point(-1, 0, 0), b"", None]
+    rows = spark.createDataFrame([*enumerate(tables)], "k int, data binary")
+    got = containers.seek_points(rows, ["k"])
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 0, 9), (0, 5, 7, 9)]
+    assert plan(got).count("MapInArrow") == 1 and "shiftleft" not in plan(got)
+
+
+def test_tracks_are_dealt_and_laid_out_in_one_sort(spark):
+    physical = catalogue.layout_offsets(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange") == 1 and "Join" not in physical
+
+
+def test_many_targets_of_a_key_are_looked_up_once_a_position(spark):
+    """One stream and three positions for 30,000 targets: no window holds more than positions, and null ones stay."""
+    targets = spark.range(30_000).selectExpr("id", "0 AS stream", "CASE WHEN id % 3 < 2 THEN id % 3 * 100 END AS granule")
+    pages = spark.createDataFrame([(0, 0, 50, 100), (0, 50, 90, 200), (0, 90, 95, -1)], "stream int, offset bigint, next_offset bigint, granule bigint")
+    got = seek.bisect(targets, pages, "stream")
+    assert {tuple(r) for r in got.groupBy("granule", "landing").count().collect()} == {(0, 0, 10_000), (100, 50, 10_000), (None, 0, 10_000)}
+    assert "Window" in plan(got) and "named_struct(id" not in plan(got)
+    assert seek.bisect(targets.selectExpr("id", "1 AS stream", "granule"), pages, "stream").where("landing IS NULL").count() == 30_000

@@ -75,7 +75,7 @@ def frame_data(files: DataFrame, frames: DataFrame, key: str, content: str | Non
     """frames of frame_index() with data, their bytes. Of files by path each task reads the bytes of its own frames."""
     if content:
         c = files.select(key, F.col(f"`{content}`").alias("__all"))
-        return frames.join(c, key).select(*frames.columns, F.substring("__all", (F.col("offset") + 1).cast("int"), F.col("length").cast("int")).alias("data"))
+        return frames.join(c.hint("merge"), key).select(*frames.columns, F.substring("__all", (F.col("offset") + 1).cast("int"), F.col("length").cast("int")).alias("data"))
     own = frames.join(files.select(key, "path"), key).withColumns({"__start": F.col("offset"), "__stop": F.col("offset") + F.col("length")})
     return read_ranges(own, start="__start", stop="__stop").select(*frames.columns, "data")
 
