@@ -93,3 +93,33 @@ def test_longer_prefixes_where_many_would_be_compared():
     need, n = np.array([80, 80, 2]), np.array([100, 100, 2])
     dear = np.array([[1000.0, 1010, 1020, 1030], [1.0, 900, 2000, 4000], [1000.0, 1010, 1020, 1030]])
     assert list(jaccard_join.matches_wanted(need, dear, n)) == [4, 1, 2]
+
+
+@pytest.mark.parametrize("heavy", [2, 200])
+def test_sets_that_share_few_heavy_shingles_do_not_meet(spark, monkeypatch, heavy):
+    """Of 60 sets of one component and 30 outsiders, most share three heavy shingles of the four they need. The pairs are
+    those that share enough in all, whatever counts as heavy; where these are, the others make no row."""
+    monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
+    rows, has = [], {}
+    for k in range(90):
+        own = [0, 1, 2] + ([3] if k % 30 == 7 else []) + ([100 + k % 3] if k % 10 == 4 else []) + ([200 + k % 2] if k % 30 in (4, 5) else [])
+        key, label = k.to_bytes(2, "big"), b"main" if k < 60 else k.to_bytes(2, "big")
+        has[key] = label, set(own)
+        rows += [(t, key, 100, 4, at, label) for at, t in enumerate(sorted(own, reverse=True))]
+    all_ = spark.createDataFrame(rows, "t bigint, digest binary, n bigint, l bigint, at int, label binary")
+    open_, labels = all_.drop("label"), all_.select("digest", "label").where("label = X'6D61696E'").distinct()
+    rows_made, meet = [], jaccard_join.meetings
+
+    def counted(*args):
+        met = meet(*args)
+        rows_made.append(met.count())
+        return met
+
+    monkeypatch.setattr(jaccard_join, "meetings", counted)
+    got = {(bytes(r.a), bytes(r.b)) for r in jaccard_join.crossing_pairs(open_, labels, 85).collect()}
+    want = {(a, b) for a in has for b in has if a < b and has[a][0] != has[b][0] and len(has[a][1] & has[b][1]) >= 4}
+    assert got == want and want
+    if heavy == 2:
+        assert sum(rows_made) < 300
+    else:
+        assert sum(rows_made) > 3 * 60 * 30

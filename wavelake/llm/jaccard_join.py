@@ -9,7 +9,8 @@
 3. First every class is compared with one hub of each shingle of its prefix, so that large groups fall into components
    with a comparison a member. Then the pairs of different components that share enough of their prefixes are compared.
    On each shingle the largest component meets the others alone, never itself; frequent shingles are cut into slices,
-   and there only sets of near sizes meet. There is no cap.
+   and there only sets of near sizes meet. Of shingles that many sets have (heavy ones), the l-th that two sets share
+   is the l-th or a later one of each, so sets that share no others meet there alone. There is no cap.
 4. Every comparison is the exact intersection of full sets.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lean, row_key, small_batches, written
+from .common import broadcast_if_small, forget, lean, row_key, small_batches, written
 from .components import components
 from .near_dedup import _digests
 from .shingles import WordHashes, shingle_sets
@@ -37,6 +38,10 @@ MOST_MATCHES, VERIFY = 4, 0.25
 SLICE = 1000
 #: Bucket counts from which on a shingle's members are dealt to slices where prefixes are made.
 HOT = 10_000
+#: Sets from which on a shingle of different components is heavy.
+HEAVY = 200
+#: A number of prefixes holds a set's size and l below this, and above it how many others the prefix may meet.
+LOW = 1 << 40
 
 
 def bucket_of(x: np.ndarray) -> np.ndarray:
@@ -96,8 +101,9 @@ def prefixes(x: np.ndarray, owner: np.ndarray, n_sets: int, percent: int, counts
 
 def _made_prefixes(percent: int, counts: np.ndarray):
     """(t, part, digest, nl, at) of each set's prefix, once a task for each set. part: -1, or the slice of a shingle that so
-    many sets may have that its members must not meet in one task. nl: size and l in one number. at: the
-    shingle's place in the set."""
+    many sets may have that its members must not meet in one task. nl: in one number size and l and, above them, the
+    others that the prefix may meet (eighths of a logarithm). at: the shingle's place in the set."""
+    by_chance = counts.sum() / BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHashes(), set()
@@ -116,8 +122,10 @@ def _made_prefixes(percent: int, counts: np.ndarray):
                 t, of, at, wanted = prefixes(x[mine], owner[mine], end - first, percent, counts)
                 heat = 1 + counts[bucket_of(t)] // HOT
                 low = np.array([int.from_bytes(d[:4], "little") for d in digests], np.int64)
+                met = np.bincount(of, np.maximum(counts[bucket_of(t)] - by_chance, 0.0), end - first)
+                nl = np.diff(ends) * (MOST_MATCHES + 1) + wanted + np.minimum(8 * np.log2(1 + met), 255).astype(np.int64) * LOW
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t.view(np.int64)), pa.array(np.where(heat > 1, low[of] % heat, -1), pa.int32()), pa.array(digests, pa.binary()).take(pa.array(of)), pa.array(np.diff(ends)[of] * (MOST_MATCHES + 1) + wanted[of]), pa.array(at, pa.int32())],
+                    [pa.array(t.view(np.int64)), pa.array(np.where(heat > 1, low[of] % heat, -1), pa.int32()), pa.array(digests, pa.binary()).take(pa.array(of)), pa.array(nl[of]), pa.array(at, pa.int32())],
                     ["t", "part", "digest", "nl", "at"],
                 )
 
@@ -177,29 +185,64 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared(maybe, sets, percent)
 
 
+def early_heavy(heavy: Column, n: Column, spare: Column) -> Column:
+    """The shingles of a set's heavy ones, (at, t) in their order, that early_enough takes."""
+    return F.transform(F.filter(heavy, lambda x: x["at"] < n + spare), lambda x: x["t"])
+
+
+def meetings(own: DataFrame, percent: int, where: Column | None = None, *more: str) -> DataFrame:
+    """A row for each shingle on which two sets of different labels meet: both sides' columns with _a and _b.
+    own: (t, digest, label, n, l, at, main, slices, class) and more; where: what else must hold."""
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("t", "slice", "class", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "l", "at", *more)], *(["main"] if x == "b" else []))
+
+    a = side(own.where("label <> main").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))), "a")
+    b = own.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int"))
+    b = b.withColumn("class", F.explode(F.when(F.col("slices") > 1, F.sequence(F.col("class") - 1, F.col("class") + 1)).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    b = side(b, "b")
+    once = (F.col("label_b") == F.col("main")) | (F.col("digest_a") < F.col("digest_b"))
+    of_a, of_b = ({c: F.col(f"{c}_{x}") for c in ("n", "l", "at")} for x in "ab")
+    met = (F.col("label_a") != F.col("label_b")) & near_sizes("n_a", "n_b", percent) & once & early_enough(of_a, of_b, percent)
+    return a.join(b, ["t", "slice", "class"]).where(met if where is None else met & where)
+
+
+def heavy_meetings(heavy: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """meetings() on heavy shingles of the pairs that share enough of these alone. Of the shingles that such a pair
+    shares, the l-th is at least the l-th heavy one of both sets, so only those places meet."""
+    own = heavy.join(lists.select("digest", "heavy"), "digest").withColumn("rank", F.array_position(F.col("heavy.t"), F.col("t")))
+    l, spare = F.least("l_a", "l_b"), F.least("l_a", "l_b") - least_common(F.col("n_a"), F.col("n_b"), percent)  # noqa: E741
+    shared = F.size(F.array_intersect(*(early_heavy(F.col(f"heavy_{x}"), F.col(f"n_{x}"), spare) for x in "ab")))
+    return meetings(own, percent, (F.least("rank_a", "rank_b") >= l) & (shared >= l), "heavy", "rank")
+
+
 def crossing_pairs(open_: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of different labels that share as many shingles (t) of their prefixes as similar ones must.
     open_: (t, digest, n, l, at); labels: (digest, label)."""
-    own = open_.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    own = open_.join(broadcast_if_small(labels), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     by_label = own.groupBy("t", "label").agg(F.count("*").alias("c"))
     mixed = by_label.groupBy("t").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("df"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = written(mixed.select("t", "main", F.ceil(F.col("df") / SLICE).cast("int").alias("slices")))
+    mixed = written(mixed.select("t", "main", F.ceil(F.col("df") / SLICE).cast("int").alias("slices"), (F.col("df") > HEAVY).alias("is_heavy")))
     # on a shingle in slices, sets of near sizes lie in the same or in neighbouring classes; 1.01 covers rounding
     width = 1.01 * math.log(100 / min(percent, 99))
     own = written(own.join(broadcast_if_small(mixed), "t").withColumn("class", F.when(F.col("slices") > 1, F.floor(F.log("n") / width)).otherwise(-1)))
 
-    def side(rows: DataFrame, x: str) -> DataFrame:
-        return rows.select("t", "slice", "class", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "n", "l", "at")], *(["main"] if x == "b" else []))
+    def ends(met: DataFrame) -> DataFrame:
+        return met.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b"), F.least("l_a", "l_b").alias("l"))
 
-    a = side(own.where("label <> main").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))), "a")
-    b = own.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int"))
-    b = b.withColumn("class", F.explode(F.when(F.col("slices") > 1, F.sequence(F.col("class") - 1, F.col("class") + 1)).otherwise(F.array(F.lit(-1).cast("bigint")))))
-    b = side(b, "b")
-    once = (F.col("label_b") == F.col("main")) | (F.col("digest_a") < F.col("digest_b"))
-    of_a, of_b = ({c: F.col(f"{c}_{x}") for c in ("n", "l", "at")} for x in "ab")
-    met = a.join(b, ["t", "slice", "class"]).where((F.col("label_a") != F.col("label_b")) & near_sizes("n_a", "n_b", percent) & once & early_enough(of_a, of_b, percent))
-    met = met.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b"), F.least("l_a", "l_b").alias("l"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("l").alias("l")).where("shared >= l").select("a", "b")
+    light = ends(meetings(own.where("NOT is_heavy"), percent)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("l").alias("l"))
+    heavy = own.where("is_heavy")
+    if heavy.isEmpty():
+        return light.where("shared >= l").select("a", "b")
+    light = written(light)
+    lists = written(heavy.groupBy("digest").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "t"))).alias("heavy")))
+    both = light.where("shared < l")
+    for x in "ab":
+        both = both.join(lists.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("heavy").alias(f"heavy_{x}")), x)
+    spare = F.col("l") - least_common(F.col("n_a"), F.col("n_b"), percent)
+    more = F.size(F.array_intersect(*(early_heavy(F.col(f"heavy_{x}"), F.col(f"n_{x}"), spare) for x in "ab")))
+    pairs = light.where("shared >= l").select("a", "b").union(both.where(F.col("shared") + more >= F.col("l")).select("a", "b"))
+    return pairs.union(ends(heavy_meetings(heavy, lists, percent)).select("a", "b")).distinct()
 
 
 def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -221,13 +264,17 @@ def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("a_row")))
 
     each = docs.select("text").mapInArrow(lean(_made_prefixes(percent, counts)), "t bigint, part int, digest binary, nl bigint, at int").repartition("t", "part")
-    each = each.groupBy("t", "part", "digest").agg(F.max("nl").alias("nl"), F.max("at").alias("at")).withColumn("members", F.count("*").over(Window.partitionBy("t", "part")))
-    open_ = written(each.where("members > 1 OR part >= 0").select("t", "part", "members", "digest", "at", F.floor(F.col("nl") / (MOST_MATCHES + 1)).alias("n"), (F.col("nl") % (MOST_MATCHES + 1)).alias("l")))
-
-    met = open_.groupBy("digest").agg(F.sum("members").alias("met"))
-    hubs = open_.join(met, "digest").groupBy("t", "part").agg(F.max_by(F.struct("digest", "n", "l", "at"), F.struct("met", "digest")).alias("hub"))
-    pairs = open_.join(broadcast_if_small(written(hubs)), ["t", "part"]).where((F.col("digest") != F.col("hub.digest")) & near_sizes("n", "hub.n", percent) & early_enough(*({c: F.col(x + c) for c in ("n", "l", "at")} for x in ("", "hub.")), percent))
-    pairs = pairs.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
+    same = Window.partitionBy("t", "part")
+    each = each.groupBy("t", "part", "digest").agg(F.max("nl").alias("nl"), F.max("at").alias("at")).withColumn("members", F.count("*").over(same)).where("members > 1 OR part >= 0")
+    # the hub of a shingle: the set whose prefix may meet most others, found where its members have met
+    each = each.withColumn("hub", F.max(F.struct("nl", "digest", "at")).over(same))
+    for x in ("", "hub."):
+        low = F.col(f"{x}nl") % LOW
+        each = each.withColumn(x.replace(".", "_") + "n", F.floor(low / (MOST_MATCHES + 1))).withColumn(x.replace(".", "_") + "l", low % (MOST_MATCHES + 1))
+    hub = {"n": F.col("hub_n"), "l": F.col("hub_l"), "at": F.col("hub.at")}
+    asks = (F.col("digest") != F.col("hub.digest")) & near_sizes("n", "hub_n", percent) & early_enough({c: F.col(c) for c in hub}, hub, percent)
+    open_ = written(each.select("t", "digest", "at", "n", "l", F.when(asks, F.col("hub.digest")).alias("hub")))
+    pairs = written(open_.where("hub IS NOT NULL").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct())
 
     repeats = not rows.groupBy("row").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
 
@@ -238,12 +285,19 @@ def similar_texts(docs: DataFrame, percent: int = 80) -> DataFrame:
         sets = docs.join(members, "row", "left_semi").select("text").mapInArrow(lean(_sets), "digest binary, shingles array<bigint>")
         return written(sets.dropDuplicates(["digest"]) if repeats else sets)
 
-    pairs = written(pairs)
-    links = written(similar(pairs, sets_of(pairs), percent))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The similar ones of pairs; the sets made for them are not kept."""
+        sets = sets_of(pairs)
+        links = written(similar(pairs, sets, percent))
+        for table in (sets, pairs):
+            forget(table)
+        return links
+
+    links = confirmed(pairs)
     labels = components(links)
     pairs = written(crossing_pairs(open_.select("t", "digest", "n", "l", "at"), labels.select(F.col("node").alias("digest"), "label"), percent))
     if not pairs.isEmpty():
-        more = written(similar(pairs, sets_of(pairs), percent))
+        more = confirmed(pairs)
         if not more.isEmpty():
             labels = components(links.union(more))
 
